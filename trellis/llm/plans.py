@@ -6,9 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm.chunking import oversized, split_items
+from trellis.llm.neighbours import similar_pairs, similar_vectors
 from trellis.sources import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(similar_vectors(table(spark, d, "vectors"), k=5, min_cosine=0.9)).select("id_a", "id_b")
+
+
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "vectors")
+    near = similar_vectors(vectors, k=5, min_cosine=0.9)
+    name = vectors.select("id", "symbol_name").dropDuplicates(["id"])
+    return near.join(name, "id").join(name.select(F.col("id").alias("other_id"), F.col("symbol_name").alias("other_name")), "other_id").select("id", "symbol_name", "other_id", "other_name", F.round("cosine", 6).alias("cosine"), "rank")
+
+
 def _long_texts(spark: SparkSession, d: str) -> DataFrame:
     symbols = table(spark, d, "symbols").select(F.lit("symbols").alias("ref_table"), F.col("id").alias("row_id"), F.col("content").alias("text"))
     vectors = table(spark, d, "vectors").select(F.lit("vectors").alias("ref_table"), F.col("id").alias("row_id"), "text")
@@ -23,7 +35,7 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_items(_long_texts(spark, d), ["ref_table", "row_id"], "text")
 
 
-QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p6_found": p6_found, "p6_pieces": p6_pieces}
 
 SQL = {
     "p6_found": """SELECT DISTINCT 'symbols' AS ref_table, id AS row_id FROM symbols WHERE strlen(content) > 2000
