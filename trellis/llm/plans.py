@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm.chunking import oversized, split_items
+from trellis.llm.leakage import leaks, without_leaks
 from trellis.llm.neighbours import similar_pairs, similar_vectors
 from trellis.sources import table
 
@@ -35,9 +36,31 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_items(_long_texts(spark, d), ["ref_table", "row_id"], "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p6_found": p6_found, "p6_pieces": p6_pieces}
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    return without_leaks(table(spark, d, "documents").select("doc_id"), p7_leaks(spark, d))
+
+
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_kept": p7_kept}
+
+_GRAMS = r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(regexp_replace(text, '[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g'))), '[\p{L}\p{Nd}]+') AS w FROM documents),
+item AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{Nd}]+') AS w FROM benchmark),
+dg AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM doc, unnest(range(1, len(w) - 10)) AS r(i)),
+ig AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM item, unnest(range(1, len(w) - 10)) AS r(i)),
+hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
+"""
 
 SQL = {
+    "p7_found": _GRAMS + "SELECT doc_id, item_id FROM hit",
+    "p7_kept": _GRAMS + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)",
     "p6_found": """SELECT DISTINCT 'symbols' AS ref_table, id AS row_id FROM symbols WHERE strlen(content) > 2000
       UNION SELECT 'vectors', id FROM vectors WHERE strlen(text) > 2000""",
 }
