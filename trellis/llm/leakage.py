@@ -29,7 +29,7 @@ BLOCK_BYTES = 32 << 20
 
 _WORD = re.compile(r"[^\W_]+")
 #: Unicode category Cf, as far as it can stand in running text.
-_INVISIBLE = re.compile("[­؀-؅؜۝܏᠎​-‏‪-‮⁠-⁤⁦-⁯﻿￹-￻]")
+_INVISIBLE = re.compile("[\u00ad\u0600-\u0605\u061c\u06dd\u070f\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\ufff9-\ufffb]")
 
 
 def words(text: str | None) -> list[str]:
