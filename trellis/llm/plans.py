@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trellis.llm.chunking import oversized, split_items
 from trellis.llm.docpairs import doc_pairs
+from trellis.llm.handwritten import not_handwritten
 from trellis.llm.leakage import leaks, without_leaks
 from trellis.llm.neighbours import similar_pairs, similar_vectors
 from trellis.sources import table
@@ -31,6 +32,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pairs(spark, d).select("symbol_id").distinct()
 
 
+def p4_files(spark: SparkSession, d: str) -> DataFrame:
+    return not_handwritten(table(spark, d, "files"), table(spark, d, "file_texts"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_files(spark, d).select("file_id")
+
+
 def _long_texts(spark: SparkSession, d: str) -> DataFrame:
     symbols = table(spark, d, "symbols").select(F.lit("symbols").alias("ref_table"), F.col("id").alias("row_id"), F.col("content").alias("text"))
     vectors = table(spark, d, "vectors").select(F.lit("vectors").alias("ref_table"), F.col("id").alias("row_id"), "text")
@@ -57,7 +66,7 @@ def p7_kept(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(table(spark, d, "documents").select("doc_id"), p7_leaks(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_pairs": p3_pairs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_kept": p7_kept}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_files": p4_files, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_kept": p7_kept}
 
 _GRAMS = r"""
 WITH doc AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(regexp_replace(text, '[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g'))), '[\p{L}\p{Nd}]+') AS w FROM documents),
