@@ -85,7 +85,8 @@ def documentation(content: str, file: str | None) -> dict:
 
 _WORD = re.compile(r"[^\W\d_][\w'’]*")
 _CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
-_EDGE = re.compile(r"^\s*(?:[rRuUbBfF]{0,2}(?:\"\"\"|''')|/\*+!?|\*+/|\*+(?=\s|$|/)|//[/!]*|#+!?|--+|<!--|=begin\b|=end\b|;+|%+)?\s*|\s*(?:\"\"\"|'''|\*+/|-->)?\s*$")
+_OPEN = re.compile(r"(?:[rRuUbBfF]{0,2}(?:\"\"\"|''')|/\*+!?|\*+/|\*+(?=\s|$|/)|//[/!]*|#+!?|--+|<!--|=begin\b|=end\b|;+|%+)\s*")
+_CLOSING = ('"""', "'''", "*/", "-->")
 _TAG = re.compile(r"^(?:[@\\](?:param|arg|argument|return|returns|throws?|exception|raises?|type|typeparam|template|yields?|default|see|link|override|inheritdoc|deprecated|since|version|author|copyright|license|internal|private|public|protected|readonly|async|static|abstract|example|todo|ignore|hidden|api|name|function|method|memberof|callback|implements|extends|suppress\w*)\b|:(?:param|type|returns?|rtype|raises?|arg|argument|keyword|var|ivar|cvar|meta)\b[^:]*:)", re.I)
 _SECTION = re.compile(r"^(?:args|arguments|parameters|params|returns?|raises|throws|yields|attributes|kwargs|keyword args|see also|references)\s*:?\s*$", re.I)
 _RULE = re.compile(r"^[\W_]*$")
@@ -149,15 +150,22 @@ def _parameters(signature: str) -> set[str]:
     return {w.lower() for w in _WORD.findall(inside)} | {"self"} if inside else set()
 
 
+def _bare(line: str) -> str:
+    """A line without comment marks at its ends."""
+    line = line.strip()
+    while m := _OPEN.match(line):
+        line = line[m.end() :]
+    while line.endswith(_CLOSING):
+        line = line[:-2].rstrip("* \t") if line.endswith("*/") else line[:-3].rstrip()
+    return line
+
+
+def _is_code(line: str) -> bool:
+    return line.endswith((";", "{", "}")) if len(line) > 1000 else bool(_CODE.search(line))
+
+
 def _lines(text: str) -> list[str]:
-    out = []
-    for line in text.replace("\r", "").split("\n"):
-        before = None
-        while line != before:
-            before = line
-            line = _EDGE.sub("", line)
-        out.append(line)
-    return out
+    return [_bare(line) for line in text.replace("\r", "").split("\n")]
 
 
 def describe(text: str, name: str = "", signature: str = "") -> tuple[str, bool]:
@@ -189,7 +197,7 @@ def describe(text: str, name: str = "", signature: str = "") -> tuple[str, bool]
             if in_tag and len(ws) < 3:
                 continue
             in_tag = in_section = False
-        if _TOOL.match(line) or _CODE.search(line):
+        if _TOOL.match(line) or _is_code(line):
             continue
         kept.append(line)
     body = re.sub(r"(?<=[^\n])\n(?=[^\n])", " ", "\n".join(kept))
