@@ -10,6 +10,7 @@ from trellis.llm.docpairs import doc_pairs
 from trellis.llm.handwritten import not_handwritten
 from trellis.llm.langid import document_languages, fit, language_segments, mislabelled
 from trellis.llm.leakage import leaks, without_leaks
+from trellis.llm.mixing import mix, shares
 from trellis.llm.neighbours import similar_pairs, similar_vectors
 from trellis.sources import table
 
@@ -67,6 +68,14 @@ def p7_kept(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(table(spark, d, "documents").select("doc_id"), p7_leaks(spark, d))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     return language_segments(documents, fit(documents))
@@ -80,7 +89,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return mislabelled(p9_languages(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_files": p4_files, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_kept": p7_kept, "p9_found": p9_found, "p9_segments": p9_segments, "p9_languages": p9_languages}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_files": p4_files, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_kept": p7_kept, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_segments": p9_segments, "p9_languages": p9_languages}
 
 _GRAMS = r"""
 WITH doc AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(regexp_replace(text, '[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g'))), '[\p{L}\p{Nd}]+') AS w FROM documents),
