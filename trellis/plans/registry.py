@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from trellis.plans import general
+from trellis.plans import general, structure
 
 
 def modules() -> list:
-    return [general]
+    return [general, structure]
