@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from trellis.plans import general, structure
+from trellis.plans import general, retrieval, structure
 
 
 def modules() -> list:
-    return [general, structure]
+    return [general, structure, retrieval]
