@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from trellis.plans import general, retrieval, structure
+from trellis.plans import building, general, retrieval, structure
 
 
 def modules() -> list:
-    return [general, structure, retrieval]
+    return [general, structure, retrieval, building]
