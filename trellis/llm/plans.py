@@ -12,6 +12,7 @@ from trellis.llm.langid import document_languages, fit, language_segments, misla
 from trellis.llm.leakage import leaks, without_leaks
 from trellis.llm.mixing import mix, shares
 from trellis.llm.neighbours import similar_pairs, similar_vectors
+from trellis.session import materialize
 from trellis.sources import table
 
 
@@ -82,11 +83,11 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_languages(spark: SparkSession, d: str) -> DataFrame:
-    return document_languages(p9_segments(spark, d))
+    return document_languages(materialize(p9_segments(spark, d), "segments"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return mislabelled(p9_languages(spark, d))
+    return mislabelled(materialize(p9_languages(spark, d), "languages"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_files": p4_files, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_kept": p7_kept, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_segments": p9_segments, "p9_languages": p9_languages}
