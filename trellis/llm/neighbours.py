@@ -210,7 +210,7 @@ def similar_vectors(
         # cell i * m + j holds blocks i <= j; where they differ it is numbered below zero and compares across only
         cell = lambda j: F.when(F.col("block") == j, F.col("block") * F.col("_m") + j).otherwise(-1 - (F.least("block", j) * F.col("_m") + F.greatest("block", j)))
         cells = F.when(F.col("_m").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("_m", F.lit(1)) - 1), cell))
-        entries = entries.withColumn("cell", F.explode(cells).cast("int"))
+        entries = entries.withColumn("cell", F.explode(cells))
     else:
         entries = entries.withColumn("block", F.lit(0)).withColumn("cell", F.lit(0))
     entries = entries.select("code", "cell", "block", "probe", "h1", "h2", "step", "small")
