@@ -194,3 +194,57 @@ def greedy_merge(entries: DataFrame, threshold: float = 0.85) -> DataFrame:
         return pd.DataFrame({"id": [k.id for k in kept]})
 
     return grouped.groupBy("low").applyInPandas(run, f"id {dict(entries.dtypes)['id']}")
+
+
+# ---------------------------------------------------------------- changes
+
+
+def mark_legacy(entries: DataFrame, cutoff: str, threshold: int = 3) -> DataFrame:
+    """Pinned entries of old that were recalled often and changed since count as promoted."""
+    old = F.col("priority") & ~F.col("promoted") & (F.col("recall_count") >= threshold) & (F.col("updated") != F.col("created")) & (F.col("updated") < F.lit(cutoff))
+    return entries.withColumn("promoted", F.col("promoted") | F.coalesce(old, F.lit(False)))
+
+
+def upsert(entries: DataFrame, changes: DataFrame) -> DataFrame:
+    """Entries with those of ``changes`` (same columns) in place of the ones of their id; ``created`` stays what it was."""
+    born = entries.select("id", F.col("created").alias("_born"))
+    new = changes.join(born, "id", "left").withColumn("created", F.coalesce("_born", "created")).select(*entries.columns)
+    return entries.join(changes.select("id"), "id", "left_anti").select(*entries.columns).unionByName(new)
+
+
+def delete(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    return entries.join(ids.select("id").distinct(), "id", "left_anti")
+
+
+def retype(entries: DataFrame, kind: str, now: str) -> DataFrame:
+    """Entries of another type; the expiry starts anew only where the new type lives for another time."""
+    days = F.create_map(*[F.lit(x) for pair in TTL_DAYS.items() for x in pair])
+    before, after = F.try_element_at(days, F.col("type")), F.lit(TTL_DAYS.get(kind)).cast("int")
+    fresh = F.date_format(F.lit(now).cast("timestamp") + F.make_interval(days=after), "yyyy-MM-dd HH:mm:ss")
+    return entries.withColumn("expires_at", F.when(before.eqNullSafe(after), F.col("expires_at")).otherwise(fresh)).withColumn("type", F.lit(kind))
+
+
+def pin(entries: DataFrame, pinned: bool = True) -> DataFrame:
+    """Pinned: priority, neither promoted nor demoted.  Unpinned: demoted, with no recalls."""
+    rows = entries.withColumn("priority", F.lit(pinned)).withColumn("promoted", F.lit(False)).withColumn("demoted", F.lit(not pinned))
+    return rows if pinned else rows.withColumn("recall_count", F.lit(0))
+
+
+def not_shown(entries: DataFrame, shown: DataFrame) -> DataFrame:
+    """Priority entries whose first eight id letters the session (``shown: id8``) has not seen."""
+    return entries.filter("priority").withColumn("id8", F.substring("id", 1, 8)).join(shown.select("id8").distinct(), "id8", "left_anti").drop("id8")
+
+
+def current_hits(hits: DataFrame, entries: DataFrame) -> DataFrame:
+    """Vector hits (``id, text``) whose text is still the entry's content."""
+    return hits.join(entries.select("id", F.col("content").alias("text")), ["id", "text"], "left_semi")
+
+
+def fused_search(entries: DataFrame, query: str, near: DataFrame, limit: int = 10) -> DataFrame:
+    """Term search fused with a ranked vector list (``id, rank``), ties by id; the order of terms where that list is empty."""
+    words = search(entries, query, 3 * limit)
+    order = W.orderBy(F.desc("score"), F.desc("created"), "id")
+    words = words.withColumn("rank", F.row_number().over(order)).select("id", "rank")
+    both = words.unionByName(near.filter(F.col("rank") <= 3 * limit).select("id", "rank"))
+    rows = both.groupBy("id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("score"))
+    return rows.orderBy(F.desc("score"), "id").limit(limit)

@@ -256,3 +256,35 @@ def _(spark, d):
     e = entries(spark, d)
     old = F.col("type") != "session"
     return m.new_entries(e.filter(~old), e.filter(old)).select("id")
+
+
+@add("memory_retype", _M + """SELECT id, CASE WHEN type = 'bug' THEN strftime(expires_at, '%Y-%m-%d %H:%M:%S') ELSE '2025-11-30 00:00:00' END AS expires_at FROM m""")
+def _(spark, d):
+    return m.retype(entries(spark, d), "bug", NOW).select("id", "expires_at")
+
+
+@add("memory_upsert", _M + "SELECT id, content FROM m WHERE type <> 'pattern' UNION ALL SELECT id, 'new ' || content FROM m WHERE type = 'pattern'")
+def _(spark, d):
+    e = entries(spark, d)
+    return m.upsert(e, e.filter("type = 'pattern'").withColumn("content", F.concat(F.lit("new "), "content"))).select("id", "content")
+
+
+@add("memory_delete", _M + "SELECT id FROM m WHERE type <> 'session'")
+def _(spark, d):
+    e = entries(spark, d)
+    return m.delete(e, e.filter("type = 'session'")).select("id")
+
+
+@add("memory_not_shown", _M + "SELECT id FROM m WHERE priority AND type <> 'bug'")
+def _(spark, d):
+    e = entries(spark, d)
+    return m.not_shown(e, e.filter("type = 'bug'").select(F.substring("id", 1, 8).alias("id8"))).select("id")
+
+
+@add("memory_fusion", _M + f""", t AS (SELECT id, created, {', '.join(f'{_term_sql(t)} AS t{i}' for i, t in enumerate(_TERMS))} FROM (SELECT *, lower(content) AS c FROM m)),
+  w AS (SELECT id, row_number() OVER (ORDER BY round(t0 + t1 + t2, 6) DESC, created DESC, id) AS rank FROM t WHERE (t0 > 0)::INT + (t1 > 0)::INT + (t2 > 0)::INT >= 2 QUALIFY rank <= 30),
+  n AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM m QUALIFY rank <= 30)
+  SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (FROM w UNION ALL FROM n) GROUP BY 1 ORDER BY score DESC, id LIMIT 10""")
+def _(spark, d):
+    e = entries(spark, d)
+    return m.fused_search(e, "the symbol queue, review", r.ranked(e.select("id"), ["id"], 30))
