@@ -67,3 +67,19 @@ def test_copies(spark):
     assert near[100] == {101} and near[101] == {100}
     assert near[102] == {0, 1, 2, 3}  # the four smallest ids stand for forty copies
     assert near[30] >= {0, 1, 2} and near[0] >= {1, 2, 3} and len(rows) < 40 * 6
+
+
+def test_search_of_some_rows(spark):
+    vectors = {i: v for i, v in enumerate(_data(7, 400, 12, 0.8))}
+    df = _rows(spark, vectors, BAD)
+    ids = sorted(vectors)
+    x = np.array([vectors[i] for i in ids], "f4")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for cap in (2048, 16):
+        rows = similar_vectors(df, dim=DIM, k=10, tables=12, hashes=1, probe_gap=9.0, queries="id % 20 = 0", cap=cap).collect()
+        got = {}
+        for r in rows:
+            got.setdefault(r.id, set()).add(r.other_id)
+        assert set(got) == {i for i in ids if i % 20 == 0}
+        hits = [len(got[q] & set(np.argsort(-np.where(np.arange(len(ids)) == q, -9, x @ x[q]))[:10])) for q in got]
+        assert np.mean(hits) >= 9

@@ -87,31 +87,33 @@ def _hash(dim: int, tables: int, hashes: int, gap: float, seed: int) -> Callable
             if not len(h1):
                 continue
             x = batch.column(2).flatten().to_numpy().reshape(-1, dim).astype("f8")
-            keep = np.unique(h1 ^ (h2 << 1), return_index=True)[1]  # copies within a batch are entered once
+            _, keep, same = np.unique(h1 ^ (h2 << 1), return_index=True, return_inverse=True)  # copies within a batch are entered once
+            asks = np.bincount(same, weights=batch.column(3).to_numpy(zero_copy_only=False)) > 0
             h1, h2, x = h1[keep], h2[keep], x[keep]
             unit = x / np.abs(x).max(1, keepdims=True)
             unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype("f4")
             own, near = codes(unit, turns, tables, hashes, gap)
             step = np.abs(unit).max(1) / 127
             small = np.rint(unit / step[:, None]).astype(np.int8)
-            row, t = np.nonzero(near >= 0)
+            row, t = np.nonzero((near >= 0) & asks[:, None])
             at = np.concatenate([np.repeat(np.arange(len(h1)), tables), row])
             code = np.concatenate([own.ravel(), near[row, t]])
             probe = np.concatenate([np.zeros(own.size, bool), np.ones(len(row), bool)])
             data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim), len(at), [None, pa.py_buffer(np.ascontiguousarray(small[at]))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(probe), pa.array(h1[at]), pa.array(h2[at]), pa.array(step[at].astype("f4")), data], names=["code", "probe", "h1", "h2", "step", "small"])
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(probe), pa.array(h1[at]), pa.array(h2[at]), pa.array(step[at].astype("f4")), pa.array(asks[at]), data], names=["code", "probe", "h1", "h2", "step", "asks", "small"])
 
     return run
 
 
-def _pairs_of(v: np.ndarray, step: np.ndarray, probe: np.ndarray, block: np.ndarray, cell: np.ndarray, cls: np.ndarray, k: int, least: float) -> np.ndarray:
-    """Index pairs of one group that may be among the k best of a side and reach ``least``."""
-    n, out = len(v), []
-    for a in range(0, n, 512):
-        sims = v[a : a + 512] @ v.T
-        err = np.sqrt(v.shape[1]) * 0.53 * (step[a : a + 512, None] + step[None])
-        bad = (cls[a : a + 512, None] == cls[None]) | (probe[a : a + 512, None] & probe[None])
-        bad |= (block[a : a + 512, None] == block[None]) & (cell[a : a + 512, None] < 0)
+def _pairs_of(v: np.ndarray, step: np.ndarray, probe: np.ndarray, block: np.ndarray, cell: np.ndarray, cls: np.ndarray, asks: np.ndarray, k: int, least: float) -> np.ndarray:
+    """Index pairs of one group that may be among the k best of a row that asks, and reach ``least``."""
+    n, out, rows = len(v), [np.empty((0, 2), "i8")], np.flatnonzero(asks)
+    for a in range(0, len(rows), 512):
+        r = rows[a : a + 512]
+        sims = v[r] @ v.T
+        err = np.sqrt(v.shape[1]) * 0.53 * (step[r, None] + step[None])
+        bad = (cls[r, None] == cls[None]) | (probe[r, None] & probe[None])
+        bad |= (block[r, None] == block[None]) & (cell[r, None] < 0)
         sims[bad] = -9
         keep = sims + err >= least
         if n > k:
@@ -119,7 +121,7 @@ def _pairs_of(v: np.ndarray, step: np.ndarray, probe: np.ndarray, block: np.ndar
             low[bad] = -9
             keep &= sims + err >= np.partition(low, n - k, axis=1)[:, n - k, None]
         i, j = np.nonzero(keep & ~bad)
-        out.append(np.stack([i + a, j], 1))
+        out.append(np.stack([r[i], j], 1))
     return np.concatenate(out)
 
 
@@ -127,7 +129,7 @@ def _compare(dim: int, k: int, least: float, small_group: int = 24) -> Callable:
     names = ["a1", "a2", "b1", "b2"]
 
     def work(cols: list[np.ndarray], data: np.ndarray) -> Iterator[pa.RecordBatch]:
-        code, cell, block, probe, h1, h2, step = cols
+        code, cell, block, probe, h1, h2, step, asks = cols
         n = len(code)
         if n < 2:
             return
@@ -144,14 +146,14 @@ def _compare(dim: int, k: int, least: float, small_group: int = 24) -> Callable:
                     break
                 continue
             j = i + s
-            ok = (cls[i] != cls[j]) & ~(probe[i] & probe[j]) & ~((block[i] == block[j]) & (cell[i] < 0))
+            ok = (cls[i] != cls[j]) & (asks[i] | asks[j]) & ~(probe[i] & probe[j]) & ~((block[i] == block[j]) & (cell[i] < 0))
             i, j = i[ok], j[ok]
             sims = np.einsum("ij,ij->i", v[i], v[j]) + np.sqrt(dim) * 0.53 * (step[i] + step[j])
             ok = sims >= least
             found.append(np.stack([i[ok], j[ok]], 1))
         for a, b in zip(start, end):
             if b - a > small_group:
-                found.append(_pairs_of(v[a:b], step[a:b], probe[a:b], block[a:b], cell[a:b], cls[a:b], k, least) + a)
+                found.append(_pairs_of(v[a:b], step[a:b], probe[a:b], block[a:b], cell[a:b], cls[a:b], asks[a:b], k, least) + a)
         if not found:
             return
         p = np.concatenate(found)
@@ -169,12 +171,12 @@ def _compare(dim: int, k: int, least: float, small_group: int = 24) -> Callable:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
-            held.append((cols, _binary(batch.column(7), dim)))
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
+            held.append((cols, _binary(batch.column(8), dim)))
             rows += batch.num_rows
             if rows < 60_000:
                 continue
-            cols = [np.concatenate([h[0][i] for h in held]) for i in range(7)]
+            cols = [np.concatenate([h[0][i] for h in held]) for i in range(8)]
             data = np.concatenate([h[1] for h in held])
             last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
             split = int(np.argmax(last))
@@ -182,26 +184,30 @@ def _compare(dim: int, k: int, least: float, small_group: int = 24) -> Callable:
                 yield from work([c[:split] for c in cols], data[:split])
             held, rows = [([c[split:] for c in cols], data[split:])], len(data) - split
         if held:
-            yield from work([np.concatenate([h[0][i] for h in held]) for i in range(7)], np.concatenate([h[1] for h in held]))
+            yield from work([np.concatenate([h[0][i] for h in held]) for i in range(8)], np.concatenate([h[1] for h in held]))
 
     return run
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
-    """``id, h1, h2, v``: the rows that take part, with two hashes that stand for equal vectors."""
+def usable(vectors: DataFrame, id_col: str, vector_col: str, dim: int, queries: str | None = None) -> DataFrame:
+    """``id, h1, h2, v, asks``: the rows that take part, with two hashes that stand for equal vectors."""
     v = F.col(vector_col)
     fine = (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.filter(v.isNotNull() & F.col(id_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("float")).alias("v"))
-    return rows.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(SEED), F.lit("again"), "v").alias("h2"), "v")
+    rows = vectors.filter(v.isNotNull() & F.col(id_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("float")).alias("v"), F.coalesce(F.expr(queries or "true"), F.lit(False)).alias("asks"))
+    return rows.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(SEED), F.lit("again"), "v").alias("h2"), "v", "asks")
 
 
 def similar_vectors(
     vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding", dim: int = 64, k: int = 5, min_cosine: float = -1.0,
-    tables: int = 8, hashes: int = 3, probe_gap: float = 0.02, cap: int = CAP, seed: int = SEED,
+    tables: int = 8, hashes: int = 3, probe_gap: float = 0.02, cap: int = CAP, seed: int = SEED, queries: str | None = None,
 ) -> DataFrame:
-    """``id, other_id, cosine, rank``: for each usable row those of its ``k`` most similar rows with at least ``min_cosine``."""
-    base = usable(vectors, id_col, vector_col, dim)
-    entries = base.select("h1", "h2", "v").mapInArrow(_hash(dim, tables, hashes, probe_gap, seed), "code long, probe boolean, h1 long, h2 long, step float, small binary")
+    """``id, other_id, cosine, rank``: for each usable row those of its ``k`` most similar rows with at least ``min_cosine``.
+
+    ``queries`` is a condition on ``vectors``: only rows that meet it ask, against all rows.  The defaults are made for
+    near neighbours; far ones need ``hashes=1``, more tables and a high ``probe_gap``.
+    """
+    base = usable(vectors, id_col, vector_col, dim, queries)
+    entries = base.select("h1", "h2", "v", "asks").mapInArrow(_hash(dim, tables, hashes, probe_gap, seed), "code long, probe boolean, h1 long, h2 long, step float, asks boolean, small binary")
     heavy = materialize(entries.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap), "heavy")
     n_heavy = heavy.count()
     if n_heavy:
@@ -209,11 +215,14 @@ def similar_vectors(
         entries = entries.join(F.broadcast(heavy) if n_heavy <= HOT_LIMIT else heavy, "code", "left").withColumn("block", F.pmod("h1", F.coalesce("_m", F.lit(1))).cast("int"))
         # cell i * m + j holds blocks i <= j; where they differ it is numbered below zero and compares across only
         cell = lambda j: F.when(F.col("block") == j, F.col("block") * F.col("_m") + j).otherwise(-1 - (F.least("block", j) * F.col("_m") + F.greatest("block", j)))
-        cells = F.when(F.col("_m").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("_m", F.lit(1)) - 1), cell))
+        every = F.sequence(F.lit(0), F.coalesce("_m", F.lit(1)) - 1)
+        # where few ask, those go to all blocks and the others to their own
+        cells = F.transform(every, cell) if queries is None else F.when(F.col("asks"), every).otherwise(F.array("block"))
+        cells = F.when(F.col("_m").isNull(), F.array(F.lit(0))).otherwise(cells)
         entries = entries.withColumn("cell", F.explode(cells))
     else:
         entries = entries.withColumn("block", F.lit(0)).withColumn("cell", F.lit(0))
-    entries = entries.select("code", "cell", "block", "probe", "h1", "h2", "step", "small")
+    entries = entries.select("code", "cell", "block", "probe", "h1", "h2", "step", "asks", "small")
     pairs = entries.repartition("code", "cell").sortWithinPartitions("code", "cell").mapInArrow(_compare(dim, k, min_cosine), "a1 long, a2 long, b1 long, b2 long").distinct()
 
     by_class = W.partitionBy("h1", "h2").orderBy("id")
@@ -228,7 +237,7 @@ def similar_vectors(
     itself = classes.filter(F.size("ids") > 1).select("h1", "h2", "ids", F.lit(1.0).alias("cosine"))
     near = there.unionByName(back).withColumn("_n", F.rank().over(W.partitionBy("h1", "h2").orderBy(F.desc("cosine")))).filter(F.col("_n") <= k).drop("_n")
     near = near.unionByName(itself if min_cosine <= 1 else itself.limit(0))
-    own = base.select("id", "h1", "h2").distinct()
+    own = base.filter("asks").select("id", "h1", "h2").distinct()
     rows = own.join(near, ["h1", "h2"]).select("id", F.explode("ids").alias("other_id"), "cosine").filter("id != other_id")
     return rows.withColumn("rank", F.rank().over(W.partitionBy("id").orderBy(F.desc("cosine")))).filter(F.col("rank") <= k)
 

@@ -27,6 +27,11 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return near.join(name, "id").join(name.select(F.col("id").alias("other_id"), F.col("symbol_name").alias("other_name")), "other_id").select("id", "symbol_name", "other_id", "other_name", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def p1_search(spark: SparkSession, d: str) -> DataFrame:
+    near = similar_vectors(table(spark, d, "vectors"), k=10, tables=12, hashes=1, probe_gap=9.0, queries="id % 20 = 0")
+    return near.select("id", "other_id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     return doc_pairs(table(spark, d, "symbols"))
 
@@ -90,7 +95,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return mislabelled(materialize(p9_languages(spark, d), "languages"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_files": p4_files, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_kept": p7_kept, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_segments": p9_segments, "p9_languages": p9_languages}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_search": p1_search, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_files": p4_files, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_kept": p7_kept, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_segments": p9_segments, "p9_languages": p9_languages}
 
 _GRAMS = r"""
 WITH doc AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(regexp_replace(text, '[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g'))), '[\p{L}\p{Nd}]+') AS w FROM documents),
