@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions.text import tokens
 from trellis.operators.graph import is_test_path
+from trellis.session import materialize
 
 #: Column weights and constants of the ranking function.
 WEIGHTS = {"name": 10.0, "signature": 5.0, "doc": 3.0, "content": 1.0}
@@ -119,8 +120,9 @@ def hybrid(symbols: DataFrame, vectors: DataFrame, text: str, query: DataFrame,
 
     A vector hit belongs to the best text hit with its (file, name), else to the first symbol of that (file, name).
     """
-    words = ranked(bm25(symbols, text).select("id", "name", "file", "line_start", "score"), ["score", "id"], 3 * limit)
-    near = nearest(vectors, query, 3 * limit).select(F.col("symbol_name").alias("name"), "file", "rank").groupBy("name", "file").agg(F.min("rank").alias("rank"))
+    # both lists are short and used more than once
+    words = materialize(ranked(bm25(symbols, text).select("id", "name", "file", "line_start", "score"), ["score", "id"], 3 * limit), "words")
+    near = materialize(nearest(vectors, query, 3 * limit), "near").select(F.col("symbol_name").alias("name"), "file", "rank").groupBy("name", "file").agg(F.min("rank").alias("rank"))
     first_hit = words.groupBy("name", "file").agg(F.min_by("line_start", "rank").alias("_hit"))
     first_symbol = symbols.join(F.broadcast(near.select("name", "file")), ["name", "file"], "left_semi").groupBy("name", "file").agg(F.min_by("line_start", "id").alias("_symbol"))
     placed = near.join(first_hit, ["name", "file"], "left").join(first_symbol, ["name", "file"], "left").withColumn("line_start", F.coalesce("_hit", "_symbol"))
@@ -132,6 +134,7 @@ def hybrid(symbols: DataFrame, vectors: DataFrame, text: str, query: DataFrame,
 
 def boost(hits: DataFrame, edges: DataFrame, symbols: DataFrame, limit: int = 20) -> DataFrame:
     """Adds to hits, or appends, their first three callers (0.3 of the score) and callees of confidence 0.5 (0.15)."""
+    hits = materialize(hits, "hits")
     seeds = F.broadcast(hits.select("name", "score").groupBy("name").agg(F.sum("score").alias("_s")))
     own = symbols.select("id", "name").join(seeds, "name")
 
