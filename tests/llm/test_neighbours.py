@@ -1,6 +1,11 @@
+import os
+
 import numpy as np
+import pytest
 
-from trellis.llm.neighbours import codes, rotations, similar_pairs, similar_vectors
+from trellis.llm.neighbours import codes, rotations, similar_pairs, similar_vectors, usable
+from trellis.llm.plans import p1_neighbours
+from trellis.sources import table
 
 DIM = 16
 
@@ -83,3 +88,27 @@ def test_search_of_some_rows(spark):
         assert set(got) == {i for i in ids if i % 20 == 0}
         hits = [len(got[q] & set(np.argsort(-np.where(np.arange(len(ids)) == q, -9, x @ x[q]))[:10])) for q in got]
         assert np.mean(hits) >= 9
+
+
+def test_all_rows_get_their_far_neighbours(spark):
+    vectors = {i: v for i, v in enumerate(np.random.default_rng(11).normal(size=(300, DIM)))}
+    df = _rows(spark, vectors, BAD)
+    for block in (1000, 60):
+        rows = similar_vectors(df.union(df.limit(20)), dim=DIM, k=5, exhaustive=True, block=block).collect()
+        assert {(min(r.id, r.other_id), max(r.id, r.other_id)) for r in rows} == brute(vectors, 5, -1)
+        assert len(rows) == 5 * len(vectors)
+    some = similar_vectors(df, dim=DIM, k=5, exhaustive=True, block=60, queries="id % 20 = 0").collect()
+    assert {(r.id, r.other_id) for r in some} == {(r.id, r.other_id) for r in rows if r.id % 20 == 0}
+    assert similar_vectors(df.limit(0), dim=DIM, exhaustive=True).count() == 0
+    base = _data(3, 4, 4, 0.0)
+    copies = {i: base[0] for i in range(9)} | {100: base[1], 101: base[2], 102: base[0] + 1e-3}
+    pairs = [similar_vectors(_rows(spark, copies), dim=DIM, k=2, exhaustive=e, hashes=1, tables=24, probe_gap=9.0).select("id", "other_id", "rank").collect() for e in (True, False)]
+    assert sorted(pairs[0]) == sorted(pairs[1])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_query_leaves_no_row_out(spark):
+    d = "/root/testdata/sf0.001"
+    rows = usable(table(spark, d, "vectors"), "id", "embedding", 64)
+    near = p1_neighbours(spark, d).groupBy("id").count().collect()
+    assert {r.id for r in near} == {r.id for r in rows.collect()} and min(r["count"] for r in near) >= 5

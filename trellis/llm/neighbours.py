@@ -10,6 +10,10 @@ whose error is bounded for each pair; what may be among the ``k`` best of either
 Exact copies are one class while hashing; its members come back at the end.  A code held by more than ``cap`` entries is
 dealt out as pairs of blocks over many tasks, so nothing is dropped and no task holds an unbounded group.
 
+Where every row needs its ``k`` nearest however far they are, hashing saves little (one hash of 16 tables still compares
+more than half of all pairs at 64 dimensions and misses some): ``exhaustive`` compares all classes in pairs of blocks and
+is exact.  Its work grows with the square of the classes, its disk with their number times that of the blocks.
+
 Defined results: a vector that is null, of another length than ``dim``, with an element that is null or not finite, or
 all zero, takes no part.  Ties in the cosine count as equally near, save that of more than k + 1 exact copies the k + 1
 smallest ids stand for all.  Repeated rows (same id) count once.  No usable row, no result.
@@ -32,6 +36,8 @@ SEED = 20_240_601
 CAP = 2048
 #: Heavy codes that are broadcast at most; beyond that they are joined by a shuffle.
 HOT_LIMIT = 200_000
+#: Classes of one block where all are compared.
+BLOCK = 32_768
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -189,6 +195,72 @@ def _compare(dim: int, k: int, least: float, small_group: int = 24) -> Callable:
     return run
 
 
+def _nearest(x: np.ndarray, y: np.ndarray, at: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of x, rows of y and cosine: the k nearest of y and their ties for each row of x; ``at``: its own row in y."""
+    norm = lambda z: (z / np.linalg.norm(z, axis=1, keepdims=True)).astype("f4")
+    big_x, big_y = (z / np.abs(z).max(1, keepdims=True) for z in (x, y))
+    few_x, few_y, n = norm(big_x), norm(big_y).T.copy(), len(y)
+    groups = min(n, max(256, 8 * k))
+    whole = n // groups * groups
+    out = [(np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0))]
+    for a in range(0, len(x), 256):
+        sims = few_x[a : a + 256] @ few_y
+        rows = np.arange(len(sims))
+        if at is not None:
+            sims[rows, at[a : a + 256]] = -9
+        least = np.full(len(sims), -2.0, "f4")
+        if groups > k:  # the k-th best maximum of the groups is not above the k-th best row
+            best = sims[:, :whole].reshape(len(sims), -1, groups).max(1)
+            least = np.maximum(least, np.partition(best, groups - k, axis=1)[:, groups - k] - np.float32(1e-5))
+        i, j = np.divmod(np.flatnonzero(sims >= least[:, None]), n)
+        u, v = x[a + i], y[j]
+        dot = lambda p, q: np.einsum("ij,ij->i", p, q)
+        cosine = dot(u, v) / np.sqrt(dot(u, u) * dot(v, v))
+        order = np.lexsort((-cosine, i))
+        i, j, cosine = i[order], j[order], cosine[order]
+        end = np.searchsorted(i, rows, "right")
+        kth = cosine[np.minimum(np.searchsorted(i, rows) + k, end) - 1] if len(i) else np.empty(0)
+        keep = cosine >= kth[i] - 1e-12
+        out.append((i[keep] + a, j[keep], cosine[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _all_pairs(dim: int, k: int) -> Callable:
+    names = ["h1", "h2", "o1", "o2", "cosine"]
+
+    def work(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        _, low, block, asks, h1, h2, v = rows
+        one = block == low
+        sides = [np.flatnonzero(one), np.flatnonzero(~one)]
+        for a, b in [(0, 1), (1, 0)] if len(sides[1]) else [(0, 0)]:
+            mine, other = sides[a][asks[sides[a]]], sides[b]
+            if not len(mine) or not len(other):
+                continue
+            i, j, cosine = _nearest(v[mine], v[other], np.searchsorted(other, mine) if a == b else None, k)
+            i, j = mine[i], other[j]
+            for s in range(0, len(i), 50_000):
+                x, y = i[s : s + 50_000], j[s : s + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h1[x], h2[x], h1[y], h2[y], cosine[s : s + 50_000])], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        join = lambda: [np.concatenate(c) for c in zip(*held)]
+        for batch in batches:
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(6)]
+            v = batch.column(6).flatten().to_numpy().reshape(-1, dim).astype("f8")
+            cuts = [0, *(np.flatnonzero(np.diff(cols[0])) + 1), len(v)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    if held and held[-1][0][0] != cols[0][a]:
+                        yield from work(join())
+                        held = []
+                    held.append([*(c[a:b] for c in cols), v[a:b]])
+        if held:
+            yield from work(join())
+
+    return run
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str, dim: int, queries: str | None = None) -> DataFrame:
     """``id, h1, h2, v, asks``: the rows that take part, with two hashes that stand for equal vectors."""
     v = F.col(vector_col)
@@ -197,16 +269,19 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, dim: int, queries:
     return rows.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(SEED), F.lit("again"), "v").alias("h2"), "v", "asks")
 
 
-def similar_vectors(
-    vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding", dim: int = 64, k: int = 5, min_cosine: float = -1.0,
-    tables: int = 8, hashes: int = 3, probe_gap: float = 0.02, cap: int = CAP, seed: int = SEED, queries: str | None = None,
-) -> DataFrame:
-    """``id, other_id, cosine, rank``: for each usable row those of its ``k`` most similar rows with at least ``min_cosine``.
+def _every(classes: DataFrame, dim: int, k: int, block: int) -> DataFrame:
+    """``h1, h2, ids, cosine``: the k nearest classes within each block, for classes that ask."""
+    m = max(1, -(-classes.count() // block))
+    rows = classes.select("h1", "h2", "v", F.coalesce("asks", F.lit(False)).alias("asks"), F.pmod("h1", F.lit(m)).alias("block"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))).withColumn("low", F.least("block", "j")).withColumn("cell", F.col("low") * m + F.greatest("block", "j"))
+    rows = rows.select("cell", "low", "block", "asks", "h1", "h2", "v").repartition(m * (m + 1) // 2, "cell").sortWithinPartitions("cell")
+    near = rows.mapInArrow(_all_pairs(dim, k), "h1 long, h2 long, o1 long, o2 long, cosine double")
+    near = near.withColumn("_n", F.rank().over(W.partitionBy("h1", "h2").orderBy(F.desc("cosine")))).filter(F.col("_n") <= k).drop("_n")
+    return near.join(classes.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), "ids"), ["o1", "o2"]).select("h1", "h2", "ids", "cosine")
 
-    ``queries`` is a condition on ``vectors``: only rows that meet it ask, against all rows.  The defaults are made for
-    near neighbours; far ones need ``hashes=1``, more tables and a high ``probe_gap``.
-    """
-    base = usable(vectors, id_col, vector_col, dim, queries)
+
+def _hashed(base: DataFrame, classes: DataFrame, dim: int, k: int, min_cosine: float, tables: int, hashes: int, probe_gap: float, cap: int, seed: int, queries: str | None) -> DataFrame:
+    """``h1, h2, ids, cosine``: classes that share a code, both ways."""
     entries = base.select("h1", "h2", "v", "asks").mapInArrow(_hash(dim, tables, hashes, probe_gap, seed), "code long, probe boolean, h1 long, h2 long, step float, asks boolean, small binary")
     heavy = materialize(entries.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap), "heavy")
     n_heavy = heavy.count()
@@ -224,18 +299,37 @@ def similar_vectors(
         entries = entries.withColumn("block", F.lit(0)).withColumn("cell", F.lit(0))
     entries = entries.select("code", "cell", "block", "probe", "h1", "h2", "step", "asks", "small")
     pairs = entries.repartition("code", "cell").sortWithinPartitions("code", "cell").mapInArrow(_compare(dim, k, min_cosine), "a1 long, a2 long, b1 long, b2 long").distinct()
-
-    by_class = W.partitionBy("h1", "h2").orderBy("id")
-    few = base.withColumn("_n", F.rank().over(by_class)).filter(F.col("_n") <= k + 1)
-    classes = few.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first(F.when(F.col("_n") == 1, F.col("v")), ignorenulls=True).alias("v"))
     a, b = (classes.select(*[F.col(c).alias(f"{s}{c[1:]}") for c in ("h1", "h2")], F.col("ids").alias(f"{s}_ids"), F.col("v").alias(f"{s}_v")) for s in "ab")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
     scored = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
     scored = scored.withColumn("cosine", dot("a_v", "b_v") / F.sqrt(dot("a_v", "a_v") * dot("b_v", "b_v"))).filter(F.col("cosine") >= min_cosine)
     there = scored.select(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("b_ids").alias("ids"), "cosine")
     back = scored.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("a_ids").alias("ids"), "cosine")
+    return there.unionByName(back)
+
+
+def similar_vectors(
+    vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding", dim: int = 64, k: int = 5, min_cosine: float = -1.0,
+    tables: int = 8, hashes: int = 3, probe_gap: float = 0.02, cap: int = CAP, seed: int = SEED, queries: str | None = None,
+    exhaustive: bool = False, block: int = BLOCK,
+) -> DataFrame:
+    """``id, other_id, cosine, rank``: for each usable row those of its ``k`` most similar rows with at least ``min_cosine``.
+
+    ``queries`` is a condition on ``vectors``: only rows that meet it ask, against all rows.  The defaults are made for
+    near neighbours; far ones need ``hashes=1``, more tables and a high ``probe_gap``, or ``exhaustive``, which compares
+    all with all in blocks of about ``block`` different vectors and is exact.
+    """
+    base = usable(vectors, id_col, vector_col, dim, queries)
+    by_class = W.partitionBy("h1", "h2").orderBy("id")
+    few = base.withColumn("_n", F.rank().over(by_class)).filter(F.col("_n") <= k + 1)
+    classes = few.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first(F.when(F.col("_n") == 1, F.col("v")), ignorenulls=True).alias("v"))
+    if exhaustive:
+        classes = materialize(classes, "classes")
+        near = _every(classes.join(base.filter("asks").select("h1", "h2").distinct().withColumn("asks", F.lit(True)), ["h1", "h2"], "left"), dim, k, block).filter(F.col("cosine") >= min_cosine)
+    else:
+        near = _hashed(base, classes, dim, k, min_cosine, tables, hashes, probe_gap, cap, seed, queries)
+    near = near.withColumn("_n", F.rank().over(W.partitionBy("h1", "h2").orderBy(F.desc("cosine")))).filter(F.col("_n") <= k).drop("_n")
     itself = classes.filter(F.size("ids") > 1).select("h1", "h2", "ids", F.lit(1.0).alias("cosine"))
-    near = there.unionByName(back).withColumn("_n", F.rank().over(W.partitionBy("h1", "h2").orderBy(F.desc("cosine")))).filter(F.col("_n") <= k).drop("_n")
     near = near.unionByName(itself if min_cosine <= 1 else itself.limit(0))
     own = base.filter("asks").select("id", "h1", "h2").distinct()
     rows = own.join(near, ["h1", "h2"]).select("id", F.explode("ids").alias("other_id"), "cosine").filter("id != other_id")

@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "vectors")
-    near = similar_vectors(vectors, k=5, min_cosine=0.9)
+    near = similar_vectors(vectors, k=5, exhaustive=True)
     name = vectors.select("id", "symbol_name").dropDuplicates(["id"])
     return near.join(name, "id").join(name.select(F.col("id").alias("other_id"), F.col("symbol_name").alias("other_name")), "other_id").select("id", "symbol_name", "other_id", "other_name", F.round("cosine", 6).alias("cosine"), "rank")
 
