@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from trellis.llm.handwritten import SKETCH, components, core, jaccard, layout, masked, not_handwritten, sketch
+from trellis.llm.handwritten import SKETCH, clusters, components, core, jaccard, layout, masked, not_handwritten, sketch
 
 R = random.Random(2)
 
@@ -85,3 +85,25 @@ def test_cases(spark):
     assert len(rows) == len(got)
     assert {n: got.get(n, [None])[0] for n in want} == want
     assert not_handwritten(f.limit(0), t.limit(0)).count() == 0
+
+
+def test_every_similar_pair_of_a_band_is_linked(spark):
+    r, rows, sets = random.Random(5), [], {}
+    for i in range(60):  # chains within one band, whose least member "00" is like none of the others
+        sets[f"{i:02}"] = set(range(900, 1000)) if i == 0 else set(range(10 * (i // 6), 10 * (i // 6) + 100)) - set(r.sample(range(500), 8))
+    sets["61"] = set(sets["07"])
+    for text, values in sets.items():
+        low = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32)
+        low[: len(values)] = sorted(values)
+        rows.append((text, "07" if text == "61" else text, 50, [1], low.tobytes()))
+    parent = {t: t for t in sets}
+    find = lambda t: t if parent[t] == t else find(parent[t])
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    df = spark.createDataFrame(rows, "text string, order string, n_tokens long, bands array<long>, low binary")
+    for cap in (4096, 9):
+        got = {t: c for t, c in clusters(df, cap=cap).collect()}
+        assert got == {t: find(t) for t in sets} and got["00"] == "00"

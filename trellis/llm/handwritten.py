@@ -1,8 +1,8 @@
 """Generated, minified or vendored source files, and blocks of data in the form of code.
 
 Method: every text without its opening notice is masked (identifiers, numbers and strings become one token each), cut
-into shingles of five tokens and clustered by MinHash bands; each member is verified against the leader of its band by
-the Jaccard similarity of the shingles (0.8 or more).  Clusters are read together with what path, notice and layout show:
+into shingles of five tokens and clustered by MinHash bands; any two of one band with a Jaccard similarity of the shingles
+of 0.8 or more come to be in one cluster.  Clusters are read together with what path, notice and layout show:
 
 * ``generated``: path or notice say so, or most lines form numbered runs, or the file belongs to a family, that is,
   members of one cluster in one repository with the same masked text but ``FAMILY`` or more different texts;
@@ -11,8 +11,8 @@ the Jaccard similarity of the shingles (0.8 or more).  Clusters are read togethe
   which they say so in another place;
 * ``blob``: the file is in a cluster of literals only, that is, most of its lines are literals.
 
-A repository is the first two parts of a path.  Exact copies are one class while clustering, so a text that is there very
-often costs one row; bands are joined to their leaders, never to each other.
+A repository is the first two parts of a path.  Texts with the same masked sequence are one class while clustering, so a
+text that is there very often costs one row.
 
 Defined results: a null or empty text is judged by its path alone, a null path by its text alone; repeated rows count
 once; texts of fewer than ``MIN_TOKENS`` tokens are no copies of one another.
@@ -22,18 +22,20 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from trellis.session import materialize
 
 SHINGLE, BANDS, ROWS, SKETCH = 5, 16, 4, 128
 SIMILAR, FAMILY, MIN_TOKENS, MIN_LINES, MOST = 0.8, 3, 20, 10, 0.5
+#: Nodes of one band that one task compares with one another.
+CAP = 4096
 
 # ---- fixed values: what paths and notices look like
 GENERATED_PATH = r"(?i)(^|/)(generated|__generated__|_generated|autogen|auto-generated|gen|gensrc|generated-sources)/|\.(pb\.(go|cc|h|rs|swift|dart|ts|js)|g\.\w+|gen\.\w+|generated\.\w+|designer\.(cs|vb)|freezed\.dart)$|(_pb2(_grpc)?\.pyi?|_pb\.(js|ts|rb)|_grpc_pb\.(js|ts)|_generated\.\w+|\.generated)$|(^|/)zz_generated[^/]*$"
@@ -167,12 +169,6 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (twice & (rank <= SKETCH)).sum(1) / np.maximum(1, np.minimum(rank[:, -1], SKETCH))
 
 
-@F.pandas_udf(DoubleType())
-def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    pack = lambda s: np.frombuffer(b"".join(s), np.uint32).reshape(-1, SKETCH)
-    return pd.Series(jaccard(pack(a), pack(b)))
-
-
 def profiles(texts: DataFrame) -> DataFrame:
     """What the text of each file shows, by ``file_id``."""
     schema = "file_id long, notice string, n_tokens long, n_lines long, run double, data double, dense double, text string, order string, bands array<long>, low binary"
@@ -198,16 +194,69 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("cluster")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("cluster"))).distinct()
 
 
-def clusters(profile: DataFrame, similarity: float = SIMILAR) -> DataFrame:
-    """``text, cluster``: classes of equal texts (by digest) and their cluster, the smallest digest in it."""
-    classes = profile.filter(F.col("n_tokens") >= MIN_TOKENS).groupBy("text").agg(F.first("bands").alias("bands"), F.first("low").alias("low"))
-    classes = materialize(classes, "classes")
-    bands = classes.select("text", F.explode("bands").alias("band"))
-    led = bands.join(bands.groupBy("band").agg(F.min("text").alias("leader")), "band").filter("text != leader").select("text", "leader").distinct()
-    low = lambda t, c: classes.select(F.col("text").alias(t), F.col("low").alias(c))
-    close = led.join(low("text", "p"), "text").join(low("leader", "q"), "leader").filter(_jaccard("p", "q") >= similarity)
-    joined = components(close.select(F.col("text").alias("a"), F.col("leader").alias("b")), "clusters")
-    return classes.select("text").join(joined, F.col("text") == F.col("node"), "left").select("text", F.coalesce("cluster", "text").alias("cluster"))
+def _chains(low: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """A row and the rows that join it: each is compared with all rows that are in no chain yet, so no similar pair is left."""
+    none = np.iinfo(np.uint32).max
+    values, ids = np.unique(low, return_inverse=True)
+    ids, sizes, seen = ids.reshape(low.shape), (low != none).sum(1), np.zeros(len(values), bool)
+    rest, queue = np.arange(len(low)), []
+    while len(rest):
+        if not queue:
+            queue, rest = [rest[0]], rest[1:]
+        i = queue.pop()
+        seen[ids[i]] = values[ids[i]] != none
+        both = seen[ids[rest]].sum(1)
+        seen[ids[i]] = False
+        # shared values bound the similarity from above
+        j = np.flatnonzero(both >= similarity * np.minimum(sizes[i] + sizes[rest] - both, SKETCH))
+        if len(j):
+            j = j[jaccard(np.broadcast_to(low[i], (len(j), SKETCH)), low[rest[j]]) >= similarity]
+            queue.extend(rest[j])
+            yield i, rest[j]
+            rest = np.delete(rest, j)
+
+
+def _links(similarity: float) -> Callable:
+    def work(held: list[tuple[list, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        nodes, low = sum((h[0] for h in held), []), np.concatenate([h[1] for h in held])
+        found = [(nodes[i], nodes[j]) for i, more in _chains(low, similarity) for j in more]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            band, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            nodes, low = batch.column(2).to_pylist(), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, SKETCH)
+            cuts = [0, *(np.flatnonzero((band[1:] != band[:-1]) | (cell[1:] != cell[:-1])) + 1), len(band)]
+            for a, b in zip(cuts, cuts[1:]):
+                if last != (band[a], cell[a]):
+                    yield from work(held) if held else ()
+                    held, last = [], (band[a], cell[a])
+                held.append((nodes[a:b], low[a:b]))
+        if held:
+            yield from work(held)
+
+    return run
+
+
+def clusters(profile: DataFrame, similarity: float = SIMILAR, cap: int = CAP) -> DataFrame:
+    """``text, cluster``: classes of equal texts (by digest) and their cluster, the smallest digest in it.
+
+    Texts of one masked sequence are one node.  A band of more than ``cap`` nodes is dealt out as pairs of blocks.
+    """
+    big = profile.filter(F.col("n_tokens") >= MIN_TOKENS)
+    classes = materialize(big.groupBy("order").agg(F.min("text").alias("node"), F.first("bands").alias("bands"), F.first("low").alias("low")), "classes")
+    bands = classes.select("node", F.explode("bands").alias("band"))
+    held = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.when(F.col("n") > cap, F.ceil(2 * F.col("n") / cap)).otherwise(1).cast("int").alias("m"))
+    rows = bands.join(held, "band").withColumn("block", F.pmod(F.xxhash64("node"), "m").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).filter("m = 1 or j != block")
+    rows = rows.select("node", "band", (F.least("block", "j") * F.col("m") + F.greatest("block", "j")).alias("cell")).join(classes.select("node", "low"), "node")
+    close = rows.select("band", "cell", "node", "low").repartition("band", "cell").sortWithinPartitions("band", "cell", "node").mapInArrow(_links(similarity), "a string, b string")
+    joined = components(close, "clusters")
+    nodes = classes.select("order", "node").join(joined, "node", "left").select("order", F.coalesce("cluster", "node").alias("cluster"))
+    return big.select("text", "order").distinct().join(nodes, "order").select("text", "cluster")
 
 
 def not_handwritten(files: DataFrame, texts: DataFrame) -> DataFrame:
