@@ -107,3 +107,9 @@ def test_every_similar_pair_of_a_band_is_linked(spark):
     for cap in (4096, 9):
         got = {t: c for t, c in clusters(df, cap=cap).collect()}
         assert got == {t: find(t) for t in sets} and got["00"] == "00"
+
+
+def test_short_copies(spark):
+    f = spark.createDataFrame([(1, "deps/q-1.0/x.java"), (2, "apps/c/app/x.java"), (3, "deps/q-1.0/e.java"), (4, "apps/c/app/e.java")], "id long, path string")
+    t = spark.createDataFrame([(1, "// Copyright q\ninterface X {\n}\n"), (2, "interface X {\n}"), (3, ""), (4, "\n")], "file_id long, body string")
+    assert {r.file_id for r in not_handwritten(f, t).collect() if r.vendored} == {1, 2, 3}

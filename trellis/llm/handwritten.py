@@ -15,7 +15,7 @@ A repository is the first two parts of a path.  Texts with the same masked seque
 text that is there very often costs one row.
 
 Defined results: a null or empty text is judged by its path alone, a null path by its text alone; repeated rows count
-once; texts of fewer than ``MIN_TOKENS`` tokens are no copies of one another.
+once; texts of fewer than ``MIN_TOKENS`` tokens are in no cluster, but copies where they are equal and not empty.
 """
 
 from __future__ import annotations
@@ -271,8 +271,8 @@ def not_handwritten(files: DataFrame, texts: DataFrame) -> DataFrame:
     yes = lambda c: F.coalesce(c, F.lit(False))
     big = F.col("n_tokens") >= MIN_TOKENS
     seen = seen.withColumn("_ven", yes(F.col("p_ven")) | yes(F.col("notice") == "vendored"))
-    seen = materialize(seen.withColumn("_text", F.when(big, F.col("text"))), "seen")
-    # equal texts, all in one cluster: a copy of what is known to come from elsewhere comes from elsewhere
+    seen = materialize(seen.withColumn("_text", F.when(F.col("n_lines") > 0, F.col("text"))), "seen")
+    # equal texts, however short: a copy of what is known to come from elsewhere comes from elsewhere
     copies = seen.filter("_ven and _text is not null").select("_text", F.lit(True).alias("_copy")).distinct()
     family = seen.filter(big & F.col("repo").isNotNull()).groupBy("cluster", "repo", "order").agg(F.approx_count_distinct("text", 0.02).alias("_n")).filter(F.col("_n") >= FAMILY).select("cluster", "repo", "order", F.lit(True).alias("_family"))
     rows = seen.join(copies, "_text", "left").join(family, ["cluster", "repo", "order"], "left")
