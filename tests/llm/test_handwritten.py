@@ -1,6 +1,9 @@
+import hashlib
 import random
+from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from trellis.llm.handwritten import SKETCH, clusters, components, core, jaccard, layout, masked, not_handwritten, sketch
 
@@ -113,3 +116,14 @@ def test_short_copies(spark):
     f = spark.createDataFrame([(1, "deps/q-1.0/x.java"), (2, "apps/c/app/x.java"), (3, "deps/q-1.0/e.java"), (4, "apps/c/app/e.java")], "id long, path string")
     t = spark.createDataFrame([(1, "// Copyright q\ninterface X {\n}\n"), (2, "interface X {\n}"), (3, ""), (4, "\n")], "file_id long, body string")
     assert {r.file_id for r in not_handwritten(f, t).collect() if r.vendored} == {1, 2, 3}
+
+
+def test_families_are_counted_exactly(spark):
+    bodies = [code(40, 9).replace("call", f"call{i}") for i in range(400)]
+    digests = [(i, hashlib.blake2b(core(b)[1].encode(), digest_size=16).hexdigest()) for i, b in enumerate(bodies)]
+    register = dict(spark.createDataFrame(digests, "i int, text string").select("i", F.shiftrightunsigned(F.xxhash64("text"), 52)).collect())
+    a, b = next(p for p in combinations(register, 2) if register[p[0]] == register[p[1]])  # a sketch counts these as one
+    three = [a, b, next(i for i in register if i not in (a, b))]
+    f = spark.createDataFrame([(i, f"packages/fam/src/f{i}.ts") for i in three], "id long, path string")
+    t = spark.createDataFrame([(i, bodies[i]) for i in three], "file_id long, body string")
+    assert sorted(r.file_id for r in not_handwritten(f, t).collect() if r.generated) == sorted(three)

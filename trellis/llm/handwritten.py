@@ -274,7 +274,7 @@ def not_handwritten(files: DataFrame, texts: DataFrame) -> DataFrame:
     seen = materialize(seen.withColumn("_text", F.when(F.col("n_lines") > 0, F.col("text"))), "seen")
     # equal texts, however short: a copy of what is known to come from elsewhere comes from elsewhere
     copies = seen.filter("_ven and _text is not null").select("_text", F.lit(True).alias("_copy")).distinct()
-    family = seen.filter(big & F.col("repo").isNotNull()).groupBy("cluster", "repo", "order").agg(F.approx_count_distinct("text", 0.02).alias("_n")).filter(F.col("_n") >= FAMILY).select("cluster", "repo", "order", F.lit(True).alias("_family"))
+    family = seen.filter(big & F.col("repo").isNotNull()).groupBy("cluster", "repo", "order").agg(F.count_distinct("text").alias("_n")).filter(F.col("_n") >= FAMILY).select("cluster", "repo", "order", F.lit(True).alias("_family"))
     rows = seen.join(copies, "_text", "left").join(family, ["cluster", "repo", "order"], "left")
     many = F.col("n_lines") >= MIN_LINES
     rows = rows.groupBy("file_id").agg(
