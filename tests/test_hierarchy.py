@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from trellis.operators.hierarchy import descendants, hierarchy
+from trellis.operators.hierarchy import descendants, hierarchy, intervals
+from trellis.session import materialize
 
 
 def brute(pairs):
@@ -39,10 +40,10 @@ def forest(seed, n):
     return pairs
 
 
-@pytest.mark.parametrize("block", [60, 400, 1 << 20])
-def test_against_walk(spark, block):
+@pytest.mark.parametrize("least", [60, 400, 1 << 13])
+def test_against_walk(spark, least):
     pairs = forest(3, 700)
-    rows = hierarchy(spark.createDataFrame(pairs, "child long, parent long"), paths=True, block=block).collect()
+    rows = hierarchy(spark.createDataFrame(pairs, "child long, parent long"), paths=True, least=least).collect()
     got = {r.node: (r.root, r.depth, r.path) for r in rows}
     assert len(rows) == len(got)
     assert got == brute(pairs)
@@ -55,3 +56,24 @@ def test_empty_and_descendants(spark):
     full = hierarchy(d, paths=True)
     assert {tuple(r) for r in descendants(full).collect()} == {(1, 2, 1), (1, 3, 2), (2, 3, 1)}
     assert {tuple(r)[:3] for r in full.collect()} == {(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 4, -1)}
+
+
+def test_intervals(spark):
+    pairs = forest(5, 300)
+    full = hierarchy(spark.createDataFrame(pairs, "child long, parent long"), paths=True, least=50)
+    rows = {r.node: (r.first, r.last) for r in intervals(full).collect()}
+    want = {(a, d) for a, d, _ in descendants(full).collect()}
+    assert {(a, d) for a, (x, y) in rows.items() for d, (z, _) in rows.items() if x < z <= y} == want
+    assert sorted(x for x, _ in rows.values()) == list(range(len(rows)))
+    assert intervals(full.limit(0)).count() == 0
+
+
+def test_several_levels_at_every_size(spark, monkeypatch):
+    from trellis.operators import hierarchy as h
+
+    seen = []
+    monkeypatch.setattr(h, "materialize", lambda df, name: seen.append(name) or materialize(df, name))
+    pairs = [(i, i // 2) for i in range(1, 3 * h.LEAST)]
+    rows = hierarchy(spark.createDataFrame(pairs, "child long, parent long"))
+    assert rows.count() == 3 * h.LEAST and rows.agg({"depth": "max"}).first()[0] == (3 * h.LEAST - 1).bit_length()
+    assert "fragments1" in seen

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 from trellis.operators.references import orphan_references, orphan_report, orphans
+from trellis.operators.skew import hot_keys
 
 DAY = [dt.datetime(2025, 1, 1) + dt.timedelta(days=i) for i in range(60)]
 REF, PARENT, GONE = "key string, row_id long, loaded_at timestamp_ntz, state string", "key string, loaded_at timestamp_ntz, row_id long", "key string, loaded_at string"
@@ -33,7 +34,7 @@ def test_against_brute_force(spark):
     refs += refs[::5]
     frames = spark.createDataFrame(refs, REF), spark.createDataFrame(parents, PARENT), spark.createDataFrame(gone, GONE)
     for hot in (10, 1 << 20):
-        rows = orphans(*frames, hot=hot, salts=7).collect()
+        rows = orphans(*frames, hot=hot).collect()
         assert len(rows) == len({tuple(x) for x in rows}) and {tuple(x) for x in rows} == brute(refs, parents, gone)
     assert orphans(frames[0].limit(0), *frames[1:]).count() == 0
     assert {x.state for x in orphans(frames[0], frames[1].limit(0), frames[2].limit(0)).collect()} == {"missing"}
@@ -50,3 +51,11 @@ def test_three_tables(spark):
         ("edges", 10, "2025-01", "late"), ("edges", 11, "2025-02", "deleted"), ("vectors", 21, "2025-01", "deleted"), ("symbols", 1, "2025-01", "late"), ("symbols", 2, "2025-01", "deleted"),
     }
     assert {tuple(r) for r in orphan_report(found).collect()} == {("edges", "2025-01", "late", 1), ("edges", "2025-02", "deleted", 1), ("vectors", "2025-01", "deleted", 1), ("symbols", "2025-01", "late", 1), ("symbols", "2025-01", "deleted", 1)}
+
+
+def test_the_number_of_hot_keys_is_bounded(spark):
+    rows = spark.createDataFrame([(f"k{i % 7}" if i % 3 else "top", i) for i in range(300)] + [(None, i) for i in range(50)], "key string, row_id long")
+    assert {r.key for r in hot_keys(rows, "key", hot=5).collect()} == {"top", *(f"k{i}" for i in range(7))}
+    few = hot_keys(rows, "key", hot=5, most=1).collect()
+    assert [(r.key, r._salts) for r in few] == [("top", 20)]
+    assert hot_keys(rows.limit(0), "key").count() == 0

@@ -1,8 +1,8 @@
 """Parent-child links to full hierarchies.
 
-Method: fragments.  Links are dealt to bounded partitions; inside each one every parent chain is contracted to its
-exit, the first ancestor whose own link is held elsewhere.  Only exits that have a link themselves form the next,
-smaller quotient forest, which is solved the same way until one partition holds it.  Solutions then expand level by
+Method: fragments.  Links are dealt to bounded partitions, ``LEAST`` to ``MOST`` links each; inside each one every parent
+chain is contracted to its exit, the first ancestor whose own link is held elsewhere.  Only exits that have a link
+themselves form the next, smaller quotient forest, which is solved the same way until one small fragment holds it.  Solutions then expand level by
 level.  A loop shows up either inside a fragment (local) or in a quotient (global).
 
 The first level deals by ranges of the id, since ids made together tend to be linked.  Later levels deal by hash, but
@@ -22,10 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellis.operators.order import numbered
 from trellis.session import materialize
 
-#: Links that one task contracts at once (about 40 bytes each).
-BLOCK = 1 << 20
+#: Links of one fragment: at least, and at most (about 40 bytes each); between them, fragments for ``TASKS`` tasks.
+LEAST, MOST, TASKS = 1 << 13, 1 << 20, 2000
 
 
 def _fragment(child: np.ndarray, parent: np.ndarray, weight: np.ndarray, low: np.ndarray):
@@ -93,10 +94,10 @@ def _deal(links: DataFrame, level: int, parts: int) -> DataFrame:
     )
 
 
-def hierarchy(links: DataFrame, child: str = "child", parent: str = "parent", paths: bool = False, block: int = BLOCK) -> DataFrame:
+def hierarchy(links: DataFrame, child: str = "child", parent: str = "parent", paths: bool = False, least: int = LEAST, most: int = MOST) -> DataFrame:
     """One row ``(node, root, depth[, path])`` for each id that is an end of a link.
 
-    ``path`` is the array of ids from the root to the node.  ``block`` bounds the links of one task.
+    ``path`` is the array of ids from the root to the node.  A fragment holds about ``least`` to ``most`` links.
     """
     pairs = links.select(F.col(child).cast("long").alias("child"), F.col(parent).cast("long").alias("parent")).dropna()
     level_links = pairs.groupBy("child").agg(F.min("parent").alias("parent")).select("child", "parent", F.lit(1).cast("long").alias("weight"), F.col("child").alias("low"))
@@ -107,7 +108,7 @@ def hierarchy(links: DataFrame, child: str = "child", parent: str = "parent", pa
     levels: list[DataFrame] = []
     n = level_links.count()
     while True:
-        parts = max(1, -(-n // block))
+        parts = max(1, -(-n // most), min(-(-n // least), TASKS))
         done = materialize(_deal(level_links, len(levels), parts).mapInPandas(_contract(paths), schema), f"fragments{len(levels)}")
         levels.append(done)
         if parts == 1:
@@ -150,3 +151,17 @@ def descendants(paths: DataFrame) -> DataFrame:
     """``(ancestor, descendant, distance)`` for each node and each of its ancestors, from ``hierarchy(..., paths=True)``."""
     spread = paths.filter("depth > 0").select(F.col("node").alias("descendant"), "depth", F.posexplode("path").alias("pos", "ancestor"))
     return spread.filter("pos < depth").select("ancestor", "descendant", (F.col("depth") - F.col("pos")).cast("long").alias("distance"))
+
+
+def intervals(paths: DataFrame) -> DataFrame:
+    """``(node, root, depth, first, last)``: the descendants of a node are those whose ``first`` lies in (first, last] of it.
+
+    Takes ``hierarchy(..., paths=True)``; nodes on or below a loop are left out.  One row for each node, however many
+    pairs of ancestor and descendant there are: beginnings and ends of subtrees are sorted together by their paths, and
+    counted beginnings are the numbers.
+    """
+    trees = paths.filter("depth >= 0").select("node", "root", "depth", "path")
+    ends = trees.select("node", "root", "depth", F.concat("path", F.array(F.lit((1 << 63) - 1).cast("long"))).alias("path"), F.lit(0).alias("_begins"))
+    both = trees.withColumn("_begins", F.lit(1)).unionByName(ends)
+    placed = numbered(both, ["root", "path", "node"], "_at", weight=F.col("_begins")).select("node", "root", "depth", "_begins", "_at")
+    return placed.groupBy("node", "root", "depth").agg(F.max(F.when(F.col("_begins") == 1, F.col("_at"))).alias("first"), (F.max(F.when(F.col("_begins") == 0, F.col("_at"))) - 1).alias("last"))

@@ -5,8 +5,8 @@ streams (a sort-merge join; the plan is fixed by a hint).  A parent key carries
 loading on, or, if no row has it any more, up to its removal.
 
 A key that very many references name would put them into one task.  Such keys are counted first (with partial counts
-on the map side); their references are salted over ``SALTS`` partitions and the one parent row of each is repeated there.
-The hot keys number at most references / ``HOT``; they are broadcast.
+on the map side); their references are salted over as many tasks as they fill and the one parent row of each is repeated
+there (see ``skew``, which also bounds the number of such keys).
 
 Defined results: a null reference is none; repeated rows count once; a parent without a loading time exists from the
 beginning; a reference without one is never late and has no month; removals count only if no row has the key.
@@ -17,11 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT = 1 << 20
-SALTS = 64
+from trellis.operators.skew import HOT, salted
 
 
-def orphans(refs: DataFrame, parents: DataFrame, removed: DataFrame, hot: int = HOT, salts: int = SALTS) -> DataFrame:
+def orphans(refs: DataFrame, parents: DataFrame, removed: DataFrame, hot: int = HOT) -> DataFrame:
     """``(row_id, loaded_at, state)`` of each reference whose parent is missing, deleted or late.
 
     ``refs``: ``key, row_id, loaded_at``; ``parents``: ``key, loaded_at``; ``removed``: ``key``.
@@ -32,9 +31,7 @@ def orphans(refs: DataFrame, parents: DataFrame, removed: DataFrame, hot: int =
         .unionByName(removed.filter("key is not null").select("key", F.lit(None).cast("timestamp_ntz").alias("since"), F.lit(False).alias("here")))
         .groupBy("key").agg(F.min("since").alias("since"), F.max("here").alias("here"))
     )
-    many = F.broadcast(refs.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot).select("key", F.lit(True).alias("_hot")))
-    refs = refs.join(many, "key", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("row_id"), F.lit(salts))).otherwise(0).cast("int")).drop("_hot")
-    ends = ends.join(many, "key", "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    refs, ends = salted(refs, ends, "key", "row_id", hot)
     state = F.when(F.col("here"), F.when(F.col("since") > F.col("loaded_at"), "late")).when(F.col("here").isNull(), "missing").otherwise("deleted")
     return refs.join(ends.hint("merge"), ["key", "_salt"], "left").withColumn("state", state).filter("state is not null").select("row_id", "loaded_at", "state").distinct()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.operators.hierarchy import descendants, hierarchy
+from trellis.operators.hierarchy import descendants, hierarchy, intervals
 from trellis.operators.references import orphan_references, orphan_report
 from trellis.sources import table
 
@@ -28,6 +28,10 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(_spawns(spark, d, paths=True)).select(F.col("ancestor").alias("symbol_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 
+def p2_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return intervals(_spawns(spark, d, paths=True)).select(F.col("node").alias("symbol_id"), "depth", F.col("first").alias("first_no"), F.col("last").alias("last_no"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return orphan_references(*(table(spark, d, t) for t in ("edges", "vectors", "symbols", "files", "removals")))
 
@@ -36,7 +40,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(p5_found(spark, d))
 
 
-QUERIES = {"p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p5_found": p5_found, "p5_report": p5_report}
+QUERIES = {"p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p2_intervals": p2_intervals, "p5_found": p5_found, "p5_report": p5_report}
 
 _TREE = """
 WITH RECURSIVE link AS (
@@ -87,6 +91,10 @@ SQL = {
       SELECT l.parent, l.child, CAST(1 AS BIGINT) FROM link l JOIN down d ON d.node = l.child
       UNION ALL SELECT l.parent, p.descendant_id, p.distance + 1 FROM pair p JOIN link l ON l.child = p.symbol_id)
     SELECT symbol_id, descendant_id, distance FROM pair""",
+    "p2_intervals": _TREE
+    + """, route AS (SELECT *, row_number() OVER (ORDER BY root, CAST(string_split(path, '/') AS BIGINT[])) - 1 AS first_no FROM tree WHERE depth >= 0),
+    below AS (SELECT unnest(CAST(string_split(path, '/') AS BIGINT[])) AS node, count(*) - 1 AS n FROM route GROUP BY 1)
+    SELECT r.node AS symbol_id, r.depth, r.first_no, r.first_no + b.n AS last_no FROM route r JOIN below b USING (node)""",
     "p5_found": _ORPHANS + "SELECT ref_table, row_id, ref_month, ref_state FROM found",
     "p5_report": _ORPHANS + "SELECT ref_table, ref_month, ref_state, count(*) AS n_refs FROM found GROUP BY ALL",
 }
