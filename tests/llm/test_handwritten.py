@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from trellis.llm.handwritten import SKETCH, clusters, components, core, jaccard, layout, masked, not_handwritten, sketch
+from trellis.llm.handwritten import SKETCH, closing, clusters, components, core, jaccard, layout, literal_share, masked, not_handwritten, sketch
 
 R = random.Random(2)
 
@@ -36,12 +36,21 @@ def test_jaccard_of_small_sets_is_exact():
 
 
 def test_layout():
-    assert layout(code(60, 1))[1:] == (0.0, 0.0, 0.0)
+    assert layout(code(60, 1))[1:] == (0.0, 0.0) and layout("") == (0, 0.0, 0.0)
     assert layout("\n".join(f"  get{i}() {{ return this.f[{i}]; }}" for i in range(40)))[1] == 1
-    assert layout("X = [\n" + "  1, -2, 0x3f, 4.5e3,\n" * 30 + "]")[2] > 0.9
-    assert layout(code(40, 3) + "const t = '" + "long text, " * 400 + "';")[3] == 0
-    assert layout("a=b(c);d.e=f||{g:1};if(!h){i=j[k]}" * 60)[3] == 1
-    assert layout("1" * 5000 + " x")[2] == 0  # linear, whatever the line holds
+    assert layout(code(40, 3) + "const t = '" + "long text, " * 400 + "';")[2] == 0
+    assert layout("a=b(c);d.e=f||{g:1};if(!h){i=j[k]}" * 60)[2] == 1
+
+
+def test_literal_shingles():
+    assert literal_share(masked("X = [\n" + "  1, -2, 0x3f, 'four', null,\n" * 30 + "]")) > 0.9
+    assert literal_share(masked(code(60, 1))) < 0.1 and literal_share(masked("1")) == literal_share(masked("")) == 0
+    assert literal_share(masked("[{(,)}] " * 40)) == 0  # no literal
+
+
+def test_closing_notice():
+    assert closing("x = 1\n# a\n\n/* b\n * c\n */\n") == "# a\n\n/* b\n * c\n */\n" and closing("# only") == closing("") == ""
+    assert closing("a\nb // not this").strip() == ""
 
 
 def test_components(spark):
@@ -53,6 +62,7 @@ def test_components(spark):
 CASES = {
     "generated by path": ("packages/a/src/generated/x.ts", code(30, 1), "generated"),
     "generated by notice": ("packages/a/src/x1.py", "# Copyright the a authors.\n\n# Code generated by t. DO NOT EDIT.\n\n" + code(30, 2), "generated"),
+    "generated by closing notice": ("packages/a/src/x5.ts", code(30, 12) + "\n/*\n * Code generated by t. DO NOT EDIT.\n */\n", "generated"),
     "numbered": ("packages/a/src/x2.ts", "import x\n" + "".join(f"  case S{i}: return next({i});\n" for i in range(40)), "generated"),
     "minified by path": ("lib/a/x.min.js", "var a=1", "minified"),
     "minified by text": ("lib/a/x3.js", "a=b(c);d.e=f||{g:1};if(!h){i=j[k]}" * 60, "minified"),
@@ -127,3 +137,19 @@ def test_families_are_counted_exactly(spark):
     f = spark.createDataFrame([(i, f"packages/fam/src/f{i}.ts") for i in three], "id long, path string")
     t = spark.createDataFrame([(i, bodies[i]) for i in three], "file_id long, body string")
     assert sorted(r.file_id for r in not_handwritten(f, t).collect() if r.generated) == sorted(three)
+
+
+def test_the_clusters_decide(spark):
+    files, texts = [(1, "vendor/q/x.go"), (2, "services/b/y.go")], [(1, code(30, 4)), (2, code(30, 4).strip())]
+    for j in range(6):  # one template in several folders; two of the files do not say so
+        files.append((10 + j, f"packages/p{j}/src/f{j}.ts"))
+        texts.append((10 + j, "// Code generated by t. DO NOT EDIT.\n" * (j < 4) + code(60, 9).replace("call", f"call{chr(97 + j)}") + f"let z = {j};\n"))
+    files += [(20, "apps/c/h1.ts"), (21, "apps/d/h2.ts")]  # alike, by hand
+    texts += [(20, code(60, 30)), (21, code(60, 30) + "let z = 1;\n")]
+    f, t = spark.createDataFrame(files, "id long, path string"), spark.createDataFrame(texts, "file_id long, body string")
+    assert {r.file_id for r in not_handwritten(f, t).collect()} == {1, 2, *range(10, 16)}
+    alone = lambda profile: profile.select("text").distinct().withColumn("cluster", F.col("text"))
+    assert {r.file_id for r in not_handwritten(f, t, group=alone).collect()} == {1, 2, 10, 11, 12, 13}
+    one = lambda profile: profile.select("text").distinct().withColumn("cluster", F.lit("c"))
+    got = {r.file_id for r in not_handwritten(spark.createDataFrame(files + [(30, "apps/c/t.py")], f.schema), spark.createDataFrame(texts + [(30, "X = [\n" + "  1, 2, 3,\n" * 40 + "]\n")], t.schema), group=one).collect()}
+    assert 30 not in got

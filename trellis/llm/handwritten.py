@@ -1,21 +1,22 @@
 """Generated, minified or vendored source files, and blocks of data in the form of code.
 
-Method: every text without its opening notice is masked (identifiers, numbers and strings become one token each), cut
+Method: notices are the comments before the first code and behind the last.  Every text without its opening notice is masked (identifiers, numbers and strings become one token each), cut
 into shingles of five tokens and clustered by MinHash bands; any two of one band with a Jaccard similarity of the shingles
-of 0.8 or more come to be in one cluster.  Clusters are read together with what path, notice and layout show:
+of 0.8 or more come to be in one cluster.  The clusters decide, a text that is like no other being a cluster of its own:
 
-* ``generated``: path or notice say so, or most lines form numbered runs, or the file belongs to a family, that is,
-  members of one cluster in one repository with the same masked text but ``FAMILY`` or more different texts;
-* ``minified``: the path says so, or most of the text is dense lines of short names;
-* ``vendored``: path or notice say so, or the file is in the same cluster as, and equal but for the notice to, one of
-  which they say so in another place;
-* ``blob``: the file is in a cluster of literals only, that is, most of its lines are literals.
+* ``generated``: a family, that is, a cluster of which ``SEEDED`` of the texts and at least two have a path or notice that
+  says so, or whose texts are mostly numbered runs (lines alike but for counting up), or that has ``FAMILY`` or more
+  different texts of one masked sequence in one folder; and each file that says so of itself;
+* ``vendored``: a cluster across repositories: a file with the same text, but for notice and last line break, as a member
+  of its cluster that path or notice show to come from another project; and each file that says so of itself;
+* ``blob``: a cluster of literals only, that is, most shingles of its texts hold nothing but literals and their separators;
+* ``minified``: a cluster whose texts are mostly dense lines of short names; and each file whose path says so.
 
-A repository is the first two parts of a path.  Texts with the same masked sequence are one class while clustering, so a
-text that is there very often costs one row.
+A folder of a family is the first two parts of a path.  Texts with the same masked sequence are one class while clustering,
+so a text that is there very often costs one row; facts of a cluster are sums over its different texts.
 
 Defined results: a null or empty text is judged by its path alone, a null path by its text alone; repeated rows count
-once; texts of fewer than ``MIN_TOKENS`` tokens are in no cluster, but copies where they are equal and not empty.
+once; texts of fewer than ``MIN_TOKENS`` tokens are in no cluster but that of their equals.
 """
 
 from __future__ import annotations
@@ -30,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellis.operators.skew import salted
 from trellis.session import materialize
 
 SHINGLE, BANDS, ROWS, SKETCH = 5, 16, 4, 128
-SIMILAR, FAMILY, MIN_TOKENS, MIN_LINES, MOST = 0.8, 3, 20, 10, 0.5
+SIMILAR, FAMILY, SEEDED, MIN_TOKENS, MIN_LINES, MOST = 0.8, 3, 0.5, 20, 10, 0.5
 #: Nodes of one band that one task compares with one another.
 CAP = 4096
 
@@ -49,7 +51,7 @@ GENERATED_NOTICE = re.compile(
     r"\bавтоматически (?:создан|сгенерирован)|(?:создан|сгенерирован)\w* автоматически|\b(?:ne pas (?:modifier|éditer)|nicht (?:bearbeiten|ändern|editieren)|no (?:editar|modificar)|não (?:editar|edite|modificar|modifique)|non (?:modificare|editare)|niet (?:bewerken|wijzigen)|не (?:редактировать|изменять|править))\b",
     re.I | re.M,
 )
-NOT_GENERATED = re.compile(r"\b(?:not|isn't|is not|never|nicht|pas|no) (?:\w+ )?generated\b|maintained by hand|generated (?:method|function|constructor|twin|names?)\b|method stub|scaffold", re.I)
+NOT_GENERATED = re.compile(r"\b(?:not|isn't|is not|never|nicht|pas|no) (?:\w+ )?generated\b|maintained by hand|generated (?:method|function|constructor)\b|method stub|scaffold", re.I)
 VENDORED_NOTICE = re.compile(
     r"\b(?:copied|taken|adapted|borrowed|imported|forked|synced|mirrored)\b[^\n]{0,30}\bfrom (?:the )?(?:upstream|original|project|library|package|repo|http|\w+ v?\d+\.\d)|\bvendored (?:from|copy|in from)\b|\bbundled (?:copy|version|with) of\b|^\W*(?:origin|upstream|source):\s*\S+ \(?v?\d+[.\d]*\)?|"
     r"\bthird[- ]party (?:code|library|source|software|file|module)\b|\b(?:report|send|file) (?:bugs|issues|patches|changes) (?:to )?upstream\b|\bimported without changes\b|\bupstream (?:project|release|version|repository)\b[^\n]{0,40}\d|@preserve\b|@license\b[^\n]*\d+\.\d+|"
@@ -58,17 +60,20 @@ VENDORED_NOTICE = re.compile(
 )
 
 _OPENING = re.compile(r"\ufeff?\s*(?:(?:(?://|#(?!\[|include|define|if|pragma|!\[)|--)[^\n]*(?:\n|\Z)|/\*(?:[^*]|\*(?!/))*\*/[ \t]*(?:\n|\Z)|<!--[\s\S]*?-->[ \t]*(?:\n|\Z))\s*)+")
-_TOKEN = re.compile(r"(//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/|\Z)|(?:(?<=\s)|^)#[^\[\n][^\n]*)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|\d[\w.]*|[^\W\d]\w*|\S", re.M)
-_LITERAL = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|0[xX][0-9a-fA-F]+|\d[\w.]*|\b(?:true|false|null|None|nil|True|False)\b")
+_TOKEN = re.compile(r"//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/|\Z)|(?:(?<=\s)|^)#[^\[\n][^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|\d[\w.]*|[^\W\d]\w*|\S", re.M)
 _STRING = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`]*`")
 _NAME = re.compile(r"[^\W\d]\w*")
-_JOIN = set(" \t[](){},;:+-*.\r")
+_DIGIT = re.compile(r"\d")
+_REMARK = re.compile(r"\s*(?://|#(?!\[)|--|/\*|\*|<!--)")
 _SKELETON = {i: None for i in range(128) if chr(i).isalnum() or chr(i) in "_ \t\r"}
 _KEYWORDS = (
     "if else for while return def class import from function const let var fn func struct impl match pub public private static new throw raise try catch except finally async await yield in of is not and or "
     "end do then type interface enum use require package go defer select case switch break continue with as lambda self this None null nil true false"
 ).split()
 _CODES = {w: 200 + i for i, w in enumerate(_KEYWORDS)} | {chr(i): i for i in range(33, 127) if not (chr(i).isalnum() or chr(i) in "_\"'`")}
+_VALUE, _PLAIN = np.zeros(512, bool), np.zeros(512, bool)
+_VALUE[[2, 3, *(_CODES[w] for w in ("None", "null", "nil", "true", "false"))]] = True
+_PLAIN[[*np.flatnonzero(_VALUE), *map(ord, "[]{}(),;:+-*.")]] = True
 _P = np.array([pow(0x100000001B3, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
 _HASHES = np.random.default_rng(41).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -81,19 +86,42 @@ def core(body: str) -> tuple[str, str]:
     return body[:cut], body[cut:].strip()
 
 
+def closing(text: str) -> str:
+    """The comments behind the last code."""
+    lines, out = text.split("\n"), []
+    while lines and (not lines[-1].strip() or _REMARK.match(lines[-1])):
+        out.append(lines.pop())
+    return "\n".join(out[::-1]) if lines else ""
+
+
+class _Masks(dict):
+    """Code of a token; comments have 0."""
+
+    def __missing__(self, t: str) -> int:
+        c = t[0]
+        code = 0 if t[:2] in ("//", "/*") or (c == "#" and len(t) > 1) else 3 if c in "\"'`" and len(t) > 1 else 2 if c.isdigit() else 1 if c == "_" or c.isalpha() else 4
+        if len(self) < 200_000:
+            self[t] = code
+        return code
+
+
+_MASKS = _Masks(_CODES)
+
+
 def masked(text: str) -> np.ndarray:
     """Codes of the tokens: names 1, numbers 2, strings 3, keywords and signs their own; comments are left out."""
-    out = []
-    for m in _TOKEN.finditer(text):
-        if m.lastindex:
-            continue
-        t = m.group()
-        code = _CODES.get(t)
-        if code is None:
-            c = t[0]
-            code = 3 if c in "\"'`" else 2 if c.isdigit() else 1 if c == "_" or c.isalpha() else 4
-        out.append(code)
-    return np.array(out, np.uint64)
+    tokens = _TOKEN.findall(text)
+    codes = np.fromiter(map(_MASKS.__getitem__, tokens), np.uint64, len(tokens))
+    return codes[codes > 0]
+
+
+def literal_share(codes: np.ndarray) -> float:
+    """Share of the shingles that hold literals and their separators only, and a literal at least."""
+    if len(codes) < SHINGLE:
+        return 0.0
+    plain = np.lib.stride_tricks.sliding_window_view(_PLAIN[codes], SHINGLE).all(1)
+    value = np.lib.stride_tricks.sliding_window_view(_VALUE[codes], SHINGLE).any(1)
+    return float((plain & value).mean())
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -116,32 +144,27 @@ def sketch(codes: np.ndarray) -> tuple[list[int], np.ndarray]:
     return bands.view("i8").tolist(), low
 
 
-def layout(text: str) -> tuple[int, float, float, float]:
-    """Lines, and the shares of lines in numbered runs, of literal lines, and of text in dense lines."""
+def layout(text: str) -> tuple[int, float, float]:
+    """Lines, the share of lines in numbered runs, and the share of the text in dense lines."""
     lines = [s for s in text.split("\n") if s.strip()]
     if not lines:
-        return 0, 0.0, 0.0, 0.0
-    run = data = dense = 0
+        return 0, 0.0, 0.0
+    run = dense = 0
     skeleton, length = None, 0
     for s in [*lines, ""]:
-        own = s.translate(_SKELETON) if any(c.isdigit() for c in s) else None
+        own = s.translate(_SKELETON) if _DIGIT.search(s) else None
         if own is not None and own == skeleton:
             length += 1
         else:
             if length >= 8:
                 run += length
             skeleton, length = own, 1 if own else 0
-        head = s.lstrip()[:1]
-        if head and (head in "[]{}()\"'-+." or head.isdigit()):
-            rest = _LITERAL.sub("", s)
-            if len(rest) < len(s) and all(c in _JOIN for c in rest):
-                data += 1
         if len(s) >= 120:
             bare = _STRING.sub("", s)
             names = _NAME.findall(bare)
             if len(bare) > 60 and names and sum(map(len, names)) / len(names) < 4 and sum(bare.count(c) for c in ";{}(),=[].") > 0.15 * len(bare):
                 dense += len(s)
-    return len(lines), run / len(lines), data / len(lines), dense / max(1, sum(map(len, lines)))
+    return len(lines), run / len(lines), dense / max(1, sum(map(len, lines)))
 
 
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,13 +173,16 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i, body in zip(batch["file_id"], batch["body"]):
             notice, text = core(body or "")
             codes = masked(text)
-            n, run, data, dense = layout(text)
+            n, run, dense = layout(text)
             bands, low = sketch(codes) if len(codes) else ([], np.empty(0, np.uint32))
-            said = "generated" if any(GENERATED_NOTICE.search(s) and not NOT_GENERATED.search(s) for s in notice.split("\n")) else "vendored" if VENDORED_NOTICE.search(notice) else None
+            said = None
+            for remark in (notice, closing(text)):
+                if said is None and remark:
+                    said = "generated" if any(GENERATED_NOTICE.search(s) and not NOT_GENERATED.search(s) for s in remark.split("\n")) else "vendored" if VENDORED_NOTICE.search(remark) else None
             digest = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest()
             order = hashlib.blake2b(codes.astype("u2").tobytes(), digest_size=16).hexdigest()
-            rows.append((i, said, len(codes), n, run, data, dense, digest, order, bands, low.tobytes()))
-        yield pd.DataFrame(rows, columns=["file_id", "notice", "n_tokens", "n_lines", "run", "data", "dense", "text", "order", "bands", "low"])
+            rows.append((i, said, len(codes), n, run, literal_share(codes), dense, digest, order, bands, low.tobytes()))
+        yield pd.DataFrame(rows, columns=["file_id", "notice", "n_tokens", "n_lines", "run", "literal", "dense", "text", "order", "bands", "low"])
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -171,7 +197,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def profiles(texts: DataFrame) -> DataFrame:
     """What the text of each file shows, by ``file_id``."""
-    schema = "file_id long, notice string, n_tokens long, n_lines long, run double, data double, dense double, text string, order string, bands array<long>, low binary"
+    schema = "file_id long, notice string, n_tokens long, n_lines long, run double, literal double, dense double, text string, order string, bands array<long>, low binary"
     return texts.filter("file_id is not null").select("file_id", "body").mapInPandas(_profile, schema)
 
 
@@ -259,29 +285,52 @@ def clusters(profile: DataFrame, similarity: float = SIMILAR, cap: int = CAP) ->
     return big.select("text", "order").distinct().join(nodes, "order").select("text", "cluster")
 
 
-def not_handwritten(files: DataFrame, texts: DataFrame) -> DataFrame:
-    """``file_id, cluster, generated, minified, vendored, blob`` of each file that nobody of the project wrote by hand."""
+def families(members: DataFrame) -> DataFrame:
+    """``cluster, n_texts, seeded, run, literal, dense`` of the clusters of more than one text; shares of their texts."""
+    share = lambda c: F.avg(F.col(c).cast("double")).alias(c)
+    facts = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.col("said").cast("int")).alias("n_said"), share("said"), share("run"), share("literal"), share("dense")).filter("n_texts > 1")
+    return facts.select("cluster", "n_texts", ((F.col("said") >= SEEDED) & (F.col("n_said") > 1)).alias("seeded"), "run", "literal", "dense")
+
+
+def not_handwritten(files: DataFrame, texts: DataFrame, group=clusters) -> DataFrame:
+    """``file_id, cluster, generated, minified, vendored, blob`` of each file that nobody of the project wrote by hand.
+
+    ``group`` gives the clusters (``text, cluster``) of profiles.
+    """
     paths = files.select(F.col("id").alias("file_id"), "path").filter("file_id is not null").groupBy("file_id").agg(F.min("path").alias("path"))
     paths = paths.select(
-        "file_id", F.substring_index("path", "/", 2).alias("repo"), F.col("path").rlike(GENERATED_PATH).alias("p_gen"), F.col("path").rlike(MINIFIED_PATH).alias("p_min"), F.col("path").rlike(VENDORED_PATH).alias("p_ven")
+        "file_id", F.substring_index("path", "/", 2).alias("folder"), F.col("path").rlike(GENERATED_PATH).alias("p_gen"), F.col("path").rlike(MINIFIED_PATH).alias("p_min"), F.col("path").rlike(VENDORED_PATH).alias("p_ven")
     )
-    profile = materialize(profiles(texts), "profiles")
-    group = clusters(profile)
-    seen = paths.join(profile.drop("bands", "low"), "file_id", "full").join(group, "text", "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
-    big = F.col("n_tokens") >= MIN_TOKENS
-    seen = seen.withColumn("_ven", yes(F.col("p_ven")) | yes(F.col("notice") == "vendored"))
-    seen = materialize(seen.withColumn("_text", F.when(F.col("n_lines") > 0, F.col("text"))), "seen")
-    # equal texts, however short: a copy of what is known to come from elsewhere comes from elsewhere
-    copies = seen.filter("_ven and _text is not null").select("_text", F.lit(True).alias("_copy")).distinct()
-    family = seen.filter(big & F.col("repo").isNotNull()).groupBy("cluster", "repo", "order").agg(F.count_distinct("text").alias("_n")).filter(F.col("_n") >= FAMILY).select("cluster", "repo", "order", F.lit(True).alias("_family"))
-    rows = seen.join(copies, "_text", "left").join(family, ["cluster", "repo", "order"], "left")
-    many = F.col("n_lines") >= MIN_LINES
+    profile = materialize(profiles(texts), "profiles")
+    seen = paths.join(profile.drop("bands", "low"), "file_id", "full").join(group(profile), "text", "left")
+    seen = seen.select(
+        "file_id", "folder", "order", "n_tokens", "n_lines", "run", "literal", "dense", F.when(F.col("n_lines") > 0, F.col("text")).alias("text"), F.coalesce("cluster", "text").alias("cluster"),
+        yes(F.col("p_min")).alias("p_min"), (yes(F.col("p_gen")) | yes(F.col("notice") == "generated")).alias("says_gen"), (yes(F.col("p_ven")) | yes(F.col("notice") == "vendored")).alias("says_ven"),
+    )
+    seen = materialize(seen, "seen")
+    # the different texts of each cluster, with what any file of that text in the cluster says of itself
+    members = seen.filter("text is not null").groupBy("cluster", "text").agg(
+        *[F.first(c).alias(c) for c in ("n_lines", "run", "literal", "dense")], F.max("says_gen").alias("said"), F.max("says_ven").alias("copied")
+    )
+    members = materialize(members, "members")
+    many, facts = salted(members.select("cluster", "text", "n_lines", "copied", *[F.col(c).alias(f"own_{c}") for c in ("run", "literal", "dense")]), families(members), "cluster", "text")
+    judged = many.join(facts, ["cluster", "_salt"], "left").select(
+        "cluster", "text", "copied", yes(F.col("seeded")).alias("seeded"), (F.col("n_lines") >= MIN_LINES).alias("long"), *[F.coalesce(c, f"own_{c}").alias(c) for c in ("run", "literal", "dense")]
+    )
+    judged = judged.select(
+        "text", "copied", (F.col("dense") >= MOST).alias("is_min"), (F.col("long") & (F.col("literal") >= MOST)).alias("is_blob"),
+        (F.col("seeded") | (F.col("long") & (F.col("run") >= MOST) & (F.col("literal") < MOST))).alias("is_gen"),
+    )
+    family = seen.filter((F.col("n_tokens") >= MIN_TOKENS) & F.col("folder").isNotNull() & F.col("text").isNotNull()).select("cluster", "folder", "order", "text").distinct()
+    family = family.groupBy("cluster", "folder", "order").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= FAMILY).select("folder", "order", F.lit(True).alias("_family")).distinct()
+    some, kinds = salted(seen, judged, "text", "file_id")
+    rows = some.join(kinds, ["text", "_salt"], "left").drop("_salt").join(family, ["folder", "order"], "left")
     rows = rows.groupBy("file_id").agg(
         F.min("cluster").alias("cluster"),
-        F.max(yes(F.col("p_gen")) | yes(F.col("notice") == "generated") | yes(many & (F.col("run") >= MOST) & (F.col("data") < MOST)) | yes(F.col("_family"))).alias("generated"),
-        F.max(yes(F.col("p_min")) | yes(F.col("dense") >= MOST)).alias("minified"),
-        F.max(F.col("_ven") | yes(F.col("_copy"))).alias("vendored"),
-        F.max(yes(many & (F.col("data") >= MOST))).alias("blob"),
+        F.max(F.col("says_gen") | yes(F.col("is_gen")) | yes(F.col("_family"))).alias("generated"),
+        F.max(F.col("p_min") | yes(F.col("is_min"))).alias("minified"),
+        F.max(F.col("says_ven") | yes(F.col("copied"))).alias("vendored"),
+        F.max(yes(F.col("is_blob"))).alias("blob"),
     )
     return rows.filter("generated or minified or vendored or blob")
