@@ -141,9 +141,10 @@ def test_families_are_counted_exactly(spark):
 
 def test_the_clusters_decide(spark):
     files, texts = [(1, "vendor/q/x.go"), (2, "services/b/y.go")], [(1, code(30, 4)), (2, code(30, 4).strip())]
+    crud = "".join(f"export class {w} extends Row<{w}> {{\n  static {v}: {w}[] = [];\n  async {v}(row: Row) {{ return (await this.db.{v}<{w}>(row)) || super.{v}(row); }}\n}}\n" for w, v in [("Acct", "load"), ("Team", "save"), ("Plan", "drop"), ("Seat", "find")])
     for j in range(6):  # one template in several folders; two of the files do not say so
         files.append((10 + j, f"packages/p{j}/src/f{j}.ts"))
-        texts.append((10 + j, "// Code generated by t. DO NOT EDIT.\n" * (j < 4) + code(60, 9).replace("call", f"call{chr(97 + j)}") + f"let z = {j};\n"))
+        texts.append((10 + j, "// Code generated by t. DO NOT EDIT.\n" * (j < 4) + crud.replace("Row", f"Row{chr(97 + j)}") + f"let z = {j};\n" * (j % 3)))
     files += [(20, "apps/c/h1.ts"), (21, "apps/d/h2.ts")]  # alike, by hand
     texts += [(20, code(60, 30)), (21, code(60, 30) + "let z = 1;\n")]
     f, t = spark.createDataFrame(files, "id long, path string"), spark.createDataFrame(texts, "file_id long, body string")
