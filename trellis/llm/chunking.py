@@ -1,31 +1,37 @@
 """Splitting oversized items at natural boundaries.
 
-Method: byte ranges.  A text is dealt out in ranges of ``range_bytes``, each with a halo on its left, so that no worker
-needs a whole giant file.  A worker finds the natural boundaries in its range by looking at bytes only.  The border
+Method: byte ranges.  Every text is dealt out in ranges of ``range_bytes``, each with a halo on its left, and the ranges of
+one item go to different tasks.  A worker finds the natural boundaries in its range by looking at bytes only.  The border
 between two ranges is the best boundary in the halo before it, which both neighbours compute alike from the same bytes;
-the boundary tables are thereby stitched.  Between two borders a worker cuts greedily and gives piece offsets.  A prefix
-sum of the counts of pieces numbers them within the item, and pieces are cut out of the range by offset.
+the boundary tables are thereby stitched.  Between two borders a worker cuts greedily and gives pieces by offset.  A prefix
+sum of the counts of pieces numbers them within the item.
+
+``split_items`` takes texts in rows, which a task must hold once to deal them out; ``split_files`` takes files, of which no
+worker reads more than its range and halo.
 
 A boundary is, best first: after a blank line, after a line, after a sentence, after a blank, between two characters.
 
 Defined results: a null or short text has no pieces; offsets are bytes of the UTF-8 form; the pieces of an item without
-their overlaps are the whole text; repeated rows count once
-(``distinct``; without it they give their pieces again, which saves moving the pieces); text without any boundary is cut between characters.
+their overlaps are the whole text; repeated rows count once; different texts under one key are cut each for itself; text
+without any boundary is cut between characters; a line of up to ``CONTEXT / 2`` blanks is a blank line; bytes of a file that
+are no UTF-8 come out as replacement characters.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Bytes of a range, and those looked at before them besides the halo to recognise a boundary.
-RANGE_BYTES = 1 << 16
-CONTEXT = 80
+from trellis.session import materialize
+
+#: Bytes of a range of a text, of a range of a file, and those looked at before them besides the halo to recognise a boundary.
+RANGE_BYTES, FILE_RANGE_BYTES = 1 << 13, 1 << 24
+CONTEXT = 512
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 32, 13]] = True
@@ -98,40 +104,69 @@ def _cutter(size: int, limit: int, overlap: int) -> Callable:
     return run
 
 
-def split_items(items: DataFrame, keys: list[str], text: str, limit: int = 2000, overlap: int = 200, range_bytes: int = RANGE_BYTES, distinct: bool = True) -> DataFrame:
+def _checked(limit: int, overlap: int, range_bytes: int) -> int:
+    if not (limit >= 16 and 0 <= overlap <= limit // 4 and range_bytes >= 2 * limit):
+        raise ValueError("needs limit >= 16, overlap <= limit / 4, range_bytes >= 2 * limit")
+    return limit // 2 + overlap + overlap // 4 + CONTEXT
+
+
+def _numbered(pieces: DataFrame, unit: list[str]) -> DataFrame:
+    """``piece_no`` within the item, from the number ``_k`` of a piece within its range."""
+    pieces = materialize(pieces, "pieces")
+    counts = pieces.groupBy(*unit, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*unit).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*unit, "_range"]]
+    return pieces.alias("p").join(counts.alias("c"), same).select("p.*", (F.col("p._k") + F.col("c._before") + 1).cast("long").alias("piece_no"))
+
+
+def split_items(items: DataFrame, keys: list[str], text: str, limit: int = 2000, overlap: int = 200, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``keys, piece_no, start_byte, new_byte, end_byte, piece`` for each item of more than ``limit`` bytes.
 
     A piece is bytes [start_byte, end_byte); those before new_byte repeat the end of the piece before it.
     """
-    if not (limit >= 16 and 0 <= overlap <= limit // 4 and range_bytes >= 2 * limit):
-        raise ValueError("needs limit >= 16, overlap <= limit / 4, range_bytes >= 2 * limit")
-    back = limit // 2 + overlap + overlap // 4 + CONTEXT
+    back = _checked(limit, overlap, range_bytes)
     long_ = items.filter(F.octet_length(text) > limit).select(*keys, F.col(text).cast("binary").alias("_all"), F.octet_length(text).cast("long").alias("_total"))
-    many = F.col("_total") > range_bytes
-
-    def pieces(part: DataFrame, index) -> DataFrame:
-        part = part.withColumn("_range", index).withColumn("_from", F.greatest(F.lit(0), F.col("_range") * range_bytes - back))
-        part = part.withColumn("_data", F.expr(f"substring(_all, int(_from + 1), int((_range + 1) * {range_bytes}L - _from + 1))"))
-        return part.withColumn("_flat", _cutter(range_bytes, limit, overlap)("_data", "_from", "_total", "_range"))
-
-    def spread(part: DataFrame) -> DataFrame:
-        part = part.filter(F.size("_flat") > 0).withColumn("_k", F.explode(F.expr("sequence(0, int(size(_flat) / 3) - 1)")))
-        at = lambda j: F.expr(f"_flat[_k * 3 + {j}]")
-        return part.select(
-            *keys, (F.col("_k") + F.col("_before") + 1).cast("long").alias("piece_no"), at(0).alias("start_byte"), at(1).alias("new_byte"), at(2).alias("end_byte"),
-            F.expr("decode(substring(_data, int(_flat[_k * 3] - _from + 1), int(_flat[_k * 3 + 2] - _flat[_k * 3])), 'UTF-8')").alias("piece"),
-        )
-
-    short = spread(pieces(long_.filter(~many), F.lit(0).cast("long")).withColumn("_before", F.lit(0).cast("long")))
-    giant = long_.filter(many).withColumn("_id", F.xxhash64("_all"))
-    giant = pieces(giant, F.explode(F.expr(f"sequence(0L, (_total - 1) div {range_bytes}L)"))).drop("_all")
     unit = [*keys, "_id", "_total"]
-    counts = giant.select(*unit, "_range", (F.size("_flat") / 3).cast("long").alias("_n")).dropDuplicates([*unit, "_range"])
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*unit).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*unit, "_range"]]
-    joined = giant.alias("g").join(counts.alias("c"), same).select("g.*", "c._before")
-    out = short.unionByName(spread(joined))
-    return out.dropDuplicates([*keys, "piece_no", "start_byte", "end_byte", "piece"]) if distinct else out
+    part = long_.withColumn("_id", F.xxhash64("_all")).withColumn("_range", F.explode(F.expr(f"sequence(0L, (_total - 1) div {range_bytes}L)"))).withColumn("_from", F.greatest(F.lit(0), F.col("_range") * range_bytes - back))
+    part = part.select(*unit, "_range", "_from", F.expr(f"substring(_all, int(_from + 1), int((_range + 1) * {range_bytes}L - _from + 1))").alias("_data"))
+    part = part.dropDuplicates([*unit, "_range"])  # deals the ranges out, too
+    part = part.withColumn("_flat", _cutter(range_bytes, limit, overlap)("_data", "_from", "_total", "_range")).filter(F.size("_flat") > 0)
+    part = part.withColumn("_k", F.explode(F.expr("sequence(0, int(size(_flat) / 3) - 1)")))
+    at = lambda j: F.expr(f"_flat[_k * 3 + {j}]")
+    pieces = part.select(
+        *unit, "_range", "_k", at(0).alias("start_byte"), at(1).alias("new_byte"), at(2).alias("end_byte"),
+        F.expr("decode(substring(_data, int(_flat[_k * 3] - _from + 1), int(_flat[_k * 3 + 2] - _flat[_k * 3])), 'UTF-8')").alias("piece"),
+    )
+    return _numbered(pieces, unit).select(*keys, "piece_no", "start_byte", "new_byte", "end_byte", "piece")
+
+
+def _file_cutter(size: int, limit: int, overlap: int, back: int) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, total, index in zip(batch["path"], batch["_total"], batch["_range"]):
+                system, inner = fs.FileSystem.from_uri(path)
+                start = max(0, index * size - back)
+                with system.open_input_file(inner) as f:
+                    data = f.read_at(min((index + 1) * size + 1, total) - start, start)
+                flat = cut(data, start, total, index, size, limit, overlap)
+                rows = [(path, total, index, k, a, b, c, data[a - start : c - start].decode("utf-8", "replace")) for k, (a, b, c) in enumerate(zip(flat[::3], flat[1::3], flat[2::3]))]
+                yield pd.DataFrame(rows, columns=["path", "_total", "_range", "_k", "start_byte", "new_byte", "end_byte", "piece"])
+
+    return run
+
+
+def split_files(spark: SparkSession, folder: str, limit: int = 2000, overlap: int = 200, range_bytes: int = FILE_RANGE_BYTES) -> DataFrame:
+    """``path, piece_no, start_byte, new_byte, end_byte, piece`` for each file of more than ``limit`` bytes below ``folder``.
+
+    Only names and lengths are listed; each range is read by itself at its offset, with its halo.
+    """
+    back = _checked(limit, overlap, range_bytes)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("_total")).filter(F.col("_total") > limit)
+    part = listed.withColumn("_range", F.explode(F.expr(f"sequence(0L, (_total - 1) div {range_bytes}L)"))).repartition("path", "_range")
+    schema = "path string, _total long, _range long, _k int, start_byte long, new_byte long, end_byte long, piece string"
+    return _numbered(part.mapInPandas(_file_cutter(range_bytes, limit, overlap, back), schema), ["path"]).select("path", "piece_no", "start_byte", "new_byte", "end_byte", "piece")
 
 
 def oversized(pieces: DataFrame, keys: list[str]) -> DataFrame:

@@ -55,7 +55,7 @@ def _long_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return oversized(split_items(_long_texts(spark, d), ["ref_table", "row_id"], "text", distinct=False), ["ref_table", "row_id"])
+    return oversized(split_items(_long_texts(spark, d), ["ref_table", "row_id"], "text"), ["ref_table", "row_id"])
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
