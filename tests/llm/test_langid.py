@@ -32,14 +32,31 @@ def test_words_and_sentences():
 
 def test_held_out_accuracy():
     model = train(corpus())
+    one = lambda text: [x[2] for x in segments([text], model)[0]]
     for lang, parts in TEXTS.items():
         for p in parts:
-            assert [s[2] for s in segments(p, model)] == [lang]
-            assert [s[2] for s in segments(p.upper().replace("É", "E"), model)] == [lang]
+            assert one(p) == [lang] and one(p.upper().replace("É", "E")) == [lang]
     assert model.langs == sorted(set(SEEDS))
     mixed = f"{TEXTS['en'][0]} {TEXTS['en'][1]}\n\n« {TEXTS['fr'][0]} »\n\n{TEXTS['en'][2]}"
-    assert [s[2] for s in segments(mixed, model)] == ["en", "fr", "en"]
-    assert segments("", model) == segments("x = 1;\n", model) == []
+    assert one(mixed) == ["en", "fr", "en"]
+    assert segments([], model) == [] and segments(["", " 12 ;\n"], model) == [[], []]
+
+
+def test_every_stretch_has_a_confidence():
+    model = train(corpus())
+    short, code, led = segments(["Ja gut.", "x = foo(1);\n", f"Ok. {TEXTS['de'][0]} Ja."], model)
+    assert [(x[:2], x[5]) for x in short] == [((0, 7), False)] and 0 < short[0][3] <= 1
+    assert [(x[:2], x[5]) for x in code] == [((0, 12), False)] and 0 < code[0][3] < 1
+    assert [(x[:3], x[5]) for x in led] == [((0, len(f"Ok. {TEXTS['de'][0]} Ja."), "de"), True)]
+    assert led[0][3] < segments([TEXTS["de"][0]], model)[0][0][3]
+
+
+def test_batches_read_like_single_texts():
+    model = train(corpus())
+    texts = [t for _, t in corpus(3)] + ["", "Zzyzx " * 5, "unbekanntes Wortungetüm " * 30]
+    assert segments(texts, model) == [segments([t], model)[0] for t in texts]
+    parts = [words(t) for t in texts]
+    assert (model.totals(parts, step=7) == model.totals(parts)).all()
 
 
 def test_table(spark):
