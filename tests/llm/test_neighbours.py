@@ -3,7 +3,7 @@ import os
 import numpy as np
 import pytest
 
-from trellis.llm.neighbours import codes, rotations, similar_pairs, similar_vectors, usable
+from trellis.llm.neighbours import codes, rotate, settings, signs_of, similar_pairs, similar_vectors, usable
 from trellis.llm.plans import p1_neighbours
 from trellis.sources import table
 
@@ -31,13 +31,23 @@ def brute(vectors, k, least):
 
 
 def test_rotations_keep_lengths():
-    turns = rotations(24, 3)
     x = np.random.default_rng(1).normal(size=(5, 24)).astype("f4")
-    for t in turns:
-        assert np.allclose(np.linalg.norm(x @ t, axis=1), np.linalg.norm(x, axis=1), rtol=1e-4)
-    own, near = codes(x, rotations(24, 4), 2, 2, 9.0)
-    again, _ = codes(2 * x, rotations(24, 4), 2, 2, 0.0)
-    assert (own == again).all() and (near != own).all() and (near >= 0).all()
+    for signs in signs_of(24, 3):
+        y = rotate(x, signs)
+        assert y.shape == (5, 32) and np.allclose(y @ y.T, x @ x.T, atol=1e-3)
+    signs = signs_of(24, 4)
+    found = codes(x, signs, 2, 2, 5, 9.0)
+    assert found.shape == (5, 2, 6) and (found >= 0).all() and all(len(set(c)) == 6 for row in found for c in row)
+    assert (codes(2 * x, signs, 2, 2, 0, 9.0)[:, :, 0] == found[:, :, 0]).all() and (codes(x, signs, 2, 2, 5, 0.0)[:, :, 1:] == -1).all()
+
+
+def test_probes_are_ranked_by_what_they_lose():
+    x = np.random.default_rng(2).normal(size=(20, 16)).astype("f4")
+    signs = signs_of(16, 2)
+    sides = [np.concatenate([y, -y], axis=1) for y in (rotate(x, s) for s in signs)]
+    every = sides[0][:, :, None] + sides[1][:, None]
+    best = np.argsort(-every.reshape(20, -1), axis=1)[:, :8]
+    assert (codes(x, signs, 1, 2, 7, 9.0)[:, 0] == best).all()
 
 
 def _rows(spark, vectors, extra=()):
@@ -52,7 +62,7 @@ def test_recall_and_hot_codes(spark):
     vectors = {i: v for i, v in enumerate(_data())}
     want = brute(vectors, 5, 0.9)
     df = _rows(spark, vectors, BAD)
-    opts = dict(dim=DIM, k=5, min_cosine=0.9, hashes=2, tables=10, probe_gap=0.2)
+    opts = dict(dim=DIM, k=5, min_cosine=0.9, hashes=2, tables=10, probes=1, probe_gap=0.2)
     plain = similar_vectors(df.union(df.limit(20)), **opts).collect()
     got = {(min(r.id, r.other_id), max(r.id, r.other_id)) for r in plain}
     assert len(got & want) >= 0.97 * len(want) and len(want) > 100
@@ -81,7 +91,7 @@ def test_search_of_some_rows(spark):
     x = np.array([vectors[i] for i in ids], "f4")
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     for cap in (2048, 16):
-        rows = similar_vectors(df, dim=DIM, k=10, tables=12, hashes=1, probe_gap=9.0, queries="id % 20 = 0", cap=cap).collect()
+        rows = similar_vectors(df, dim=DIM, k=10, tables=12, hashes=1, probes=1, probe_gap=9.0, queries="id % 20 = 0", cap=cap).collect()
         got = {}
         for r in rows:
             got.setdefault(r.id, set()).add(r.other_id)
@@ -102,7 +112,7 @@ def test_all_rows_get_their_far_neighbours(spark):
     assert similar_vectors(df.limit(0), dim=DIM, exhaustive=True).count() == 0
     base = _data(3, 4, 4, 0.0)
     copies = {i: base[0] for i in range(9)} | {100: base[1], 101: base[2], 102: base[0] + 1e-3}
-    pairs = [similar_vectors(_rows(spark, copies), dim=DIM, k=2, exhaustive=e, hashes=1, tables=24, probe_gap=9.0).select("id", "other_id", "rank").collect() for e in (True, False)]
+    pairs = [similar_vectors(_rows(spark, copies), dim=DIM, k=2, exhaustive=e, hashes=1, tables=24, probes=2, probe_gap=9.0).select("id", "other_id", "rank").collect() for e in (True, False)]
     assert sorted(pairs[0]) == sorted(pairs[1])
 
 
@@ -112,3 +122,23 @@ def test_query_leaves_no_row_out(spark):
     rows = usable(table(spark, d, "vectors"), "id", "embedding", 64)
     near = p1_neighbours(spark, d).groupBy("id").count().collect()
     assert {r.id for r in near} == {r.id for r in rows.collect()} and min(r["count"] for r in near) >= 5
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_recall_of_the_index_over_all_rows(spark):
+    rows = table(spark, "/root/testdata/sf0.01", "vectors")
+    exact = similar_vectors(rows, exhaustive=True).select("id", "other_id").collect()
+    assert settings(2000)["hashes"] == 1 and settings(1 << 24)["hashes"] == 2
+    for given in ({}, settings(1 << 24)):  # the latter is made for more vectors, which have nearer neighbours
+        found = set(map(tuple, similar_vectors(rows, **given).select("id", "other_id").collect()))
+        assert len(found & set(map(tuple, exact))) >= 0.9 * len(exact)
+
+
+def test_replayed_rows_take_no_place(spark):
+    vectors = {i: v for i, v in enumerate(_data(9, 60, 2, 0.3))}
+    df = _rows(spark, vectors)
+    opts = dict(dim=DIM, k=5, min_cosine=0.5, hashes=1, tables=8, probes=3, probe_gap=9.0)
+    many = df
+    for _ in range(12):
+        many = many.union(df.filter("id < 3"))
+    assert sorted(similar_vectors(many.repartition(9), **opts).collect()) == sorted(similar_vectors(df, **opts).collect())

@@ -1,18 +1,18 @@
 """Most similar vectors for every vector.
 
-Method: cross-polytope hashing.  Three rounds of random signs and a Hadamard transform rotate the unit vectors; a hash
+Method: cross-polytope hashing.  Three rounds of random signs and a fast Hadamard transform rotate the unit vectors; a hash
 is the nearest signed axis, and ``hashes`` of them make the code of one table.  Each vector is entered in each of
-``tables`` tables under its code and, where its second nearest axis is almost as near (a gap below ``probe_gap``), under
-the code with that axis as well (multiprobe).  Vectors that share a code are compared in blocks by their 8-bit form,
-whose error is bounded for each pair; what may be among the ``k`` best of either side within a code, and may reach
+``tables`` tables under its own code and under the ``probes`` codes next to it, ranked by how much projection they lose, as
+long as they lose less than ``probe_gap`` (multiprobe).  Vectors that share a code are compared in blocks by their 8-bit
+form, whose error is bounded for each pair; what may be among the ``k`` best of either side within a code, and may reach
 ``min_cosine``, goes on to exact reranking with the full vectors.
 
 Exact copies are one class while hashing; its members come back at the end.  A code held by more than ``cap`` entries is
-dealt out as pairs of blocks over many tasks, so nothing is dropped and no task holds an unbounded group.
+dealt out as pairs of blocks over many tasks, so nothing is dropped and no task holds an unbounded group.  ``settings``
+takes more hashes for more vectors, so that groups stay comparable.
 
-Where every row needs its ``k`` nearest however far they are, hashing saves little (one hash of 16 tables still compares
-more than half of all pairs at 64 dimensions and misses some): ``exhaustive`` compares all classes in pairs of blocks and
-is exact.  Its work grows with the square of the classes, its disk with their number times that of the blocks.
+``exhaustive`` compares all classes in pairs of blocks instead and is exact.  Its work grows with the square of the
+classes, its disk with their number times that of the blocks.
 
 Defined results: a vector that is null, of another length than ``dim``, with an element that is null or not finite, or
 all zero, takes no part.  Ties in the cosine count as equally near, save that of more than k + 1 exact copies the k + 1
@@ -22,6 +22,7 @@ smallest ids stand for all.  Repeated rows (same id) count once.  No usable row,
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from trellis.session import materialize
 
 SEED = 20_240_601
 #: Entries of one code that one task compares with one another.
-CAP = 2048
+CAP = 8192
 #: Heavy codes that are broadcast at most; beyond that they are joined by a shuffle.
 HOT_LIMIT = 200_000
 #: Classes of one block where all are compared.
@@ -41,42 +42,63 @@ BLOCK = 32_768
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def rotations(dim: int, count: int, seed: int = SEED) -> np.ndarray:
-    """``count`` pseudo-random rotations as matrices: H D3 H D2 H D1 each, over ``dim`` padded to a power of two."""
-    size = 1 << max(0, dim - 1).bit_length()
-    h = np.ones((1, 1))
+def _hadamard(size: int) -> np.ndarray:
+    h = np.ones((1, 1), "f4")
     while len(h) < size:
         h = np.block([[h, h], [h, -h]])
-    h /= np.sqrt(size)
-    signs = np.random.default_rng(seed).choice([-1.0, 1.0], (count, 3, size))
-    return np.stack([(a[:, None] * h) @ (b[:, None] * h) @ (c[:, None] * h) for a, b, c in signs])[:, :dim].astype("f4")
+    return (h / np.sqrt(size)).astype("f4")
+
+
+def rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """A pseudo-random rotation of the rows: three rounds of random signs and a fast Hadamard transform.
+
+    The transform of ``a * b`` numbers is one of ``b`` along the rows of an a x b square and one of ``a`` along its
+    columns; it leaves the square turned, which the next signs do not mind.
+    """
+    size = signs.shape[1]
+    a = 1 << ((size.bit_length() - 1) // 2)
+    one, two = _hadamard(size // a), _hadamard(a)
+    if x.shape[1] < size:
+        x = np.pad(x, ((0, 0), (0, size - x.shape[1])))
+    for s in signs:
+        x = (x * s).reshape(-1, size // a) @ one
+        x = x.reshape(-1, a, size // a).transpose(0, 2, 1).reshape(-1, a) @ two
+        x = x.reshape(-1, size)
+    return x
+
+
+def signs_of(dim: int, count: int, seed: int = SEED) -> np.ndarray:
+    size = 1 << max(0, dim - 1).bit_length()
+    return np.random.default_rng(seed).choice(np.array([-1.0, 1.0], "f4"), (count, 3, size))
 
 
-def codes(unit: np.ndarray, turns: np.ndarray, tables: int, hashes: int, gap: float) -> tuple[np.ndarray, np.ndarray]:
-    """Codes ``(rows, tables)`` and probes of the same shape, -1 where there is none."""
-    n, size = len(unit), turns.shape[2]
-    own, near = np.empty((n, tables), "i8"), np.empty((n, tables), "i8")
-    rows = np.arange(n)
+def codes(unit: np.ndarray, signs: np.ndarray, tables: int, hashes: int, probes: int, gap: float) -> np.ndarray:
+    """Codes ``(rows, tables, 1 + probes)``: the own one, then the nearest others by the loss of projection, -1 beyond ``gap``."""
+    n, size, want = len(unit), signs.shape[2], 1 + probes
+    depth = min(want, 2 * size)
+    # other choices for each hash; one that is worse in every hash than ``want`` others cannot be among the best
+    ranks = [c for c in product(range(depth), repeat=hashes) if np.prod([r + 1 for r in c]) <= want]
+    out = np.full((n, tables, want), -1, "i8")
     for t in range(tables):
-        first, second, gaps = [], [], []
-        for k in range(hashes):
-            y = unit @ turns[t * hashes + k]
-            a = np.abs(y)
-            one = a.argmax(1)
-            top = a[rows, one].copy()
-            a[rows, one] = -1
-            two = a.argmax(1)
-            first.append(one * 2 + (y[rows, one] < 0))
-            second.append(two * 2 + (y[rows, two] < 0))
-            gaps.append(top - a[rows, two])
-        g = np.stack(gaps, 1)
-        weak = g.argmin(1)
-        code, probe = np.full(n, t, "i8"), np.full(n, t, "i8")
-        for k in range(hashes):
-            code = code * (2 * size) + first[k]
-            probe = probe * (2 * size) + np.where(weak == k, second[k], first[k])
-        own[:, t], near[:, t] = code, np.where(g.min(1) < gap, probe, -1)
-    return own, near
+        axes, losses = [], []
+        for h in range(hashes):
+            y = rotate(unit, signs[t * hashes + h])
+            y = np.concatenate([y, -y], axis=1)
+            top = np.argpartition(-y, min(depth, y.shape[1] - 1), axis=1)[:, :depth]
+            val = np.take_along_axis(y, top, 1)
+            order = np.argsort(-val, axis=1, kind="stable")
+            axes.append(np.take_along_axis(top, order, 1))
+            val = np.take_along_axis(val, order, 1)
+            losses.append(val[:, :1] - val)
+        loss = np.stack([sum(losses[h][:, c[h]] for h in range(hashes)) for c in ranks], 1)
+        code = np.full((n, len(ranks)), t, "i8")
+        for h in range(hashes):
+            code = code * (2 * size) + axes[h][:, [c[h] for c in ranks]]
+        best = np.argsort(loss, axis=1, kind="stable")[:, :want]
+        found = np.take_along_axis(code, best, 1)
+        found[(np.take_along_axis(loss, best, 1) >= gap) & (np.arange(found.shape[1]) > 0)] = -1
+        out[:, t, : found.shape[1]] = found
+    return out
 
 
 def _binary(column: pa.Array, width: int) -> np.ndarray:
@@ -85,41 +107,37 @@ def _binary(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.int8)[at[0] : at[-1]].reshape(-1, width) if len(column) else np.empty((0, width), np.int8)
 
 
-def _hash(dim: int, tables: int, hashes: int, gap: float, seed: int) -> Callable:
+def _hash(dim: int, tables: int, hashes: int, probes: int, gap: float, seed: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns = rotations(dim, tables * hashes, seed)
+        signs = signs_of(dim, tables * hashes, seed)
         for batch in batches:
-            h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(h1):
+            if not batch.num_rows:
                 continue
+            h1, h2, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 3))
             x = batch.column(2).flatten().to_numpy().reshape(-1, dim).astype("f8")
-            _, keep, same = np.unique(h1 ^ (h2 << 1), return_index=True, return_inverse=True)  # copies within a batch are entered once
-            asks = np.bincount(same, weights=batch.column(3).to_numpy(zero_copy_only=False)) > 0
-            h1, h2, x = h1[keep], h2[keep], x[keep]
             unit = x / np.abs(x).max(1, keepdims=True)
             unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype("f4")
-            own, near = codes(unit, turns, tables, hashes, gap)
+            found = codes(unit, signs, tables, hashes, probes, gap)
+            found[~asks, :, 1:] = -1  # rows that only are found have their own codes
             step = np.abs(unit).max(1) / 127
             small = np.rint(unit / step[:, None]).astype(np.int8)
-            row, t = np.nonzero((near >= 0) & asks[:, None])
-            at = np.concatenate([np.repeat(np.arange(len(h1)), tables), row])
-            code = np.concatenate([own.ravel(), near[row, t]])
-            probe = np.concatenate([np.zeros(own.size, bool), np.ones(len(row), bool)])
-            data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim), len(at), [None, pa.py_buffer(np.ascontiguousarray(small[at]))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(probe), pa.array(h1[at]), pa.array(h2[at]), pa.array(step[at].astype("f4")), pa.array(asks[at]), data], names=["code", "probe", "h1", "h2", "step", "asks", "small"])
+            at, t, p = np.nonzero(found >= 0)
+            for a in range(0, len(at), 100_000):
+                i, code = at[a : a + 100_000], found[at, t, p][a : a + 100_000]
+                data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim), len(i), [None, pa.py_buffer(np.ascontiguousarray(small[i]))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(h1[i]), pa.array(h2[i]), pa.array(step[i].astype("f4")), pa.array(asks[i]), data], names=["code", "h1", "h2", "step", "asks", "small"])
 
     return run
 
 
-def _pairs_of(v: np.ndarray, step: np.ndarray, probe: np.ndarray, block: np.ndarray, cell: np.ndarray, cls: np.ndarray, asks: np.ndarray, k: int, least: float) -> np.ndarray:
+def _pairs_of(v: np.ndarray, step: np.ndarray, block: np.ndarray, cell: np.ndarray, cls: np.ndarray, asks: np.ndarray, k: int, least: float) -> np.ndarray:
     """Index pairs of one group that may be among the k best of a row that asks, and reach ``least``."""
     n, out, rows = len(v), [np.empty((0, 2), "i8")], np.flatnonzero(asks)
     for a in range(0, len(rows), 512):
         r = rows[a : a + 512]
         sims = v[r] @ v.T
         err = np.sqrt(v.shape[1]) * 0.53 * (step[r, None] + step[None])
-        bad = (cls[r, None] == cls[None]) | (probe[r, None] & probe[None])
-        bad |= (block[r, None] == block[None]) & (cell[r, None] < 0)
+        bad = (cls[r, None] == cls[None]) | ((block[r, None] == block[None]) & (cell[r, None] < 0))
         sims[bad] = -9
         keep = sims + err >= least
         if n > k:
@@ -135,7 +153,7 @@ def _compare(dim: int, k: int, least: float, small_group: int = 24) -> Callable:
     names = ["a1", "a2", "b1", "b2"]
 
     def work(cols: list[np.ndarray], data: np.ndarray) -> Iterator[pa.RecordBatch]:
-        code, cell, block, probe, h1, h2, step, asks = cols
+        code, cell, block, h1, h2, step, asks = cols
         n = len(code)
         if n < 2:
             return
@@ -152,14 +170,14 @@ def _compare(dim: int, k: int, least: float, small_group: int = 24) -> Callable:
                     break
                 continue
             j = i + s
-            ok = (cls[i] != cls[j]) & (asks[i] | asks[j]) & ~(probe[i] & probe[j]) & ~((block[i] == block[j]) & (cell[i] < 0))
+            ok = (cls[i] != cls[j]) & (asks[i] | asks[j]) & ~((block[i] == block[j]) & (cell[i] < 0))
             i, j = i[ok], j[ok]
             sims = np.einsum("ij,ij->i", v[i], v[j]) + np.sqrt(dim) * 0.53 * (step[i] + step[j])
             ok = sims >= least
             found.append(np.stack([i[ok], j[ok]], 1))
         for a, b in zip(start, end):
             if b - a > small_group:
-                found.append(_pairs_of(v[a:b], step[a:b], probe[a:b], block[a:b], cell[a:b], cls[a:b], asks[a:b], k, least) + a)
+                found.append(_pairs_of(v[a:b], step[a:b], block[a:b], cell[a:b], cls[a:b], asks[a:b], k, least) + a)
         if not found:
             return
         p = np.concatenate(found)
@@ -177,12 +195,12 @@ def _compare(dim: int, k: int, least: float, small_group: int = 24) -> Callable:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
-            held.append((cols, _binary(batch.column(8), dim)))
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            held.append((cols, _binary(batch.column(7), dim)))
             rows += batch.num_rows
             if rows < 60_000:
                 continue
-            cols = [np.concatenate([h[0][i] for h in held]) for i in range(8)]
+            cols = [np.concatenate([h[0][i] for h in held]) for i in range(7)]
             data = np.concatenate([h[1] for h in held])
             last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
             split = int(np.argmax(last))
@@ -190,7 +208,7 @@ def _compare(dim: int, k: int, least: float, small_group: int = 24) -> Callable:
                 yield from work([c[:split] for c in cols], data[:split])
             held, rows = [([c[split:] for c in cols], data[split:])], len(data) - split
         if held:
-            yield from work([np.concatenate([h[0][i] for h in held]) for i in range(8)], np.concatenate([h[1] for h in held]))
+            yield from work([np.concatenate([h[0][i] for h in held]) for i in range(7)], np.concatenate([h[1] for h in held]))
 
     return run
 
@@ -280,9 +298,9 @@ def _every(classes: DataFrame, dim: int, k: int, block: int) -> DataFrame:
     return near.join(classes.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), "ids"), ["o1", "o2"]).select("h1", "h2", "ids", "cosine")
 
 
-def _hashed(base: DataFrame, classes: DataFrame, dim: int, k: int, min_cosine: float, tables: int, hashes: int, probe_gap: float, cap: int, seed: int, queries: str | None) -> DataFrame:
+def _hashed(classes: DataFrame, dim: int, k: int, min_cosine: float, tables: int, hashes: int, probes: int, probe_gap: float, cap: int, seed: int, queries: str | None) -> DataFrame:
     """``h1, h2, ids, cosine``: classes that share a code, both ways."""
-    entries = base.select("h1", "h2", "v", "asks").mapInArrow(_hash(dim, tables, hashes, probe_gap, seed), "code long, probe boolean, h1 long, h2 long, step float, asks boolean, small binary")
+    entries = classes.select("h1", "h2", "v", "asks").mapInArrow(_hash(dim, tables, hashes, probes, probe_gap, seed), "code long, h1 long, h2 long, step float, asks boolean, small binary")
     heavy = materialize(entries.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap), "heavy")
     n_heavy = heavy.count()
     if n_heavy:
@@ -297,7 +315,7 @@ def _hashed(base: DataFrame, classes: DataFrame, dim: int, k: int, min_cosine: f
         entries = entries.withColumn("cell", F.explode(cells))
     else:
         entries = entries.withColumn("block", F.lit(0)).withColumn("cell", F.lit(0))
-    entries = entries.select("code", "cell", "block", "probe", "h1", "h2", "step", "asks", "small")
+    entries = entries.select("code", "cell", "block", "h1", "h2", "step", "asks", "small")
     pairs = entries.repartition("code", "cell").sortWithinPartitions("code", "cell").mapInArrow(_compare(dim, k, min_cosine), "a1 long, a2 long, b1 long, b2 long").distinct()
     a, b = (classes.select(*[F.col(c).alias(f"{s}{c[1:]}") for c in ("h1", "h2")], F.col("ids").alias(f"{s}_ids"), F.col("v").alias(f"{s}_v")) for s in "ab")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
@@ -310,24 +328,24 @@ def _hashed(base: DataFrame, classes: DataFrame, dim: int, k: int, min_cosine: f
 
 def similar_vectors(
     vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding", dim: int = 64, k: int = 5, min_cosine: float = -1.0,
-    tables: int = 8, hashes: int = 3, probe_gap: float = 0.02, cap: int = CAP, seed: int = SEED, queries: str | None = None,
+    tables: int | None = None, hashes: int | None = None, probes: int | None = None, probe_gap: float | None = None, cap: int = CAP, seed: int = SEED, queries: str | None = None,
     exhaustive: bool = False, block: int = BLOCK,
 ) -> DataFrame:
     """``id, other_id, cosine, rank``: for each usable row those of its ``k`` most similar rows with at least ``min_cosine``.
 
-    ``queries`` is a condition on ``vectors``: only rows that meet it ask, against all rows.  The defaults are made for
-    near neighbours; far ones need ``hashes=1``, more tables and a high ``probe_gap``, or ``exhaustive``, which compares
-    all with all in blocks of about ``block`` different vectors and is exact.
+    ``queries`` is a condition on ``vectors``: only rows that meet it ask, against all rows.  Tables, hashes and probes
+    are those of ``settings`` where they are not given.  ``exhaustive`` compares all with all in blocks of about ``block`` different vectors and is exact.
     """
     base = usable(vectors, id_col, vector_col, dim, queries)
-    by_class = W.partitionBy("h1", "h2").orderBy("id")
-    few = base.withColumn("_n", F.rank().over(by_class)).filter(F.col("_n") <= k + 1)
-    classes = few.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first(F.when(F.col("_n") == 1, F.col("v")), ignorenulls=True).alias("v"))
+    # copies: one vector for each class, and its k + 1 smallest ids (a limit that the plan applies before the shuffle)
+    vector = base.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.max("asks").alias("asks"))
+    few = base.select("h1", "h2", "id").distinct().withColumn("_n", F.row_number().over(W.partitionBy("h1", "h2").orderBy("id"))).filter(F.col("_n") <= k + 1)
+    classes = materialize(vector.join(few.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids")), ["h1", "h2"]), "classes")
     if exhaustive:
-        classes = materialize(classes, "classes")
-        near = _every(classes.join(base.filter("asks").select("h1", "h2").distinct().withColumn("asks", F.lit(True)), ["h1", "h2"], "left"), dim, k, block).filter(F.col("cosine") >= min_cosine)
+        near = _every(classes, dim, k, block).filter(F.col("cosine") >= min_cosine)
     else:
-        near = _hashed(base, classes, dim, k, min_cosine, tables, hashes, probe_gap, cap, seed, queries)
+        chosen = settings(classes.count(), min_cosine) | {name: x for name, x in (("tables", tables), ("hashes", hashes), ("probes", probes), ("probe_gap", probe_gap)) if x is not None}
+        near = _hashed(classes, dim, k, min_cosine, **chosen, cap=cap, seed=seed, queries=queries)
     near = near.withColumn("_n", F.rank().over(W.partitionBy("h1", "h2").orderBy(F.desc("cosine")))).filter(F.col("_n") <= k).drop("_n")
     itself = classes.filter(F.size("ids") > 1).select("h1", "h2", "ids", F.lit(1.0).alias("cosine"))
     near = near.unionByName(itself if min_cosine <= 1 else itself.limit(0))
@@ -336,6 +354,17 @@ def similar_vectors(
     return rows.withColumn("rank", F.rank().over(W.partitionBy("id").orderBy(F.desc("cosine")))).filter(F.col("rank") <= k)
 
 
+def settings(n: int, least: float = -1.0) -> dict:
+    """Tables, hashes and probes for ``n`` different vectors and neighbours of at least the cosine ``least``.
+
+    Near neighbours share several hashes, so three of them keep groups small.  Where neighbours may be at any cosine, one
+    hash serves as long as its groups of about n / 40 can be compared; beyond a million, two with more probes.
+    """
+    if least >= 0.85:
+        return {"tables": 8, "hashes": 3, "probes": 1, "probe_gap": 0.02}
+    return {"tables": 8, "hashes": 1, "probes": 1, "probe_gap": 9.0} if n <= 1 << 20 else {"tables": 12, "hashes": 2, "probes": 7, "probe_gap": 9.0}
+
+
 def similar_pairs(neighbours: DataFrame) -> DataFrame:
     """``id_a < id_b, cosine``: each pair once."""
     return neighbours.groupBy(F.least("id", "other_id").alias("id_a"), F.greatest("id", "other_id").alias("id_b")).agg(F.max("cosine").alias("cosine"))

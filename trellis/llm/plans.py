@@ -28,7 +28,7 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_search(spark: SparkSession, d: str) -> DataFrame:
-    near = similar_vectors(table(spark, d, "vectors"), k=10, tables=12, hashes=1, probe_gap=9.0, queries="id % 20 = 0")
+    near = similar_vectors(table(spark, d, "vectors"), k=10, tables=12, hashes=1, probes=2, queries="id % 20 = 0")
     return near.select("id", "other_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
