@@ -8,7 +8,9 @@ shift join to the longest verbatim run, which is given with its place in documen
 Words are runs of letters and digits in lower case and composed form (NFC); invisible characters (Unicode category Cf)
 are left out first, so that they do not part words.  Everything else parts words.
 
-The test items are held by each task in blocks of at most ``BLOCK_BYTES`` of text; more of them mean more passes.
+A run that holds a word which no item has cannot be an item's, so only runs of ``min_words`` or more words that items know
+go into the array.  Equal windows of many items are searched once.  The test items are held by each task, and by the driver,
+in blocks of about ``BLOCK_BYTES`` of text, whose number is counted first; each block is one pass over the corpus.
 
 Defined results: null or empty texts and items of fewer than ``min_words`` words match nothing; repeated rows count once.
 """
@@ -24,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellis.session import materialize
+
 SHARD_WORDS = 1 << 20
 BLOCK_BYTES = 32 << 20
 
@@ -74,64 +78,97 @@ def interval(text: np.ndarray, order: np.ndarray, queries: np.ndarray) -> tuple[
     return bound(False), bound(True)
 
 
-def _search(items: list[tuple[int, list[str]]], min_words: int, shard_words: int) -> Callable:
-    def shard(docs: list[int], texts: list[list[str]]) -> pd.DataFrame | None:
-        known: dict[str, int] = {}
-        flat: list[int] = []
-        owner = np.repeat(np.arange(len(docs)), [len(t) + 1 for t in texts])
-        for t in texts:
-            flat.extend([known.setdefault(w, len(known) + 1) for w in t])
-            flat.append(0)
-        text = np.array(flat, "i8")
-        queries, at = [], []
+class Items:
+    """Test items as numbers: the vocabulary, the different windows of ``m`` words, and where each of them stands."""
+
+    def __init__(self, items: list[tuple[int, list[str]]], m: int):
+        self.ids = np.array([i for i, _ in items], "i8")
+        self.known: dict[str, int] = {}
+        windows, at = [np.empty((0, m), "i8")], [np.empty((0, 2), "i8")]
         for i, (_, ws) in enumerate(items):
-            ids = np.array([known.get(w, -1) for w in ws], "i8")
-            if len(ids) < min_words:
-                continue
-            windows = np.lib.stride_tricks.sliding_window_view(ids, min_words)
-            whole = np.flatnonzero((windows > 0).all(1))
-            queries.append(windows[whole])
-            at.append(np.stack([np.full(len(whole), i), whole], 1))
-        if not queries or not sum(map(len, queries)):
-            return None
-        query, at = np.concatenate(queries), np.concatenate(at)
+            codes = np.array([self.known.setdefault(w, len(self.known) + 1) for w in ws], "i8")
+            if len(codes) >= m:
+                windows.append(np.lib.stride_tricks.sliding_window_view(codes, m))
+                at.append(np.stack([np.full(len(codes) - m + 1, i), np.arange(len(codes) - m + 1)], 1))
+        self.queries, which = np.unique(np.concatenate(windows), axis=0, return_inverse=True)
+        at, which = np.concatenate(at), which.ravel()
+        order = np.argsort(which, kind="stable")
+        self.places, self.starts = at[order], np.searchsorted(which[order], np.arange(len(self.queries) + 1))
+
+
+def _open_runs(codes: np.ndarray, m: int) -> np.ndarray:
+    """Mask of the words that stand in a run of ``m`` or more known ones."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], (codes > 0).view("i1"), [0]))))
+    mask = np.zeros(len(codes), bool)
+    for a, b in zip(edge[::2], edge[1::2]):
+        if b - a >= m:
+            mask[a:b] = True
+    return mask
+
+
+def _search(items: list[tuple[int, list[str]]], min_words: int, shard_words: int, most: int = 1 << 21) -> Callable:
+    def shard(held: Items, docs: np.ndarray, owner: np.ndarray, word: np.ndarray, text: np.ndarray) -> Iterator[pd.DataFrame]:
         order = suffix_array(text, min_words)
-        low, high = interval(np.concatenate([text, np.full(min_words, -2)]), order, query)
+        low, high = interval(np.concatenate([text, np.full(min_words, -2)]), order, held.queries)
         n = high - low
-        if not n.any():
-            return None
         which = np.repeat(np.arange(len(n)), n)
         place = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-        begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])[:-1]))
-        m = pd.DataFrame({"doc": owner[place], "item": at[which, 0], "at": at[which, 1], "place": place})
-        m["shift"] = m["place"] - m["at"]
+        by_place = np.argsort(place, kind="stable")
+        which, place = which[by_place], place[by_place]
+        # one place meets each item position of its window; documents are taken together up to ``most`` of them
+        times = held.starts[which + 1] - held.starts[which]
+        ends = np.flatnonzero(np.diff(owner[place], append=-1)) + 1 if len(place) else np.empty(0, int)
+        start = done = 0
+        total = np.concatenate(([0], np.cumsum(times)))
+        for e, end in enumerate(ends):
+            if total[end] - done < most and e + 1 < len(ends):
+                continue
+            w, t, p = which[start:end], times[start:end], place[start:end]
+            at = held.places[np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t) + np.repeat(held.starts[w], t)]
+            yield runs(held, docs, owner, word, np.repeat(p, t), at)
+            start, done = end, total[end]
+
+    def runs(held: Items, docs: np.ndarray, owner: np.ndarray, word: np.ndarray, place: np.ndarray, at: np.ndarray) -> pd.DataFrame:
+        """The longest run of each document and item."""
+        m = pd.DataFrame({"doc": owner[place], "item": at[:, 0], "at": at[:, 1], "word": word[place]})
+        m["shift"] = m["word"] - m["at"]
         m = m.sort_values(["doc", "item", "shift", "at"], ignore_index=True)
         new = (m[["doc", "item", "shift"]].diff().abs().sum(axis=1) != 0) | (m["at"].diff() != 1)
-        runs = m.groupby(new.cumsum()).agg(doc=("doc", "first"), item=("item", "first"), at=("at", "first"), place=("place", "first"), n=("at", "size"))
-        best = runs.sort_values(["doc", "item", "n", "place", "at"], ascending=[True, True, False, True, True]).drop_duplicates(["doc", "item"])
-        return pd.DataFrame({
-            "doc_id": np.array(docs)[best["doc"]], "item_id": np.array([i for i, _ in items])[best["item"]], "n_words": best["n"].to_numpy() + min_words - 1,
-            "doc_word": best["place"].to_numpy() - begins[best["doc"]], "item_word": best["at"].to_numpy(),
-        })
+        found = m.groupby(new.cumsum()).agg(doc=("doc", "first"), item=("item", "first"), at=("at", "first"), word=("word", "first"), n=("at", "size"))
+        best = found.sort_values(["doc", "item", "n", "word", "at"], ascending=[True, True, False, True, True]).drop_duplicates(["doc", "item"])
+        return pd.DataFrame({"doc_id": docs[best["doc"]], "item_id": held.ids[best["item"]], "n_words": best["n"].to_numpy() + min_words - 1, "doc_word": best["word"].to_numpy(), "item_word": best["at"].to_numpy()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = Items(items, min_words)
+        get = held.known.get
         docs: list[int] = []
-        texts: list[list[str]] = []
-        held = 0
+        parts: list[list[np.ndarray]] = []
+        n = 0
+
+        def flush() -> Iterator[pd.DataFrame]:
+            owner, word, text = (np.concatenate(c) for c in zip(*parts))
+            yield from shard(held, np.array(docs, "i8"), owner, word, text)
+
         for batch in batches:
             for doc, text in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
                 ws = words(text)
-                if len(ws) < min_words:
+                if len(ws) < min_words or not len(held.queries):
+                    continue
+                codes = np.array([get(w, 0) for w in ws], "i8")
+                # a run with a word that no item has is no item's run: what is left of the text goes into the array
+                at = np.flatnonzero(_open_runs(codes, min_words))
+                if not len(at):
                     continue
+                gap = np.flatnonzero(np.diff(at) > 1) + 1
+                at, codes = np.insert(at, gap, -1), np.insert(codes[at], gap, 0)
+                parts.append([np.full(len(at) + 1, len(docs)), np.append(at, -1), np.append(codes, 0)])
                 docs.append(doc)
-                texts.append(ws)
-                held += len(ws)
-                if held >= shard_words:
-                    if (found := shard(docs, texts)) is not None:
-                        yield found
-                    docs, texts, held = [], [], 0
-        if docs and (found := shard(docs, texts)) is not None:
-            yield found
+                n += len(at) + 1
+                if n >= shard_words:
+                    yield from flush()
+                    docs, parts, n = [], [], 0
+        if docs:
+            yield from flush()
 
     return run
 
@@ -146,9 +183,10 @@ def leaks(
     total = tests.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = -(-total // block_bytes) or 1
     out = None
-    for b in range(blocks):
+    for b in range(blocks):  # the driver holds one block at a time
         block = [(r.item_id, words(r.text)) for r in tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
         found = corpus.mapInPandas(_search(block, min_words, shard_words), "doc_id long, item_id long, n_words long, doc_word long, item_word long")
+        found = found if blocks == 1 else materialize(found, "leaks")
         out = found if out is None else out.unionByName(found)
     best = F.max(F.struct("n_words", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i")))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.n_words").alias("n_words"), (-F.col("b.d")).alias("doc_word"), (-F.col("b.i")).alias("item_word"))

@@ -100,13 +100,17 @@ QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_search": p1
 _GRAMS = r"""
 WITH doc AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(regexp_replace(text, '[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g'))), '[\p{L}\p{Nd}]+') AS w FROM documents),
 item AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{Nd}]+') AS w FROM benchmark),
-dg AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM doc, unnest(range(1, len(w) - 10)) AS r(i)),
-ig AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM item, unnest(range(1, len(w) - 10)) AS r(i)),
+dg AS (SELECT doc_id, i - 1 AS d, array_to_string(w[i:i + 11], ' ') AS g FROM doc, unnest(range(1, len(w) - 10)) AS r(i)),
+ig AS (SELECT item_id, i - 1 AS t, array_to_string(w[i:i + 11], ' ') AS g FROM item, unnest(range(1, len(w) - 10)) AS r(i)),
 hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
 """
 
 SQL = {
     "p7_found": _GRAMS + "SELECT doc_id, item_id FROM hit",
+    "p7_leaks": _GRAMS
+    + """, place AS (SELECT doc_id, item_id, d, t, t - row_number() OVER (PARTITION BY doc_id, item_id, d - t ORDER BY t) AS run FROM dg JOIN ig USING (g)),
+    runs AS (SELECT doc_id, item_id, count(*) + 11 AS n_words, min(d) AS doc_word, min(t) AS item_word FROM place GROUP BY doc_id, item_id, d - t, run)
+    SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_words DESC, doc_word, item_word) = 1""",
     "p7_kept": _GRAMS + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)",
     "p6_found": """SELECT DISTINCT 'symbols' AS ref_table, id AS row_id FROM symbols WHERE strlen(content) > 2000
       UNION SELECT 'vectors', id FROM vectors WHERE strlen(text) > 2000""",
