@@ -1,14 +1,50 @@
+import base64
+import os
+import random
 from collections import Counter, defaultdict
 
-from trellis.llm.mixing import _parts, mix, quotas, shares
+import numpy as np
+import pytest
+import tiktoken
 
+from trellis.llm.mixing import BITS, PATTERN, TOKENIZER, _parts, mix, nth_slots, progressions, quotas, shares
 
-def test_quotas_and_parts():
+
+def test_quotas():
     got = quotas({"a": 100, "b": 10, "c": 1000}, {"a": (0.5, 1), "b": (0.3, 2), "c": (0.1, 1), "gone": (0.1, 9)}, 300)
     assert got["a"] == 100 and got["b"] == 20 and abs(got["c"] - 180) < 1e-9 and "gone" not in got
     assert quotas({}, {"a": (1.0, 1)}, 5) == {}
-    text = "ab\n" * 300_000
-    assert "".join(_parts(text)) == text and all(len(p) <= 1 << 18 for p in _parts(text))
+
+
+def encoder():
+    with open(TOKENIZER, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    return tiktoken.Encoding("test", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer here")
+def test_parts_have_the_tokens_of_the_whole():
+    r, e = random.Random(3), encoder()
+    for _ in range(60):
+        text = "".join(r.choice(["wort", " ", "  ", "\n", "\t ", "'s", "größe", "12", "!?", " \n\n", "a" * 50, "\u00a0"]) for _ in range(r.randrange(1, 200)))
+        parts = list(_parts(text, 20))
+        assert "".join(parts) == text and sum(len(e.encode_ordinary(p)) for p in parts) == len(e.encode_ordinary(text))
+    assert list(_parts("x" * 100, 20)) == ["x" * 100] and list(_parts("", 20)) == [""]
+
+
+def test_slots_are_those_of_van_der_corput():
+    bits, weights = 10, [300, 1, 723]
+    point = lambda i: int(format(i % (1 << bits), f"0{bits}b")[::-1], 2)
+    low = 0
+    for w in weights:
+        want = [i for i in range(5000) if low <= point(i) < low + w]
+        got = nth_slots(np.arange(len(want)), *progressions(low, low + w, bits))
+        assert got.tolist() == want
+        low += w
+    whole = progressions(0, 1 << BITS)
+    assert nth_slots(np.array([0, 7, 1 << 40]), *whole).tolist() == [0, 7, 1 << 40]
+    rare = progressions(5, 6)  # one point of 2 ** 48
+    assert nth_slots(np.array([0, 1]), *rare).tolist() == [int(format(5, "048b")[::-1], 2), int(format(5, "048b")[::-1], 2) + (1 << 48)]
 
 
 def test_mix(spark):

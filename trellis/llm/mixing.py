@@ -5,7 +5,8 @@ total, at most ``max_repeats`` times what it has; what a short source lacks goes
 shares.  The documents of a source are shuffled by a hash, laid end to end once for each pass, and cut into blocks of
 about ``block_tokens`` tokens.  Slot number i of the mix draws the van der Corput point of i, which falls into one
 source's part of the cumulative weights; the n-th slot of a source takes its n-th block.  Any stretch of the mix thereby
-holds nearly the target shares.
+holds nearly the target shares.  No table of slots is made: the slots of a source are some arithmetic progressions, in
+which the n-th is found by bisection.
 
 Positions are prefix sums in two steps (sums of small hash ranges, then within a range), so that no task holds a source.
 ``targets`` must be small; it is read to the driver and its size is checked against ``MAX_SOURCES``.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,19 +47,23 @@ def _counter(path: str) -> Callable:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         encoding = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
-            # a very long text is counted in parts cut at line breaks, between which no pair is merged but for blanks
             batch["n_tokens"] = [sum(len(encoding.encode_ordinary(p)) for p in _parts(t)) for t in batch["text"]]
             yield batch[["doc_id", "source", "n_tokens"]]
 
     return run
 
 
-def _parts(text: str, size: int = 1 << 18) -> Iterator[str]:
+_CUT = re.compile(r"(?<=\S)\s")
+
+
+def _parts(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """A long text in parts that have together the tokens of the whole: no token of the pattern goes on behind a word into
+    white space, so a cut before it changes nothing.  A stretch without such a place is not cut, however long."""
     at = 0
-    while at < len(text):
-        end = len(text) if len(text) - at <= size else (text.rfind("\n", at + size // 2, at + size) + 1 or at + size)
-        yield text[at:end]
-        at = end
+    while len(text) - at > size and (m := _CUT.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -93,9 +99,48 @@ def prefix_sum(rows: DataFrame, group: list[str], order: Column, tie: str, value
     return rows.withColumn("_i", inner).join(before, [*group, "_r"]).withColumn(name, F.col("_b") + F.col("_i")).drop("_o", "_r", "_b", "_i")
 
 
-def _radical(bits: int) -> Column:
-    """Van der Corput point of slot number id: its bits mirrored behind the point."""
-    return F.conv(F.reverse(F.lpad(F.conv(F.col("id").cast("string"), 10, 2), bits, "0")), 2, 10).cast("double") / float(1 << bits)
+#: Bits to which the borders of the sources' parts are rounded.
+BITS = 48
+
+
+def progressions(low: int, high: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Slots whose van der Corput point lies in [low, high) / 2 ** bits, as residues and moduli.
+
+    A dyadic part of length 2 ** -k holds the points of the slots of one residue modulo 2 ** k, its digits mirrored.
+    """
+    residues, moduli = [], []
+    while low < high:
+        size = min(low & -low or 1 << bits, 1 << ((high - low).bit_length() - 1))
+        k = bits - (size.bit_length() - 1)
+        residues.append(int(format(low >> (bits - k), f"0{k}b")[::-1], 2) if k else 0)
+        moduli.append(1 << k)
+        low += size
+    return np.array(residues, "i8"), np.array(moduli, "i8")
+
+
+def nth_slots(n: np.ndarray, residues: np.ndarray, moduli: np.ndarray) -> np.ndarray:
+    """Number of the n-th slot (from 0) of a source, by bisection over how many of its slots come before a number."""
+    share = (1.0 / moduli).sum()
+    slack = len(moduli) + 2  # the count up to N is N * share but for one for each progression
+    low = np.maximum(0, np.floor((n - slack) / share)).astype("i8")
+    high = np.ceil((n + slack) / share).astype("i8") + 1
+    while (low < high).any():  # the smallest N with more than n slots up to and with N
+        mid = (low + high) // 2
+        held = sum(np.maximum(0, (mid - r) // m + 1) for r, m in zip(residues, moduli))
+        low, high = np.where(held > n, low, np.minimum(mid + 1, high)), np.where(held > n, mid, high)
+    return low
+
+
+def _slots(parts: dict[str, tuple[int, int]]) -> Callable:
+    @F.pandas_udf("long")
+    def run(source: pd.Series, block: pd.Series) -> pd.Series:
+        out = np.zeros(len(source), "i8")
+        for name, at in source.groupby(source).indices.items():
+            n, back = np.unique(block.to_numpy()[at], return_inverse=True)
+            out[at] = nth_slots(n, *progressions(*parts[name]))[back]
+        return pd.Series(out)
+
+    return run
 
 
 def mix(
@@ -134,25 +179,15 @@ def _schedule(counts: DataFrame, plan: dict[str, tuple[float, int, int, float]],
         return spark.createDataFrame([], schema)
     blocks = {s: max(1, math.ceil(q / block_tokens)) for s, (_, _, _, q) in used.items()}
     names, total = sorted(used), sum(blocks.values())
-    edges = np.cumsum([blocks[s] for s in names]) / total
+    edges = [0]
+    for name in names:  # whole numbers, so that the parts leave no gap
+        edges.append(edges[-1] + blocks[name])
+    parts = {name: ((a << BITS) // total, (b << BITS) // total) for name, a, b in zip(names, edges, edges[1:])}
     facts = F.broadcast(spark.createDataFrame([(s, used[s][2], float(used[s][3]), used[s][1], math.ceil(used[s][3] / used[s][2]), blocks[s]) for s in names], "source string, _have long, _quota double, _repeats int, _passes int, _blocks long"))
     placed = prefix_sum(counts, ["source"], F.xxhash64("doc_id", F.lit(seed)), "doc_id", "n_tokens", "_at").join(facts, "source")
     placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.least("_passes", "_repeats") - 1))).withColumn("_at", F.col("copy") * F.col("_have") + F.col("_at")).filter(F.col("_at") < F.col("_quota"))
     placed = placed.withColumn("_block", F.least(F.floor(F.col("_at") / block_tokens), F.col("_blocks") - 1))
-    # enough slots for each source: a stretch of n points misses the share of a part by at most 2 + log2(n)
-    bits = max(2, (total * 2).bit_length() + 8)
-    slots = total + math.ceil((bits + 2) * total / min(blocks.values()))
-    bits = max(bits, slots.bit_length())
-    point = _radical(bits)
-    which = F.lit(names[-1])
-    for name, edge in reversed(list(zip(names[:-1], edges[:-1]))):
-        which = F.when(point < float(edge), F.lit(name)).otherwise(which)
-    drawn = spark.range(slots).select("id", which.alias("source"), F.lit(1).alias("_one"))
-    chunk = max(1, slots // RANGES)
-    order = F.shiftleft(F.floor(F.col("id") / chunk).cast("long"), 64 - int(math.log2(RANGES)) - 2)
-    ranked = prefix_sum(drawn, ["source"], order, "id", "_one", "_block").select(F.col("id").alias("slot"), "source", F.col("_block").cast("long").alias("_block"))
-    joined = placed.join(ranked, ["source", "_block"])
-    return joined.select("slot", F.col("_at").alias("place"), "doc_id", "copy", "source", "n_tokens")
+    return placed.select(_slots(parts)("source", F.col("_block").cast("long")).alias("slot"), F.col("_at").alias("place"), "doc_id", "copy", "source", "n_tokens")
 
 
 def shares(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
