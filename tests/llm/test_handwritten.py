@@ -108,7 +108,7 @@ def test_every_similar_pair_of_a_band_is_linked(spark):
     for text, values in sets.items():
         low = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32)
         low[: len(values)] = sorted(values)
-        rows.append((text, "07" if text == "61" else text, 50, [1], low.tobytes()))
+        rows.append((text, "07" if text == "61" else text, 50, [1], low.tobytes(), len(values)))
     parent = {t: t for t in sets}
     find = lambda t: t if parent[t] == t else find(parent[t])
     for a in sets:
@@ -116,7 +116,7 @@ def test_every_similar_pair_of_a_band_is_linked(spark):
             if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
-    df = spark.createDataFrame(rows, "text string, order string, n_tokens long, bands array<long>, low binary")
+    df = spark.createDataFrame(rows, "text string, order string, n_tokens long, bands array<long>, low binary, size long")
     for cap in (4096, 9):
         got = {t: c for t, c in clusters(df, cap=cap).collect()}
         assert got == {t: find(t) for t in sets} and got["00"] == "00"

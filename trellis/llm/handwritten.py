@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ from trellis.session import materialize
 
 SHINGLE, BANDS, ROWS, SKETCH = 5, 16, 4, 128
 SIMILAR, FAMILY, SEEDED, MIN_TOKENS, MIN_LINES, MOST = 0.8, 3, 0.5, 20, 10, 0.5
+#: Lines alike but for counting up that make a run.
+RUN = 8
 #: Nodes of one band that one task compares with one another.
 CAP = 4096
 
@@ -60,7 +63,7 @@ VENDORED_NOTICE = re.compile(
 )
 
 _OPENING = re.compile(r"\ufeff?\s*(?:(?:(?://|#(?!\[|include|define|if|pragma|!\[)|--)[^\n]*(?:\n|\Z)|/\*(?:[^*]|\*(?!/))*\*/[ \t]*(?:\n|\Z)|<!--[\s\S]*?-->[ \t]*(?:\n|\Z))\s*)+")
-_TOKEN = re.compile(r"//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/|\Z)|(?:(?<=\s)|^)#[^\[\n][^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|\d[\w.]*|[^\W\d]\w*|\S", re.M)
+_QUOTED = re.compile(r"//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/|\Z)|#(?<!\S#)[^\[\n][^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`")
 _STRING = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`]*`")
 _NAME = re.compile(r"[^\W\d]\w*")
 _DIGIT = re.compile(r"\d")
@@ -74,6 +77,10 @@ _CODES = {w: 200 + i for i, w in enumerate(_KEYWORDS)} | {chr(i): i for i in ran
 _VALUE, _PLAIN = np.zeros(512, bool), np.zeros(512, bool)
 _VALUE[[2, 3, *(_CODES[w] for w in ("None", "null", "nil", "true", "false"))]] = True
 _PLAIN[[*np.flatnonzero(_VALUE), *map(ord, "[]{}(),;:+-*.")]] = True
+_WORD_BYTE = np.array([i >= 128 or chr(i).isalnum() or i == 95 for i in range(256)])
+_DIGIT_BYTE = np.array([48 <= i < 58 for i in range(256)])
+#: Code of a byte that is in no word: white space 0, what stands for a string 3, a sign its own, a lone quote 4.
+_SIGN = np.array([3 if i == 0 else 0 if i <= 32 or i >= 127 else _CODES.get(chr(i), 4) for i in range(256)], np.uint64)
 _P = np.array([pow(0x100000001B3, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
 _HASHES = np.random.default_rng(41).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -94,33 +101,59 @@ def closing(text: str) -> str:
     return "\n".join(out[::-1]) if lines else ""
 
 
-class _Masks(dict):
-    """Code of a token; comments have 0."""
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2 ** 64."""
+    global _POWERS
+    if len(_POWERS[0]) < n:
+        one = np.full(2 * n, 0x9E3779B97F4A7C15, np.uint64)
+        back = np.full(2 * n, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)
+        one[0] = back[0] = 1
+        _POWERS = np.cumprod(one), np.cumprod(back)
+    return _POWERS
 
-    def __missing__(self, t: str) -> int:
-        c = t[0]
-        code = 0 if t[:2] in ("//", "/*") or (c == "#" and len(t) > 1) else 3 if c in "\"'`" and len(t) > 1 else 2 if c.isdigit() else 1 if c == "_" or c.isalpha() else 4
-        if len(self) < 200_000:
-            self[t] = code
-        return code
 
+_POWERS = (np.empty(0, np.uint64), np.empty(0, np.uint64))
 
-_MASKS = _Masks(_CODES)
+
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    one, back = _powers(len(data) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(data.astype(np.uint64) * one[: len(data)])))
+    return (sums[end] - sums[start]) * back[start]
 
 
 def masked(text: str) -> np.ndarray:
     """Codes of the tokens: names 1, numbers 2, strings 3, keywords and signs their own; comments are left out."""
-    tokens = _TOKEN.findall(text)
-    codes = np.fromiter(map(_MASKS.__getitem__, tokens), np.uint64, len(tokens))
-    return codes[codes > 0]
+    flat = _QUOTED.sub(lambda m: " " if m.group()[0] in "/#" else "\0", text)
+    data = np.frombuffer(flat.encode("utf-8", "replace"), np.uint8)
+    word = _WORD_BYTE[data]
+    edge = np.flatnonzero(np.diff(word.view("i1"), prepend=0, append=0))
+    start, end = edge[::2], edge[1::2]
+    number = _DIGIT_BYTE[data[start]] if len(start) else np.empty(0, bool)
+    # a dot behind a number, and what is behind the dot, belong to it
+    point = end[number & (end < len(data)) & (np.append(data, 0)[end] == 46)]
+    code = np.where(number, 2, 1).astype(np.uint64)
+    key = _word_hashes(data, start, end)
+    at = np.minimum(np.searchsorted(_KEYWORD_HASHES, key), len(_KEYWORD_HASHES) - 1)
+    code = np.where(_KEYWORD_HASHES[at] == key, _KEYWORD_CODES[at], code)
+    out = np.where(word, 0, _SIGN[data]).astype(np.uint64)
+    out[start] = code
+    out[point] = 0
+    behind = point[point + 1 < len(data)] + 1
+    out[behind[word[behind]]] = 0
+    return out[out > 0]
+
+
+_WORDS = sorted((int(_word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0]), _CODES[w]) for w in _KEYWORDS)
+_KEYWORD_HASHES, _KEYWORD_CODES = (np.array(c, np.uint64) for c in zip(*_WORDS))
 
 
 def literal_share(codes: np.ndarray) -> float:
     """Share of the shingles that hold literals and their separators only, and a literal at least."""
     if len(codes) < SHINGLE:
         return 0.0
-    plain = np.lib.stride_tricks.sliding_window_view(_PLAIN[codes], SHINGLE).all(1)
-    value = np.lib.stride_tricks.sliding_window_view(_VALUE[codes], SHINGLE).any(1)
+    sums = lambda mask: np.cumsum(np.concatenate(([0], mask)))
+    plain, value = sums(_PLAIN[codes]), sums(_VALUE[codes])
+    plain, value = plain[SHINGLE:] - plain[:-SHINGLE] == SHINGLE, value[SHINGLE:] > value[:-SHINGLE]
     return float((plain & value).mean())
 
 
@@ -130,8 +163,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def sketch(codes: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """Band keys and the ``SKETCH`` smallest shingle hashes, padded (all of them if there are few)."""
+def sketch(codes: np.ndarray) -> tuple[list[int], np.ndarray, int]:
+    """Band keys, the ``SKETCH`` smallest shingle hashes, padded (all of them if there are few), and the number of different shingles."""
     windows = np.lib.stride_tricks.sliding_window_view(codes, SHINGLE) if len(codes) >= SHINGLE else codes[None]
     hashed = np.unique(_mix((windows * _P[: windows.shape[1]]).sum(1, dtype=np.uint64)))
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
@@ -141,7 +174,7 @@ def sketch(codes: np.ndarray) -> tuple[list[int], np.ndarray]:
     low = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32)
     least_all = np.unique((hashed >> np.uint64(32)).astype(np.uint32))[:SKETCH]
     low[: len(least_all)] = least_all
-    return bands.view("i8").tolist(), low
+    return bands.view("i8").tolist(), low, len(hashed)
 
 
 def layout(text: str) -> tuple[int, float, float]:
@@ -150,15 +183,18 @@ def layout(text: str) -> tuple[int, float, float]:
     if not lines:
         return 0, 0.0, 0.0
     run = dense = 0
-    skeleton, length = None, 0
-    for s in [*lines, ""]:
-        own = s.translate(_SKELETON) if _DIGIT.search(s) else None
-        if own is not None and own == skeleton:
-            length += 1
-        else:
-            if length >= 8:
-                run += length
-            skeleton, length = own, 1 if own else 0
+    counted = [bool(_DIGIT.search(s)) for s in lines]
+    at = 0
+    while at < len(lines):  # only long stretches of lines with digits can hold a run
+        end = at
+        while end < len(lines) and counted[end]:
+            end += 1
+        if end - at >= RUN:
+            for _, same in groupby(s.translate(_SKELETON) for s in lines[at:end]):
+                n = sum(1 for _ in same)
+                run += n if n >= RUN else 0
+        at = end + 1
+    for s in lines:
         if len(s) >= 120:
             bare = _STRING.sub("", s)
             names = _NAME.findall(bare)
@@ -174,15 +210,15 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             notice, text = core(body or "")
             codes = masked(text)
             n, run, dense = layout(text)
-            bands, low = sketch(codes) if len(codes) else ([], np.empty(0, np.uint32))
+            bands, low, size = sketch(codes) if len(codes) else ([], np.empty(0, np.uint32), 0)
             said = None
             for remark in (notice, closing(text)):
                 if said is None and remark:
                     said = "generated" if any(GENERATED_NOTICE.search(s) and not NOT_GENERATED.search(s) for s in remark.split("\n")) else "vendored" if VENDORED_NOTICE.search(remark) else None
             digest = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest()
             order = hashlib.blake2b(codes.astype("u2").tobytes(), digest_size=16).hexdigest()
-            rows.append((i, said, len(codes), n, run, literal_share(codes), dense, digest, order, bands, low.tobytes()))
-        yield pd.DataFrame(rows, columns=["file_id", "notice", "n_tokens", "n_lines", "run", "literal", "dense", "text", "order", "bands", "low"])
+            rows.append((i, said, len(codes), n, run, literal_share(codes), dense, digest, order, bands, low.tobytes(), size))
+        yield pd.DataFrame(rows, columns=["file_id", "notice", "n_tokens", "n_lines", "run", "literal", "dense", "text", "order", "bands", "low", "size"])
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -197,7 +233,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def profiles(texts: DataFrame) -> DataFrame:
     """What the text of each file shows, by ``file_id``."""
-    schema = "file_id long, notice string, n_tokens long, n_lines long, run double, literal double, dense double, text string, order string, bands array<long>, low binary"
+    schema = "file_id long, notice string, n_tokens long, n_lines long, run double, literal double, dense double, text string, order string, bands array<long>, low binary, size long"
     return texts.filter("file_id is not null").select("file_id", "body").mapInPandas(_profile, schema)
 
 
@@ -220,32 +256,78 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("cluster")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("cluster"))).distinct()
 
 
-def _chains(low: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
-    """A row and the rows that join it: each is compared with all rows that are in no chain yet, so no similar pair is left."""
+def _may_be(both: np.ndarray, kept: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """Shared values bound the similarity of two sketches from above."""
+    return both >= similarity * np.minimum(kept + other - both, SKETCH)
+
+
+def _together(low: np.ndarray, ids: np.ndarray, kept: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """``_chains`` for a few rows, all pairs of them at once."""
+    n = len(low)
+    holds = np.zeros((n, ids.max() + 1), "f4")
+    holds[np.repeat(np.arange(n), SKETCH), ids.ravel()] = (low != np.iinfo(np.uint32).max).ravel()
+    a, b = np.triu_indices(n, 1)
+    both = (holds @ holds.T)[a, b]
+    fits = _may_be(both, kept[a], kept[b], similarity) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
+    a, b = a[fits], b[fits]
+    if not len(a):
+        return
+    fits = jaccard(low[a], low[b]) >= similarity
+    head = list(range(n))
+
+    def top(x: int) -> int:
+        while head[x] != x:
+            head[x] = x = head[head[x]]
+        return x
+
+    for x, y in zip(a[fits].tolist(), b[fits].tolist()):
+        x, y = top(x), top(y)
+        head[max(x, y)] = min(x, y)
+    own = np.array([top(x) for x in range(n)])
+    for x in np.unique(own[own != np.arange(n)]):
+        yield int(x), np.flatnonzero((own == x) & (np.arange(n) != x))
+
+
+def _chains(low: np.ndarray, size: np.ndarray, similarity: float, few: int = 40) -> Iterator[tuple[int, np.ndarray]]:
+    """A row and the rows that join it: each is compared with all rows that are in no chain yet, so no similar pair is left.
+
+    ``size`` is the whole number of shingles: sets that differ too much in it cannot be similar.
+    """
     none = np.iinfo(np.uint32).max
     values, ids = np.unique(low, return_inverse=True)
-    ids, sizes, seen = ids.reshape(low.shape), (low != none).sum(1), np.zeros(len(values), bool)
-    rest, queue = np.arange(len(low)), []
+    ids, kept = ids.reshape(low.shape).astype(np.int32), (low != none).sum(1)
+    if len(low) <= few:
+        yield from _together(low, ids, kept, size, similarity)
+        return
+    real, seen = values != none, np.zeros(len(values), np.uint8)
+    rest, queue = np.argsort(size, kind="stable"), []
+    ranked, held = size[rest], ids[rest]
     while len(rest):
         if not queue:
-            queue, rest = [rest[0]], rest[1:]
+            queue, rest, ranked, held = [rest[0]], rest[1:], ranked[1:], held[1:]
         i = queue.pop()
-        seen[ids[i]] = values[ids[i]] != none
-        both = seen[ids[rest]].sum(1)
-        seen[ids[i]] = False
-        # shared values bound the similarity from above
-        j = np.flatnonzero(both >= similarity * np.minimum(sizes[i] + sizes[rest] - both, SKETCH))
+        first, last = np.searchsorted(ranked, similarity * size[i]), np.searchsorted(ranked, size[i] / similarity, "right")
+        if first == last:
+            continue
+        seen[ids[i]] = real[ids[i]]
+        both = seen.take(held[first:last]).sum(1, dtype=np.uint8).astype(np.int64)  # at most SKETCH
+        seen[ids[i]] = 0
+        j = np.flatnonzero(_may_be(both, kept[i], kept[rest[first:last]], similarity))
         if len(j):
-            j = j[jaccard(np.broadcast_to(low[i], (len(j), SKETCH)), low[rest[j]]) >= similarity]
-            queue.extend(rest[j])
-            yield i, rest[j]
-            rest = np.delete(rest, j)
+            near = rest[first + j]
+            fits = jaccard(np.broadcast_to(low[i], (len(j), SKETCH)), low[near]) >= similarity
+            if fits.any():
+                queue.extend(near[fits])
+                yield i, near[fits]
+                left = np.ones(len(rest), bool)
+                left[first + j[fits]] = False
+                rest, ranked, held = rest[left], ranked[left], held[left]
 
 
 def _links(similarity: float) -> Callable:
-    def work(held: list[tuple[list, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        nodes, low = sum((h[0] for h in held), []), np.concatenate([h[1] for h in held])
-        found = [(nodes[i], nodes[j]) for i, more in _chains(low, similarity) for j in more]
+    def work(held: list[tuple[list, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        nodes, low, size = sum((h[0] for h in held), []), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+        found = [(nodes[i], nodes[j]) for i, more in _chains(low, size, similarity) for j in more]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=["a", "b"])
 
@@ -255,13 +337,13 @@ def _links(similarity: float) -> Callable:
             if not batch.num_rows:
                 continue
             band, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            nodes, low = batch.column(2).to_pylist(), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, SKETCH)
+            nodes, low, size = batch.column(2).to_pylist(), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, SKETCH), batch.column(4).to_numpy()
             cuts = [0, *(np.flatnonzero((band[1:] != band[:-1]) | (cell[1:] != cell[:-1])) + 1), len(band)]
             for a, b in zip(cuts, cuts[1:]):
                 if last != (band[a], cell[a]):
                     yield from work(held) if held else ()
                     held, last = [], (band[a], cell[a])
-                held.append((nodes[a:b], low[a:b]))
+                held.append((nodes[a:b], low[a:b], size[a:b]))
         if held:
             yield from work(held)
 
@@ -274,12 +356,12 @@ def clusters(profile: DataFrame, similarity: float = SIMILAR, cap: int = CAP) ->
     Texts of one masked sequence are one node.  A band of more than ``cap`` nodes is dealt out as pairs of blocks.
     """
     big = profile.filter(F.col("n_tokens") >= MIN_TOKENS)
-    classes = materialize(big.groupBy("order").agg(F.min("text").alias("node"), F.first("bands").alias("bands"), F.first("low").alias("low")), "classes")
+    classes = materialize(big.groupBy("order").agg(F.min("text").alias("node"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("size").alias("size")), "classes")
     bands = classes.select("node", F.explode("bands").alias("band"))
     held = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.when(F.col("n") > cap, F.ceil(2 * F.col("n") / cap)).otherwise(1).cast("int").alias("m"))
     rows = bands.join(held, "band").withColumn("block", F.pmod(F.xxhash64("node"), "m").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).filter("m = 1 or j != block")
-    rows = rows.select("node", "band", (F.least("block", "j") * F.col("m") + F.greatest("block", "j")).alias("cell")).join(classes.select("node", "low"), "node")
-    close = rows.select("band", "cell", "node", "low").repartition("band", "cell").sortWithinPartitions("band", "cell", "node").mapInArrow(_links(similarity), "a string, b string")
+    rows = rows.select("node", "band", (F.least("block", "j") * F.col("m") + F.greatest("block", "j")).alias("cell")).join(classes.select("node", "low", "size"), "node")
+    close = rows.select("band", "cell", "node", "low", "size").repartition("band", "cell").sortWithinPartitions("band", "cell", "node").mapInArrow(_links(similarity), "a string, b string")
     joined = components(close, "clusters")
     nodes = classes.select("order", "node").join(joined, "node", "left").select("order", F.coalesce("cluster", "node").alias("cluster"))
     return big.select("text", "order").distinct().join(nodes, "order").select("text", "cluster")
@@ -303,7 +385,7 @@ def not_handwritten(files: DataFrame, texts: DataFrame, group=clusters) -> DataF
     )
     yes = lambda c: F.coalesce(c, F.lit(False))
     profile = materialize(profiles(texts), "profiles")
-    seen = paths.join(profile.drop("bands", "low"), "file_id", "full").join(group(profile), "text", "left")
+    seen = paths.join(profile.drop("bands", "low", "size"), "file_id", "full").join(group(profile), "text", "left")
     seen = seen.select(
         "file_id", "folder", "order", "n_tokens", "n_lines", "run", "literal", "dense", F.when(F.col("n_lines") > 0, F.col("text")).alias("text"), F.coalesce("cluster", "text").alias("cluster"),
         yes(F.col("p_min")).alias("p_min"), (yes(F.col("p_gen")) | yes(F.col("notice") == "generated")).alias("says_gen"), (yes(F.col("p_ven")) | yes(F.col("notice") == "vendored")).alias("says_ven"),
