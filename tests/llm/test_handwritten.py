@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from trellis.llm.handwritten import SKETCH, closing, clusters, components, core, jaccard, layout, literal_share, masked, not_handwritten, sketch
+from trellis.llm.handwritten import SKETCH, _chains, closing, clusters, components, core, jaccard, layout, literal_share, masked, not_handwritten, sketch
 
 R = random.Random(2)
 
@@ -154,3 +154,20 @@ def test_the_clusters_decide(spark):
     one = lambda profile: profile.select("text").distinct().withColumn("cluster", F.lit("c"))
     got = {r.file_id for r in not_handwritten(spark.createDataFrame(files + [(30, "apps/c/t.py")], f.schema), spark.createDataFrame(texts + [(30, "X = [\n" + "  1, 2, 3,\n" * 40 + "]\n")], t.schema), group=one).collect()}
     assert 30 not in got
+
+
+def test_ways_of_counting_agree():
+    r, rows = np.random.default_rng(3), []
+    base = r.integers(0, 1 << 31, (5, 400)).astype(np.uint32)
+    for i in range(60):
+        one = base[i % 5].copy()
+        one[r.integers(0, 400, r.integers(0, 60))] = r.integers(0, 1 << 31, 1)
+        rows.append((np.unique(one)[:SKETCH], len(np.unique(one))))
+    low, size = np.stack([x for x, _ in rows]), np.array([n for _, n in rows])
+    parts = []
+    for dense in (0, 1 << 40):
+        head = np.arange(60)
+        for i, near in _chains(low, size, 0.8, dense):
+            head[np.isin(head, head[near])] = head[i]
+        parts.append({frozenset(np.flatnonzero(head == h).tolist()) for h in head})
+    assert parts[0] == parts[1] and len(parts[0]) >= 5

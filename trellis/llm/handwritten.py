@@ -261,43 +261,47 @@ def _may_be(both: np.ndarray, kept: np.ndarray, other: np.ndarray, similarity: f
     return both >= similarity * np.minimum(kept + other - both, SKETCH)
 
 
-def _together(low: np.ndarray, ids: np.ndarray, kept: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
-    """``_chains`` for a few rows, all pairs of them at once."""
-    n = len(low)
-    holds = np.zeros((n, ids.max() + 1), "f4")
-    holds[np.repeat(np.arange(n), SKETCH), ids.ravel()] = (low != np.iinfo(np.uint32).max).ravel()
-    a, b = np.triu_indices(n, 1)
-    both = (holds @ holds.T)[a, b]
-    fits = _may_be(both, kept[a], kept[b], similarity) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
-    a, b = a[fits], b[fits]
-    if not len(a):
-        return
-    fits = jaccard(low[a], low[b]) >= similarity
-    head = list(range(n))
+def _together(low: np.ndarray, both: np.ndarray, kept: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """``_chains`` where the shared values of all pairs are known."""
+    fits = _may_be(both, kept[:, None], kept[None], similarity) & (np.minimum(size[:, None], size[None]) >= similarity * np.maximum(size[:, None], size[None]))
+    np.fill_diagonal(fits, False)
+    alone = np.ones(len(low), bool)
+    for start in np.flatnonzero(fits.any(1)):
+        if not alone[start]:
+            continue
+        alone[start] = False
+        queue = [start]
+        while queue:
+            i = queue.pop()
+            near = np.flatnonzero(fits[i] & alone)
+            if len(near):
+                near = near[jaccard(np.broadcast_to(low[i], (len(near), SKETCH)), low[near]) >= similarity]
+                if len(near):
+                    alone[near] = False
+                    queue.extend(near)
+                    yield i, near
 
-    def top(x: int) -> int:
-        while head[x] != x:
-            head[x] = x = head[head[x]]
-        return x
 
-    for x, y in zip(a[fits].tolist(), b[fits].tolist()):
-        x, y = top(x), top(y)
-        head[max(x, y)] = min(x, y)
-    own = np.array([top(x) for x in range(n)])
-    for x in np.unique(own[own != np.arange(n)]):
-        yield int(x), np.flatnonzero((own == x) & (np.arange(n) != x))
+#: Rows times shared values up to which the pairs of a cell are counted by one product of matrices.
+DENSE = 1_000_000
 
 
-def _chains(low: np.ndarray, size: np.ndarray, similarity: float, few: int = 40) -> Iterator[tuple[int, np.ndarray]]:
+def _chains(low: np.ndarray, size: np.ndarray, similarity: float, dense: int = DENSE) -> Iterator[tuple[int, np.ndarray]]:
     """A row and the rows that join it: each is compared with all rows that are in no chain yet, so no similar pair is left.
 
     ``size`` is the whole number of shingles: sets that differ too much in it cannot be similar.
     """
     none = np.iinfo(np.uint32).max
-    values, ids = np.unique(low, return_inverse=True)
+    values, ids, times = np.unique(low, return_inverse=True, return_counts=True)
     ids, kept = ids.reshape(low.shape).astype(np.int32), (low != none).sum(1)
-    if len(low) <= few:
-        yield from _together(low, ids, kept, size, similarity)
+    shared = np.flatnonzero((times > 1) & (values != none))
+    if len(low) * len(shared) <= dense:
+        at = np.zeros(len(values), np.int32)
+        at[shared] = np.arange(1, len(shared) + 1)
+        holds = np.zeros((len(low), len(shared) + 1), "f4")
+        holds[np.repeat(np.arange(len(low)), SKETCH), at[ids.ravel()]] = 1
+        holds = holds[:, 1:]
+        yield from _together(low, holds @ holds.T, kept, size, similarity)
         return
     real, seen = values != none, np.zeros(len(values), np.uint8)
     rest, queue = np.argsort(size, kind="stable"), []
