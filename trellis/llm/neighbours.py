@@ -340,11 +340,13 @@ def similar_vectors(
     # copies: one vector for each class, and its k + 1 smallest ids (a limit that the plan applies before the shuffle)
     vector = base.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.max("asks").alias("asks"))
     few = base.select("h1", "h2", "id").distinct().withColumn("_n", F.row_number().over(W.partitionBy("h1", "h2").orderBy("id"))).filter(F.col("_n") <= k + 1)
-    classes = materialize(vector.join(few.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids")), ["h1", "h2"]), "classes")
+    # dealt by (h1, h2) from here on, for the hashing as for both sides of the reranking
+    classes = vector.join(few.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids")), ["h1", "h2"])
     if exhaustive:
+        classes = materialize(classes, "classes")
         near = _every(classes, dim, k, block).filter(F.col("cosine") >= min_cosine)
     else:
-        chosen = settings(classes.count(), min_cosine) | {name: x for name, x in (("tables", tables), ("hashes", hashes), ("probes", probes), ("probe_gap", probe_gap)) if x is not None}
+        chosen = settings(lambda: base.select("h1", "h2").distinct().count(), min_cosine) | {name: x for name, x in (("tables", tables), ("hashes", hashes), ("probes", probes), ("probe_gap", probe_gap)) if x is not None}
         near = _hashed(classes, dim, k, min_cosine, **chosen, cap=cap, seed=seed, queries=queries)
     near = near.withColumn("_n", F.rank().over(W.partitionBy("h1", "h2").orderBy(F.desc("cosine")))).filter(F.col("_n") <= k).drop("_n")
     itself = classes.filter(F.size("ids") > 1).select("h1", "h2", "ids", F.lit(1.0).alias("cosine"))
@@ -354,14 +356,15 @@ def similar_vectors(
     return rows.withColumn("rank", F.rank().over(W.partitionBy("id").orderBy(F.desc("cosine")))).filter(F.col("rank") <= k)
 
 
-def settings(n: int, least: float = -1.0) -> dict:
-    """Tables, hashes and probes for ``n`` different vectors and neighbours of at least the cosine ``least``.
+def settings(n: int | Callable[[], int], least: float = -1.0) -> dict:
+    """Tables, hashes and probes for ``n`` different vectors (counted if need be) and neighbours of at least the cosine ``least``.
 
     Near neighbours share several hashes, so three of them keep groups small.  Where neighbours may be at any cosine, one
     hash serves as long as its groups of about n / 40 can be compared; beyond a million, two with more probes.
     """
     if least >= 0.85:
         return {"tables": 8, "hashes": 3, "probes": 1, "probe_gap": 0.02}
+    n = n() if callable(n) else n
     return {"tables": 8, "hashes": 1, "probes": 1, "probe_gap": 9.0} if n <= 1 << 20 else {"tables": 12, "hashes": 2, "probes": 7, "probe_gap": 9.0}
 
 
