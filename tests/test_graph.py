@@ -29,6 +29,39 @@ def test_graph(spark):
     assert g.impact(empty_e, empty_s, ["a.ts"], 2).count() == 0 and g.outline(empty_s).count() == 0 and g.stats(empty_s, empty_s, empty_e).first().n_edges == 0
 
 
+def test_nesting_against_pairs(spark):
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for i in range(400):
+        a = r.randrange(1, 60)
+        rows.append((i, f"n{i}", r.choice(["Class", "Function", "Module", "Type"]), r.choice(["a", "b", "c", None]), a, a + r.randrange(0, 25)))
+    rows += [(1000, "z", "Class", "a", None, 4)]
+    s = _symbols(spark, rows)
+    places = sorted((x for x in rows if x[4] is not None), key=lambda x: (x[4], -x[5], x[0]))
+    parent, chain = {}, {}
+    for k, x in enumerate(places):
+        before = [p for p in places[:k] if p[3] == x[3] and x[3] is not None and p[5] >= x[5]]
+        parent[x[0]] = before[-1][0] if before else None
+        around = sorted((p[4], p[0], p[1]) for p in places if p[3] == x[3] and x[3] is not None and p[2] in ("Class", "Module") and p[4] < x[4] and p[5] > x[5])
+        chain[x[0]] = [n for _, _, n in around]
+    got = {x.id: x for x in g.nesting(s).collect()}
+    assert {i: x.parent_id for i, x in got.items()} == parent and {i: x.chain for i, x in got.items()} == chain
+    for f in ("a", "b", "c", None):
+        assert sorted(got[x[0]].ord for x in places if x[3] == f) == list(range(1, 1 + sum(x[3] == f for x in places)))
+
+
+def test_links_and_changed_files(spark):
+    links = spark.createDataFrame([("a", "b", "calls", 1), ("b", "c", "uses", 2), ("c", "a", "uses", 3)], "from_project string, to_project string, type string, n int")
+    new = spark.createDataFrame([("a", "b", "calls", 9), ("a", "b", "calls", 9), ("x", "y", "calls", 8)], links.schema)
+    assert sorted(map(tuple, g.add_links(links, new).collect())) == [("a", "b", "calls", 9), ("b", "c", "uses", 2), ("c", "a", "uses", 3), ("x", "y", "calls", 8)]
+    assert sorted(x.n for x in g.delete_links(links, spark.createDataFrame([("a", "c")], "from_project string, to_project string")).collect()) == [1, 2]
+    s, e = _symbols(spark, ROWS), g.clean_edges(spark.createDataFrame(EDGES, EDGE))
+    assert {x.file for x in g.diff_impact(e, s, ["a.ts", "b.ts"], keep_changed=True).collect()} == {"a.ts", "b.ts", "c.ts"}
+    assert {x.file for x in g.diff_impact(e, s, ["a.ts", "b.ts"]).collect()} == {"c.ts"}
+
+
 def test_incremental_build_keeps_callers(spark):
     old = _symbols(spark, [(1, "f", "Function", "a.py", 1, 2), (2, "f", "Function", "a.py", 5, 6), (3, "g", "Function", "a.py", 8, 9)])
     new = _symbols(spark, [(10, "f", "Function", "a.py", 3, 4), (11, "h", "Function", "a.py", 8, 9)])

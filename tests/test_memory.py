@@ -43,7 +43,7 @@ def _store(spark, rows):
 
 
 def test_terms_and_scores(spark):
-    assert m.query_terms("Yes, please: the fetchInBatches (see `a/b.ts`) fetchinbatches") == ["fetchinbatches", "see", "a/b.ts"]
+    assert list(m.query_terms("Yes, please: the fetchInBatches (see `a/b.ts`) fetchinbatches")) == ["fetchinbatches", "see", "a/b.ts"]
     df = _store(spark, [("1" * 8, "Sure, sure and sure again sure", [], "bug", "2024", False, False, False, 0, None), ("2" * 8, "nothing", ["src/Stub", None], "stub", "2025", False, False, False, 0, None), ("3" * 8, None, None, None, None, False, False, False, 0, None)])
     assert [(r.id[0], r.score) for r in m.search(df, "sure").collect()] == [("1", 1.3)]
     assert [(r.id[0], r.score) for r in m.search(df, "stub").collect()] == [("2", 3.5)]
@@ -70,3 +70,30 @@ def test_upkeep(spark):
     assert ids(m.new_entries(df.filter("id in ('b', 'd')"), df.filter("id in ('a', 'c')"))) == ["d"]
     assert ids(m.greedy_merge(df.limit(0))) == []
     assert [r.recall_count for r in m.record_recalls(df, df.select("id").filter(F.col("id") == "a")).orderBy("id").collect()] == [2, 4, 0, 9]
+
+
+NAMES = ["fetchInBatches", "FEATURE_GRADES", "scripts/check-items.ts", "config.embedding.mode", "web-app", "web-app:direct", "@scope/pkg", "ADR-0042", "JSON"]
+WORDS = ["tests", "Docker", "sure", "is", "x", "API", "est-ce", "peut-être", "follow-up", "built-in"]
+
+
+def test_names_and_terms():
+    assert all(map(m.looks_like_name, NAMES)) and not any(map(m.looks_like_name, WORDS))
+    assert m.words_of("(see `a/b.ts`), SOURCE={}.") == ["see", "a/b.ts", "SOURCE"]
+    assert list(m.query_terms("how should we do this for the retryPolicy")) == ["retrypolicy"]
+    assert m.query_terms("yes please") == m.query_terms("oui") == {} and len(set(m.STOPWORDS)) == 191
+    assert m.query_terms("Config, config.ts and CONFIG") == {"config": True, "config.ts": True}
+
+
+def test_term_scores(spark):
+    def score(content, term, name, tags=(), kind="decision"):
+        df = spark.createDataFrame([(content, list(tags), kind)], "content string, tags array<string>, type string")
+        return round(df.select(m.term_score(term, name).alias("s")).first().s, 6)
+
+    assert score("make sure it runs", "sure", False) == 1.1
+    assert score("call fetchInBatches for pages", "fetchinbatches", True) == 3.1
+    assert score("the checks are in check-items.ts now", "scripts/check-items.ts", True) == 2.0
+    assert score("a stubborn case", "stub", False) == 1.1
+    assert score("write a test", "a::run", True) == 0 and score("see the docs", "the:x", True) == 0
+    assert score("go to db", "db", False) == 1.1 and score("dbase", "db", False) == 0 and score("see the db.", "db", False) == 1.1
+    assert score(None, "bug", False, kind="bug") == 1.5 and score("x", "direct", False, ["Web-App:direct"]) == 2.0
+    assert score("run run run run", "run", False) == 1.3

@@ -32,12 +32,12 @@ def main():
 
 
 def test_walk_and_parse(spark, tmp_path):
-    _write(tmp_path, {"src/service.py": SERVICE, "src/log.py": "def info(x):\n    pass\n", "node_modules/x.js": "1", ".hidden/a.py": "1", "out/a.py": "1", "out/keep/b.py": "1", "a.tmp.py": "1", "sub/.gitignore": "/c.py\nd/\n", "sub/c.py": "1", "sub/x/c.py": "1", "sub/d/e.py": "1", ".gitignore": "*.tmp.py\nout/*\n!out/keep\n# no\n", "readme.txt": "x", "min.js": "x" * 6000})
+    _write(tmp_path, {"src/service.py": SERVICE, "src/log.py": "def info(x):\n    pass\n", "node_modules/x.js": "1", ".hidden/a.py": "1", "made/a.py": "1", "made/keep/b.py": "1", "a.tmp.py": "1", "sub/.gitignore": "/c.py\nd/\n", "sub/c.py": "1", "sub/x/c.py": "1", "sub/d/e.py": "1", ".gitignore": "*.tmp.py\nmade/*\n!made/keep\n# no\n", "readme.txt": "x", "min.js": "x" * 6000})
     os.symlink(tmp_path / "src/log.py", tmp_path / "link.py")
     os.symlink("/etc/passwd", tmp_path / "evil.py")
-    assert list_files(str(tmp_path)) == ["link.py", "min.js", "out/keep/b.py", "readme.txt", "src/log.py", "src/service.py", "sub/x/c.py"]
+    assert list_files(str(tmp_path)) == ["link.py", "made/keep/b.py", "min.js", "readme.txt", "src/log.py", "src/service.py", "sub/x/c.py"]
     files = read_project(spark, str(tmp_path)).cache()
-    assert {r.path for r in files.collect()} == {"link.py", "out/keep/b.py", "src/log.py", "src/service.py", "sub/x/c.py"}
+    assert {r.path for r in files.collect()} == {"link.py", "made/keep/b.py", "src/log.py", "src/service.py", "sub/x/c.py"}
     assert read_indexed(files, str(tmp_path), "src/log.py") == "def info(x):\n    pass\n"
     assert read_indexed(files, str(tmp_path), "../x.py") is None and read_indexed(files, str(tmp_path), "readme.txt") is None
     symbols, calls, imports = parse_files(files.filter("path = 'src/service.py'"))

@@ -32,3 +32,15 @@ def test_watch(spark, tmp_path):
     changes = spark.readStream.schema("path string").parquet(str(tmp_path / "changes"))
     watch(changes, built.append, str(tmp_path / "cp"), once=True).awaitTermination(120)
     assert built == [["a.py", "d/e.ts"]]
+
+
+def test_upkeep_runs_a_day_after_the_last_run(spark):
+    import datetime as dt
+
+    from trellis.operators.sessions import daily_runs
+
+    at = lambda *x: dt.datetime(2025, 1, *x)
+    times = [at(1, 23, 59), at(2, 0, 1), at(2, 23, 58, 59), at(3, 0, 10), at(4, 0, 5), at(4, 0, 10), None, at(9, 1)]
+    df = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
+    assert [dt.datetime.fromtimestamp(r["at"], dt.UTC).replace(tzinfo=None) for r in daily_runs(df).collect()] == [at(1, 23, 59), at(3, 0, 10), at(4, 0, 10), at(9, 1)]
+    assert daily_runs(df.limit(0)).count() == 0

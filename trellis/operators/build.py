@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 from trellis.operators.graph import CONTAINERS
 
 # ---- fixed values: languages by extension or file name, suffixes tried for relative imports, kinds of calls
-LANGUAGES = {
-    "typescript": "ts tsx", "javascript": "js jsx mjs cjs", "python": "py pyi", "go": "go", "rust": "rs", "java": "java", "ruby": "rb", "php": "php", "csharp": "cs", "kotlin": "kt kts", "scala": "scala sc",
-    "c": "c h", "cpp": "cc cpp cxx hpp hxx", "objc": "m mm", "swift": "swift", "dart": "dart", "perl": "pl pm", "r": "r R", "bash": "sh bash", "powershell": "ps1 psm1", "sql": "sql", "hcl": "tf hcl", "yaml": "yaml yml",
-    "toml": "toml", "graphql": "graphql gql", "html": "html htm", "dockerfile": "Dockerfile", "markdown": "md markdown mdx",
-}
+LANGUAGES = [
+    (".ts", "typescript"), (".tsx", "typescript"), (".js", "javascript"), (".jsx", "javascript"), (".mjs", "javascript"), (".py", "python"),
+    (".go", "go"), (".rs", "rust"), (".rb", "ruby"), (".tf", "hcl"), (".tfvars", "hcl"), (".yml", "yaml"),
+    (".yaml", "yaml"), (".md", "markdown"), (".c", "c"), (".h", "c"), (".m", "objc"), (".mm", "objc"),
+    (".java", "java"), (".php", "php"), (".swift", "swift"), (".sh", "bash"), (".bash", "bash"), (".zsh", "bash"),
+    (".pl", "perl"), (".pm", "perl"), (".html", "html"), (".htm", "html"), (".toml", "toml"), (".sql", "sql"),
+    ("Dockerfile", "dockerfile"), (".cpp", "cpp"), (".cc", "cpp"), (".cxx", "cpp"), (".hpp", "cpp"), (".hh", "cpp"),
+    (".cs", "csharp"), (".kt", "kotlin"), (".kts", "kotlin"), (".dart", "dart"), (".scala", "scala"), (".sc", "scala"),
+    (".r", "r"), (".R", "r"), (".graphql", "graphql"), (".gql", "graphql"), (".ps1", "powershell"), (".psm1", "powershell"),
+]
 IMPORT_SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.js")
 CALL_KINDS = {
     "listens": ("addEventListener", "on", "once", "addListener", "subscribe", "observe"),
@@ -27,11 +32,10 @@ CALL_KINDS = {
 
 
 def language_of(path: str) -> Column:
-    """Language by the extension, else by the whole file name; null where nobody knows it."""
-    pairs = [F.lit(x) for lang, ends in LANGUAGES.items() for end in ends.split() for x in (end, lang)]
-    table = F.create_map(*pairs)
+    """Language by the extension (a name that begins with its only dot has none), else by the whole file name; else null."""
+    table = F.create_map(*[F.lit(x) for pair in LANGUAGES for x in pair])
     base = F.element_at(F.split(path, "/"), -1)
-    ext = F.when(base.contains("."), F.element_at(F.split(base, r"\."), -1))
+    ext = F.when(F.locate(".", base, 2) > 0, F.concat(F.lit("."), F.element_at(F.split(base, r"\."), -1)))
     return F.coalesce(F.try_element_at(table, F.coalesce(ext, F.lit("\0"))), F.try_element_at(table, base))
 
 

@@ -6,8 +6,10 @@ results do not depend on the order of rows.  Traversals run one join a level ove
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -160,14 +162,45 @@ def mutual_files(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return pairs.join(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
 
 
+def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parent, order and enclosing containers of rows sorted by file, beginning, end (last first) and id, file by file."""
+    file, open_, around, n = None, [], [], 0
+    for batch in batches:
+        out: list[tuple] = []
+        for f, a, b, i, name, holds in zip(*(batch.column(c).to_pylist() for c in range(6))):
+            if f != file or f is None:
+                n = 0 if f != file else n
+                file, open_, around = f, [], []
+            n += 1
+            # what ends before this row ends cannot be the parent of a later one: this row would be nearer
+            while open_ and open_[-1][0] < b:
+                open_.pop()
+            around = [c for c in around if c[2] > a]
+            chain = sorted(c for c in around if c[0] < a and c[2] > b and c[1] != i)
+            out.append((i, open_[-1][1] if open_ else None, n, [c[3] for c in chain]))
+            open_.append((b, i))
+            if holds:
+                around.append((a, i, b, name))
+        columns = zip(*out) if out else ([], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())))], names=["id", "parent_id", "ord", "chain"])
+
+
+def nesting(symbols: DataFrame) -> DataFrame:
+    """``id, parent_id, ord, chain``: one sorted pass over the symbols of each file with a stack of what is open.
+
+    In the order (line_start, line_end descending, id) the parent is the last row before that ends no earlier; ``chain``
+    has the names of the containers that begin before and end behind it, outermost first.  Rows without lines are left out.
+    """
+    rows = symbols.filter("line_start is not null and line_end is not null").select("file", "line_start", "line_end", "id", "name", F.coalesce(F.col("kind").isin(*CONTAINERS), F.lit(False)).alias("holds"))
+    rows = rows.repartition("file").sortWithinPartitions("file", "line_start", F.desc("line_end"), "id")
+    return rows.mapInArrow(_nested, "id long, parent_id long, ord long, chain array<string>")
+
+
 def qualified_names(symbols: DataFrame) -> DataFrame:
     """``id, qualified``: containers that enclose the symbol, outermost first, joined by ``::``; ``#`` before a function."""
-    inner = symbols.select("id", "name", "kind", "file", "line_start", "line_end")
-    outer = symbols.filter(F.col("kind").isin(*CONTAINERS)).select(F.col("id").alias("p_id"), F.col("name").alias("p_name"), "file", F.col("line_start").alias("p_start"), F.col("line_end").alias("p_end"))
-    around = inner.join(outer, "file").filter("p_start < line_start and p_end > line_end and p_id != id")
-    chain = around.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_start", "p_id", "p_name"))), lambda x: x["p_name"]), "::").alias("_chain"))
+    rows = symbols.select("id", "name", "kind").join(nesting(symbols).select("id", F.array_join("chain", "::").alias("_chain")), "id", "left")
     sep = F.when(F.col("kind").isin(*FUNCTIONS), "#").otherwise("::")
-    return inner.join(chain, "id", "left").select("id", F.when(F.col("_chain").isNull(), F.col("name")).otherwise(F.concat("_chain", sep, "name")).alias("qualified"))
+    return rows.select("id", F.when(F.coalesce("_chain", F.lit("")) == "", F.col("name")).otherwise(F.concat("_chain", sep, "name")).alias("qualified"))
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -253,17 +286,19 @@ def induced_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- traversal
 
 
-def reach(links: DataFrame, seeds: DataFrame, depth: int, keys: list[str]) -> DataFrame:
-    """``keys, depth`` of what lies within ``depth`` steps of ``seeds (keys)``, seeds (depth 0) included.
+def reach(links: DataFrame, seeds: DataFrame, depth: int, keys: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, carry, depth`` of what lies within ``depth`` steps of ``seeds (keys, carry)``, seeds (depth 0) included.
 
-    ``links`` has the columns ``a_<key>`` (reached from) and ``b_<key>`` (next).
+    ``links`` has the columns ``a_<key>`` (reached from) and ``b_<key>`` (next).  Seeds of different ``carry`` go their
+    ways side by side.
     """
-    levels = [materialize(seeds.select(*keys).distinct().withColumn("depth", F.lit(0)), "level")]
+    own = [*keys, *carry]
+    levels = [materialize(seeds.select(*own).distinct().withColumn("depth", F.lit(0)), "level")]
     links = materialize(links.select(*[f"a_{k}" for k in keys], *[f"b_{k}" for k in keys]).distinct(), "links")
     for n in range(1, depth + 1):
-        seen = reduce(DataFrame.unionByName, [x.select(*keys) for x in levels])
-        step = links.join(levels[-1].select(*[F.col(k).alias(f"a_{k}") for k in keys]), [f"a_{k}" for k in keys]).select(*[F.col(f"b_{k}").alias(k) for k in keys]).distinct()
-        new = materialize(step.join(seen, keys, "left_anti").withColumn("depth", F.lit(n)), "level")
+        seen = reduce(DataFrame.unionByName, [x.select(*own) for x in levels])
+        step = links.join(levels[-1].select(*[F.col(k).alias(f"a_{k}") for k in keys], *carry), [f"a_{k}" for k in keys]).select(*[F.col(f"b_{k}").alias(k) for k in keys], *carry).distinct()
+        new = materialize(step.join(seen, own, "left_anti").withColumn("depth", F.lit(n)), "level")
         if new.isEmpty():
             break
         levels.append(new)
@@ -281,8 +316,9 @@ def diff_impact(edges: DataFrame, symbols: DataFrame, changed: list[str], depth:
     """Union of the impacts of changed files, without them or (``keep_changed``) with those that another one reaches."""
     if not keep_changed:
         return impact(edges, symbols, changed, depth).select("file").distinct()
-    parts = [impact(edges, symbols, [f], depth).select("file") for f in changed]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    links = file_edges(edges, symbols).select(F.col("dst").alias("a_file"), F.col("src").alias("b_file"))
+    seeds = links.sparkSession.createDataFrame([(f, f) for f in changed], "file string, seed string")
+    return reach(links, seeds, depth, ["file"], ("seed",)).filter("depth > 0").select("file").distinct()
 
 
 def function_impact(edges: DataFrame, symbols: DataFrame, name: str, depth: int = 3) -> DataFrame:
@@ -296,7 +332,7 @@ def who_calls_chain(edges: DataFrame, symbols: DataFrame, name: str, depth: int
     """``name, file, depth`` of transitive callers by (name, file); the first ``cap`` in the order (depth, file, name)."""
     at = lambda end, p: symbols.select(F.col("id").alias(end), F.col("name").alias(f"{p}_name"), F.col("file").alias(f"{p}_file"))
     links = edges.select("from_id", "to_id").distinct().join(at("to_id", "a"), "to_id").join(at("from_id", "b"), "from_id")
-    found = reach(links, symbols.filter(F.col("name") == name).select("name", "file"), depth, ["name", "file"])
+    found = reach(links, find_symbol(symbols, name).select("name", "file"), depth, ["name", "file"])
     return found.filter("depth > 0").orderBy("depth", "file", "name").limit(cap)
 
 
@@ -319,15 +355,8 @@ def file_subgraph(edges: DataFrame, symbols: DataFrame, file: str) -> DataFrame:
 
 
 def outline(symbols: DataFrame) -> DataFrame:
-    """``id, parent_id, ord``: nesting of each file's symbols by line ranges.
-
-    In the order (line_start, line_end descending, id) the parent is the last row before that ends no earlier.
-    """
-    rows = symbols.select("id", "file", "line_start", "line_end").filter("line_start is not null and line_end is not null")
-    rows = rows.withColumn("ord", F.row_number().over(W.partitionBy("file").orderBy("line_start", F.desc("line_end"), "id")))
-    before = rows.select("file", F.col("id").alias("p_id"), F.col("ord").alias("p_ord"), F.col("line_end").alias("p_end"))
-    parent = rows.join(before, "file").filter("p_ord < ord and p_end >= line_end").groupBy("id").agg(F.max_by("p_id", "p_ord").alias("parent_id"))
-    return rows.join(parent, "id", "left").select("id", "parent_id", F.col("ord").cast("long").alias("ord"))
+    """``id, parent_id, ord``: nesting of each file's symbols by line ranges (see ``nesting``)."""
+    return nesting(symbols).select("id", "parent_id", "ord")
 
 
 def shared_symbols(symbols: DataFrame) -> DataFrame:
@@ -351,3 +380,23 @@ def infer_links(symbols: DataFrame, existing: DataFrame) -> DataFrame:
 def project_links(links: DataFrame, project: str) -> DataFrame:
     out = F.when(F.col("from_project") == project, "out").otherwise("in")
     return links.filter((F.col("from_project") == project) | (F.col("to_project") == project)).withColumn("direction", out)
+
+
+def add_links(links: DataFrame, new: DataFrame) -> DataFrame:
+    """``links`` (one for each pair of projects and type) with ``new`` ones in place of those of the same key."""
+    key = ["from_project", "to_project", "type"]
+    return links.join(new.select(*key).distinct(), key, "left_anti").select(*links.columns).unionByName(new.dropDuplicates(key).select(*links.columns))
+
+
+def delete_links(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``links`` without those between the pairs (``from_project, to_project``), in either direction."""
+    both = pairs.select("from_project", "to_project").unionByName(pairs.select(F.col("to_project").alias("from_project"), F.col("from_project").alias("to_project"))).distinct()
+    return links.join(both, ["from_project", "to_project"], "left_anti")
+
+
+def cross_query(symbols: DataFrame, name: str, limit: int = 20) -> DataFrame:
+    """``project, id, name, kind, file, line_start, n``: the first symbols of that name in each project, and how many it has."""
+    hits = find_symbol(symbols, name)
+    counts = hits.groupBy("project").agg(F.count(F.lit(1)).alias("n"))
+    first = hits.withColumn("_n", F.row_number().over(W.partitionBy("project").orderBy("file", "line_start", "id"))).filter(F.col("_n") <= limit)
+    return first.join(counts, "project").select("project", "id", "name", "kind", "file", "line_start", "n")

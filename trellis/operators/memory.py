@@ -13,20 +13,50 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trellis.functions.text import jaccard, word_set
+from trellis.operators.order import numbered
 from trellis.session import materialize
 
 #: Days that a fact of a type lives; types that are not here live on.
 TTL_DAYS = {"bug": 90, "context": 30, "session": 7}
-STOPWORDS = frozenset("the a an and or of to in on for with is are was be it this that le la les un une des et ou de du en au aux est yes no oui non please".split())
-
-
-def query_terms(query: str) -> list[str]:
-    """Different words of two or more letters that are no stopwords, in their order, in lower case."""
-    out = []
-    for raw in re.split(r"[^\w\-./:@$]+", query.lower()):
-        word = raw.strip(".:-/@$")
-        if len(word) >= 2 and word not in STOPWORDS and not all(p in STOPWORDS for p in word.split("-")) and word not in out:
-            out.append(word)
+# ---- fixed values: words that carry no meaning in a query, English then French
+STOPWORDS = (
+    "a about after again all also am an and any are as at be because been before both but by can could did do does doing done each else for from got had has have he her here "
+    "him his how i if in into is it its just let lets like may me might more most much must my no not now of ok on one only or other our out over please pls same she should so "
+    "some still such than that the their them then there these they this those to too u ur up us very was way we were what when where which while who why will with would yes "
+    "you your au aussi avec avoir bien ca ça ce comme dans de deja déjà des dois doit du elle en encore est et être fais faire fait ici il ils jamais je la le les leur ma mais "
+    "maintenant mes moi mon ne non nous ont ou où oui par pas peu peut peux plus pour qu qui que rien sa se ses si son sont sur toujours tout trop tu un une veux vous"
+).split()
+_STOP = frozenset(STOPWORDS)
+#: Signs that may be part of a name, and those of them that are cut off its ends.
+PARTS, ENDS = r"_\-./:@$", ".:-/@$"
+
+
+def is_stopword(word: str) -> bool:
+    return word in _STOP or ("-" in word and all(not p or p in _STOP for p in word.split("-")))
+
+
+def looks_like_name(raw: str) -> bool:
+    """Written like the name of a thing: a path, snake_case, camelCase, CAPITALS, a dotted, scoped or hyphenated name."""
+    if sum(c.isalpha() for c in raw) < 2:
+        return False
+    lower, upper = any(c.islower() for c in raw), any(c.isupper() for c in raw)
+    if any(c in raw for c in "_/.:") or (lower and any(c.isupper() for c in raw[1:])) or (upper and not lower and len(raw.encode()) >= 4):
+        return True
+    return "-" in raw and all(p and not is_stopword(p.lower()) for p in raw.split("-"))
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of characters that can be part of names and paths."""
+    return [w for raw in re.split(rf"[^\w{PARTS}]+", text) if (w := raw.strip(ENDS))]
+
+
+def query_terms(query: str) -> dict[str, bool]:
+    """Different words of two or more letters that are no stopwords, in lower case and their order; whether they are names."""
+    out: dict[str, bool] = {}
+    for raw in words_of(query):
+        word = raw.lower()
+        if len(word) >= 2 and not is_stopword(word):
+            out[word] = out.get(word, False) or looks_like_name(raw)
     return out
 
 
@@ -41,13 +71,29 @@ def same_thing(a: Column, b: str) -> Column:
     return (a == lit) | ends(a, lit) | ends(lit, a) | a.startswith(F.concat(lit, F.lit(":"))) | lit.startswith(F.concat(a, F.lit(":")))
 
 
-def term_score(term: str) -> Column:
-    """Occurrences in the content, a tag of that name and the type of that name."""
+def _words(text: Column) -> Column:
+    cut = lambda w: F.regexp_replace(w, r"^[.:\-/@$]+|[.:\-/@$]+$", "")
+    return F.filter(F.transform(F.split(text, rf"[^\p{{L}}\p{{N}}{PARTS}]+"), cut), lambda w: w != "")
+
+
+def _stopword(word: Column) -> Column:
+    listed = lambda w: w.isin(*STOPWORDS)
+    return listed(word) | (word.contains("-") & F.forall(F.split(word, "-"), lambda p: (p == "") | listed(p)))
+
+
+def term_score(term: str, name: bool = False) -> Column:
+    """Points of a term: occurrences in the content (whole words where it is short), what it names, and the type of that name.
+
+    It names a tag, or, if it is written like a name, a word of the text: that word or one of three letters or more that
+    means the same thing and is no stopword.
+    """
     text = F.lower("content")
-    words = F.filter(F.split(text, r"[^\p{L}\p{N}_\-./:@$]+"), lambda x: x != "")
-    hits = _occurrences(text, term) if len(term) >= 3 else F.size(F.filter(words, lambda w: w == term))
+    hits = _occurrences(text, term) if len(term) >= 3 else F.size(F.filter(_words(text), lambda w: w == term))
     score = F.when(hits > 0, 1 + 0.1 * F.least(hits, F.lit(3))).otherwise(0.0)
-    score = score + F.when(F.exists(F.coalesce("tags", F.array().cast("array<string>")), lambda t: same_thing(F.lower(t), term)), 2.0).otherwise(0.0)
+    names = F.exists(F.coalesce("tags", F.array().cast("array<string>")), lambda t: same_thing(F.lower(t), term))
+    if name:
+        names = names | F.coalesce(F.exists(_words(text), lambda w: (w == term) | ((F.length(w) >= 3) & same_thing(w, term) & ~_stopword(w))), F.lit(False))
+    score = score + F.when(names, 2.0).otherwise(0.0)
     return F.coalesce(score + F.when(F.lower("type") == term, 1.5).otherwise(0.0), F.lit(0.0))
 
 
@@ -58,7 +104,7 @@ def search(entries: DataFrame, query: str, limit: int = 20) -> DataFrame:
     terms = query_terms(query)
     if not terms:
         return entries.withColumn("score", F.lit(0.0)).filter(F.lit(False))
-    parts = [term_score(t) for t in terms]
+    parts = [term_score(t, name) for t, name in terms.items()]
     matched = reduce(lambda a, b: a + b, [(p > 0).cast("int") for p in parts])
     rows = entries.withColumn("score", F.round(reduce(lambda a, b: a + b, parts), 6)).filter(matched >= (2 if len(terms) >= 3 else 1))
     return rows.orderBy(F.desc("score"), F.desc("created"), "id").limit(limit)
@@ -71,7 +117,7 @@ def listed(entries: DataFrame, project: str) -> DataFrame:
 def priorities(entries: DataFrame) -> DataFrame:
     """``ord``: pinned ones first, newest first, then promoted ones by recalls."""
     order = [F.col("promoted").cast("int"), F.desc(F.when(F.col("promoted"), F.col("recall_count")).otherwise(0)), F.desc("created"), "id"]
-    return entries.filter("priority").withColumn("ord", F.row_number().over(W.orderBy(*order)))
+    return numbered(entries.filter("priority"), order, "ord").withColumn("ord", (F.col("ord") + 1).cast("int"))
 
 
 def by_prefix(entries: DataFrame, prefix: str) -> DataFrame:
@@ -79,7 +125,8 @@ def by_prefix(entries: DataFrame, prefix: str) -> DataFrame:
     if len(prefix) < 8:
         raise ValueError("a prefix needs 8 characters")
     hit = entries.filter(F.col("id").startswith(prefix))
-    return hit.withColumn("_best", F.max((F.col("id") == prefix).cast("int")).over(W.partitionBy())).filter((F.col("_best") == 0) | (F.col("id") == prefix)).drop("_best")
+    best = hit.agg(F.coalesce(F.max(F.col("id") == prefix), F.lit(False)).alias("_exact"))  # one row
+    return hit.crossJoin(F.broadcast(best)).filter(~F.col("_exact") | (F.col("id") == prefix)).drop("_exact")
 
 
 def record_recalls(entries: DataFrame, recalled: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def search_symbols(symbols: DataFrame, query: str, limit: int = 20, kind: str |
     """Best rows by (score, id); the kind is filtered before the limit, statistics are of the whole table."""
     found = bm25(symbols, query)
     if kind is not None:
-        found = found.filter(F.col("kind") == kind)
+        found = found.filter(F.lower("kind") == kind.lower())
     return found.orderBy("score", "id").limit(limit)
 
 
@@ -118,22 +118,26 @@ def ranked(rows: DataFrame, order: list, limit: int) -> DataFrame:
 def hybrid(symbols: DataFrame, vectors: DataFrame, text: str, query: DataFrame, limit: int = 20, penalty: bool = True) -> DataFrame:
     """``name, file, line_start, score``: fused text and vector hits, halved for test files where ``penalty``.
 
-    A vector hit belongs to the best text hit with its (file, name), else to the first symbol of that (file, name).
+    A vector hit belongs to the best text hit with its (file, name), else to the first symbol of that (file, name), else it
+    stands at line 0.
     """
     # both lists are short and used more than once
     words = materialize(ranked(bm25(symbols, text).select("id", "name", "file", "line_start", "score"), ["score", "id"], 3 * limit), "words")
     near = materialize(nearest(vectors, query, 3 * limit), "near").select(F.col("symbol_name").alias("name"), "file", "rank").groupBy("name", "file").agg(F.min("rank").alias("rank"))
     first_hit = words.groupBy("name", "file").agg(F.min_by("line_start", "rank").alias("_hit"))
     first_symbol = symbols.join(F.broadcast(near.select("name", "file")), ["name", "file"], "left_semi").groupBy("name", "file").agg(F.min_by("line_start", "id").alias("_symbol"))
-    placed = near.join(first_hit, ["name", "file"], "left").join(first_symbol, ["name", "file"], "left").withColumn("line_start", F.coalesce("_hit", "_symbol"))
-    fused = fuse([words, placed.filter("line_start is not null")], ["name", "file", "line_start"])
+    placed = near.join(first_hit, ["name", "file"], "left").join(first_symbol, ["name", "file"], "left").withColumn("line_start", F.coalesce("_hit", "_symbol", F.lit(0).cast("long")))
+    fused = fuse([words, placed], ["name", "file", "line_start"])
     if penalty:
         fused = fused.withColumn("score", F.when(is_test_path("file"), F.col("score") * 0.5).otherwise(F.col("score")))
     return fused.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "file", "line_start", "name").limit(limit)
 
 
-def boost(hits: DataFrame, edges: DataFrame, symbols: DataFrame, limit: int = 20) -> DataFrame:
-    """Adds to hits, or appends, their first three callers (0.3 of the score) and callees of confidence 0.5 (0.15)."""
+def boost(hits: DataFrame, edges: DataFrame, symbols: DataFrame, limit: int = 20, doc_files: DataFrame | None = None) -> DataFrame:
+    """Adds to hits, or appends, their first three callers (0.3 of the score) and callees of confidence 0.5 (0.15).
+
+    Those in ``doc_files (file)`` are added to hits, but not appended.
+    """
     hits = materialize(hits, "hits")
     seeds = F.broadcast(hits.select("name", "score").groupBy("name").agg(F.sum("score").alias("_s")))
     own = symbols.select("id", "name").join(seeds, "name")
@@ -145,5 +149,9 @@ def boost(hits: DataFrame, edges: DataFrame, symbols: DataFrame, limit: int = 20
         return near.join(symbols.select("id", "name", "file", "line_start"), "id").select("name", "file", "line_start", (F.col("_s") * part).alias("score"))
 
     extra = side("to_id", "from_id", 0.3, edges).unionByName(side("from_id", "to_id", 0.15, edges.filter("confidence >= 0.5")))
+    if doc_files is not None:
+        place = ["name", "file", "line_start"]
+        kept = extra.join(doc_files.select("file").distinct(), "file", "left_anti")
+        extra = kept.select(*extra.columns).unionByName(extra.join(doc_files.select("file").distinct(), "file", "left_semi").join(hits.select(*place), place, "left_semi").select(*extra.columns))
     total = hits.select("name", "file", "line_start", "score").unionByName(extra).groupBy("name", "file", "line_start").agg(F.round(F.sum("score"), 9).alias("score"))
     return total.orderBy(F.desc("score"), "file", "line_start", "name").limit(limit)

@@ -5,6 +5,9 @@ The same rules as running queries are in ``trellis.streaming``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,9 +29,24 @@ def first_of_session(events: DataFrame) -> DataFrame:
     return events.withColumn("_n", F.row_number().over(W.partitionBy("session").orderBy("ts", "event_id"))).filter("_n = 1").drop("_n")
 
 
-def daily_runs(events: DataFrame) -> DataFrame:
-    """``day, at``: the first event of each day, the only one that starts an upkeep."""
-    return events.groupBy(F.to_date("ts").alias("day")).agg(F.min("ts").alias("at"))
+def daily_runs(events: DataFrame, seconds: int = 86_400) -> DataFrame:
+    """``at``: the seconds at which an upkeep starts: at the first event, then at the first one ``seconds`` or more after the last run.
+
+    Each run depends on the one before, so one task reads the different seconds in their order, keeping only the last run.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for batch in batches:
+            out = []
+            for at in batch["at"]:
+                if last is None or at - last >= seconds:
+                    out.append(at)
+                    last = at
+            yield pd.DataFrame({"at": out}, dtype="int64")
+
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long").alias("at")
+    return events.filter("ts is not null").select(at).distinct().repartition(1).sortWithinPartitions("at").mapInPandas(run, "at long")
 
 
 def idle_sessions(events: DataFrame, now: str, days: int = 2) -> DataFrame:

@@ -37,10 +37,14 @@ def _bodies(spark, d):
     return table(spark, d, "files").select("id", "path").join(table(spark, d, "file_texts").select(F.col("file_id").alias("id"), "body"), "id")
 
 
-_MAP = ", ".join(f"('{end}', '{lang}')" for lang, ends in b.LANGUAGES.items() for end in ends.split())
-
-
-@add("language_map", f"WITH m(e, l) AS (VALUES {_MAP}) SELECT id, (SELECT l FROM m WHERE e = string_split(string_split(path, '/')[-1], '.')[-1]) AS language FROM files")
+@add("language_map", """WITH m(e, l) AS (VALUES
+  ('.ts', 'typescript'), ('.tsx', 'typescript'), ('.js', 'javascript'), ('.jsx', 'javascript'), ('.mjs', 'javascript'), ('.py', 'python'), ('.go', 'go'), ('.rs', 'rust'), 
+  ('.rb', 'ruby'), ('.tf', 'hcl'), ('.tfvars', 'hcl'), ('.yml', 'yaml'), ('.yaml', 'yaml'), ('.md', 'markdown'), ('.c', 'c'), ('.h', 'c'), ('.m', 'objc'), ('.mm', 'objc'), 
+  ('.java', 'java'), ('.php', 'php'), ('.swift', 'swift'), ('.sh', 'bash'), ('.bash', 'bash'), ('.zsh', 'bash'), ('.pl', 'perl'), ('.pm', 'perl'), ('.html', 'html'), ('.htm', 'html'), 
+  ('.toml', 'toml'), ('.sql', 'sql'), ('Dockerfile', 'dockerfile'), ('.cpp', 'cpp'), ('.cc', 'cpp'), ('.cxx', 'cpp'), ('.hpp', 'cpp'), ('.hh', 'cpp'), ('.cs', 'csharp'), 
+  ('.kt', 'kotlin'), ('.kts', 'kotlin'), ('.dart', 'dart'), ('.scala', 'scala'), ('.sc', 'scala'), ('.r', 'r'), ('.R', 'r'), ('.graphql', 'graphql'), ('.gql', 'graphql'), 
+  ('.ps1', 'powershell'), ('.psm1', 'powershell'))
+  SELECT id, coalesce((SELECT l FROM m WHERE e = regexp_extract(base, '^.+(\\.[^.]*)$', 1)), (SELECT l FROM m WHERE e = base)) AS language FROM (SELECT id, string_split(path, '/')[-1] AS base FROM files)""")
 def _(spark, d):
     return table(spark, d, "files").select("id", b.language_of("path").alias("language"))
 
@@ -139,9 +143,9 @@ def _events(spark, d):
     return table(spark, d, "events").select("event_id", F.col("user_id").alias("session"), F.col("event_type").alias("terms"), F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@add("search_cache_dedup", _EV + "SELECT event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY session, terms ORDER BY ts, event_id)) < 86400000000, false) AS skipped FROM ev")
+@add("search_cache_dedup", _EV + "SELECT event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY session, terms ORDER BY ts, event_id)) < 180000000, false) AS skipped FROM ev")
 def _(spark, d):
-    return s.repeated_searches(_events(spark, d), 86_400).select("event_id", "skipped")
+    return s.repeated_searches(_events(spark, d)).select("event_id", "skipped")
 
 
 @add("turn_checkpoint", _EV + "SELECT event_id, session, CAST(turn AS INTEGER) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS turn FROM ev) WHERE turn % 10 = 0")
@@ -154,14 +158,16 @@ def _(spark, d):
     return s.first_of_session(_events(spark, d)).select("event_id", "session")
 
 
-@add("daily_throttle", _EV + "SELECT strftime(ts, '%Y-%m-%d') AS day, epoch_us(min(ts)) AS at_us FROM ev GROUP BY 1")
+@add("daily_throttle", _EV.replace("WITH", "WITH RECURSIVE", 1) + """, t AS (SELECT DISTINCT epoch_us(ts) // 1000000 AS sec FROM ev),
+  n AS (SELECT sec, min(sec) OVER (ORDER BY sec RANGE BETWEEN 86400 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM t),
+  w(sec) AS (SELECT min(sec) FROM t UNION ALL SELECT n.nxt FROM w JOIN n USING (sec)) SELECT sec AS run_at FROM w WHERE sec IS NOT NULL""")
 def _(spark, d):
-    return s.daily_runs(_events(spark, d)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.unix_micros(F.col("at").cast("timestamp")).alias("at_us"))
+    return s.daily_runs(_events(spark, d)).select(F.col("at").alias("run_at"))
 
 
-@add("session_expiry", _EV + "SELECT session FROM ev GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-28' - INTERVAL 2 DAY")
+@add("session_expiry", _EV + "SELECT session FROM ev GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-02-01' - INTERVAL 2 DAY")
 def _(spark, d):
-    return s.idle_sessions(_events(spark, d), "2024-01-28 00:00:00").select("session")
+    return s.idle_sessions(_events(spark, d), "2024-02-01 00:00:00").select("session")
 
 
 @add("session_history", _EV + "SELECT event_id, session, terms FROM ev ORDER BY CAST(ts AS DATE) DESC, ts DESC, event_id DESC LIMIT 20")

@@ -132,8 +132,8 @@ def _(spark, d):
 
 _HYBRID = f"""{_SYM}, {_V[5:]}, {bm25_sql('resolve schema')}, words AS (SELECT name, file, line_start, row_number() OVER (ORDER BY score, id) AS rank FROM bm QUALIFY rank <= 60),
   near AS (SELECT symbol_name AS name, file, min(rank) AS rank FROM (SELECT symbol_name, file, row_number() OVER (ORDER BY score DESC, file, symbol_name, id) AS rank FROM ({_NEAR})) WHERE rank <= 60 GROUP BY 1, 2),
-  placed AS (SELECT n.name, n.file, coalesce((SELECT arg_min(w.line_start, w.rank) FROM words w WHERE w.name = n.name AND w.file = n.file), (SELECT arg_min(s.line_start, s.id) FROM s WHERE s.name = n.name AND s.file = n.file)) AS line_start, n.rank FROM near n),
-  fused AS (SELECT name, file, line_start, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM words UNION ALL SELECT * FROM placed WHERE line_start IS NOT NULL) GROUP BY 1, 2, 3)"""
+  placed AS (SELECT n.name, n.file, coalesce((SELECT arg_min(w.line_start, w.rank) FROM words w WHERE w.name = n.name AND w.file = n.file), (SELECT arg_min(s.line_start, s.id) FROM s WHERE s.name = n.name AND s.file = n.file), 0) AS line_start, n.rank FROM near n),
+  fused AS (SELECT name, file, line_start, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM words UNION ALL SELECT * FROM placed) GROUP BY 1, 2, 3)"""
 
 
 @add("hybrid_tool", _HYBRID + " SELECT name, file, line_start, round(score * CASE WHEN contains(file, '/tests/') OR contains(file, '/test/') OR contains(file, '_test.') OR contains(file, '.test.') THEN 0.5::DOUBLE ELSE 1 END, 9) AS score FROM fused ORDER BY score DESC, file, line_start, name LIMIT 20")
@@ -147,10 +147,11 @@ def _(spark, d):
   own AS (SELECT s.id, s.name, sc FROM s JOIN seeds USING (name)),
   up AS (SELECT own.name AS of, sc * 0.3::DOUBLE AS score, e.from_id AS id FROM e JOIN own ON own.id = e.to_id QUALIFY row_number() OVER (PARTITION BY own.name ORDER BY e.id, e.from_id) <= 3),
   dn AS (SELECT own.name AS of, sc * 0.15::DOUBLE AS score, e.to_id AS id FROM e JOIN own ON own.id = e.from_id WHERE e.confidence >= 0.5 QUALIFY row_number() OVER (PARTITION BY own.name ORDER BY e.id, e.to_id) <= 3)
-  SELECT name, file, line_start, round(sum(score), 9) AS score FROM (SELECT * FROM hits UNION ALL SELECT s.name, s.file, s.line_start, x.score FROM (FROM up UNION ALL FROM dn) x JOIN s ON s.id = x.id) GROUP BY 1, 2, 3 ORDER BY score DESC, file, line_start, name LIMIT 20""")
+  SELECT name, file, line_start, round(sum(score), 9) AS score FROM (SELECT * FROM hits UNION ALL SELECT s.name, s.file, s.line_start, x.score FROM (FROM up UNION ALL FROM dn) x JOIN s ON s.id = x.id WHERE s.file NOT IN (SELECT path FROM f WHERE language IN ('ruby', 'go')) OR (s.name, s.file, s.line_start) IN (SELECT (name, file, line_start) FROM hits)) GROUP BY 1, 2, 3 ORDER BY score DESC, file, line_start, name LIMIT 20""")
 def _(spark, d):
     v, s = _vectors(spark, d), _symbols(spark, d)
-    return r.boost(r.hybrid(s, v, "resolve schema", _query(v), penalty=False), _edges(spark, d), s)
+    docs = g.files_in_languages(table(spark, d, "files"), ["ruby", "go"]).select(F.col("path").alias("file"))  # stand for documents
+    return r.boost(r.hybrid(s, v, "resolve schema", _query(v), penalty=False), _edges(spark, d), s, doc_files=docs)
 
 
 # ---------------------------------------------------------------- memory
@@ -176,10 +177,14 @@ _M = """WITH m AS (SELECT lpad(CAST(doc_id AS VARCHAR), 8, '0') AS id, TIMESTAMP
   CASE doc_id % 6 WHEN 3 THEN created + INTERVAL 90 DAY WHEN 4 THEN created + INTERVAL 30 DAY WHEN 5 THEN created + INTERVAL 7 DAY END AS expires_at FROM documents) """
 
 
-def _term_sql(t: str) -> str:
+def _term_sql(t: str, name: bool = False) -> str:
     hits = f"((length(c) - length(replace(c, '{t}', ''))) // {len(t)})"
-    tag = f"list_bool_or(list_transform(tags, lambda x: lower(x) = '{t}' OR ends_with(lower(x), '/{t}') OR ends_with(lower(x), ':{t}') OR ends_with('{t}', '/' || lower(x)) OR ends_with('{t}', ':' || lower(x)) OR starts_with(lower(x), '{t}:') OR starts_with('{t}', lower(x) || ':')))"
-    return f"(CASE WHEN {hits} > 0 THEN 1 + 0.1::DOUBLE * least({hits}, 3) ELSE 0 END + CASE WHEN {tag} THEN 2 ELSE 0 END + CASE WHEN type = '{t}' THEN 1.5::DOUBLE ELSE 0 END)"
+    same = lambda x: f"({x} = '{t}' OR ends_with({x}, '/{t}') OR ends_with({x}, ':{t}') OR ends_with('{t}', '/' || {x}) OR ends_with('{t}', ':' || {x}) OR starts_with({x}, '{t}:') OR starts_with('{t}', {x} || ':'))"
+    names = f"coalesce(list_bool_or(list_transform(tags, lambda x: {same('lower(x)')})), false)"
+    if name:
+        words = r"list_filter(list_transform(regexp_split_to_array(c, '[^\p{L}\p{N}_\-./:@$]+'), lambda x: regexp_replace(x, '^[.:\-/@$]+|[.:\-/@$]+$', '', 'g')), lambda x: x <> '')"
+        names += f" OR coalesce(list_bool_or(list_transform({words}, lambda x: x = '{t}' OR (length(x) >= 3 AND {same('x')} AND x NOT IN ({', '.join(repr(w) for w in m.STOPWORDS)})))), false)"
+    return f"(CASE WHEN {hits} > 0 THEN 1 + 0.1::DOUBLE * least({hits}, 3) ELSE 0 END + CASE WHEN {names} THEN 2 ELSE 0 END + CASE WHEN type = '{t}' THEN 1.5::DOUBLE ELSE 0 END)"
 
 
 _TERMS = ["symbol", "queue", "review"]
@@ -190,6 +195,11 @@ def _(spark, d):
     return m.search(entries(spark, d), "the symbol queue, review").select("id", "score")
 
 
+@add("memory_search_names", _M + f", t AS (SELECT id, created, {_term_sql('graph:index', True)} AS t0, {_term_sql('store/rows', True)} AS t1 FROM (SELECT *, lower(content) AS c FROM m)) SELECT id, round(t0 + t1, 6) AS score FROM t WHERE t0 > 0 OR t1 > 0 ORDER BY score DESC, created DESC, id LIMIT 20")
+def _(spark, d):
+    return m.search(entries(spark, d), "which of the graph:index or store/rows").select("id", "score")
+
+
 @add("memory_list", _M + "SELECT id FROM m WHERE global OR project = 'graph-core'")
 def _(spark, d):
     return m.listed(entries(spark, d), "graph-core").select("id")
@@ -236,9 +246,20 @@ def _(spark, d):
     return m.project_index(entries(spark, d))
 
 
-@add("memory_near_dup_pairs")
+_WORDSET = "list_sort(list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda x: x <> '')))"
+_JACCARD = "CASE WHEN len(a.w) + len(b.w) = 0 THEN 1 ELSE len(list_intersect(a.w, b.w)) / CAST(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS DOUBLE) END"
+
+
+def edited(e: DataFrame) -> DataFrame:
+    """Entries and, for those of one type, a copy without its last word."""
+    return e.unionByName(e.filter("type = 'pattern'").withColumn("id", F.concat(F.lit("x"), "id")).withColumn("content", F.regexp_replace("content", r"\s+\S+\s*$", "")))
+
+
+@add("memory_near_dup_pairs", _M + f""", e AS (SELECT id, content FROM m UNION ALL SELECT 'x' || id, regexp_replace(content, '\\s+\\S+\\s*$', '') FROM m WHERE type = 'pattern'),
+  k AS (SELECT min(id) AS rep, w FROM (SELECT id, {_WORDSET.format('content')} AS w FROM e WHERE content IS NOT NULL) GROUP BY w)
+  SELECT a.rep AS a, b.rep AS b, round({_JACCARD}, 6) AS similarity FROM k a JOIN k b ON a.rep < b.rep AND least(len(a.w), len(b.w)) >= 0.85 * greatest(len(a.w), len(b.w)) WHERE {_JACCARD} > 0.85""")
 def _(spark, d):
-    return m.near_duplicates(entries(spark, d)).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return m.near_duplicates(edited(entries(spark, d))).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @add("memory_word_classes", _M + "SELECT min(id) AS rep, count(*) AS n_rows FROM (SELECT id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda x: x <> ''))) AS w FROM m) GROUP BY w")
@@ -251,11 +272,25 @@ def _(spark, d):
     return m.greedy_merge(entries(spark, d))
 
 
-@add("memory_batch_dedup")
+@add("memory_batch_dedup", _M + f""", n AS (SELECT id, regexp_replace(content, '\\s+\\S+\\s*$', '') AS content FROM m WHERE type = 'pattern' UNION ALL SELECT 'y' || id, reverse(content) FROM m WHERE type = 'session'),
+  k AS (SELECT id, {_WORDSET.format('content')} AS w FROM n WHERE length(trim(content)) > 0), o AS (SELECT DISTINCT {_WORDSET.format('content')} AS w FROM m WHERE content IS NOT NULL)
+  SELECT id FROM k a WHERE NOT EXISTS (FROM o b WHERE least(len(a.w), len(b.w)) >= 0.8 * greatest(len(a.w), len(b.w)) AND {_JACCARD} > 0.8)""")
+def _(spark, d):
+    e = entries(spark, d)
+    batch = edited(e).filter("id like 'x%'").withColumn("id", F.expr("substring(id, 2)")).unionByName(e.filter("type = 'session'").withColumn("id", F.concat(F.lit("y"), "id")).withColumn("content", F.reverse("content")))
+    return m.new_entries(batch, e).select("id")
+
+
+@add("memory_mark_legacy", _M + "SELECT id, promoted OR (priority AND NOT promoted AND recall_count >= 3 AND type <> 'bug' AND created + INTERVAL 1 DAY < TIMESTAMP '2024-01-02 05:00:00') AS promoted FROM m")
+def _(spark, d):
+    e = entries(spark, d).withColumn("updated", F.when(F.col("type") == "bug", F.col("created")).otherwise(F.col("created") + F.expr("interval 1 day")))
+    return m.mark_legacy(e, "2024-01-02 05:00:00").select("id", "promoted")
+
+
+@add("memory_pin", _M + "SELECT id, true AS priority, false AS promoted, false AS demoted, recall_count FROM m WHERE type = 'bug' UNION ALL SELECT id, false, false, true, 0 FROM m WHERE type <> 'bug'")
 def _(spark, d):
     e = entries(spark, d)
-    old = F.col("type") != "session"
-    return m.new_entries(e.filter(~old), e.filter(old)).select("id")
+    return m.pin(e.filter("type = 'bug'")).unionByName(m.pin(e.filter("type != 'bug'"), False)).select("id", "priority", "promoted", "demoted", "recall_count")
 
 
 @add("memory_retype", _M + """SELECT id, CASE WHEN type = 'bug' THEN strftime(expires_at, '%Y-%m-%d %H:%M:%S') ELSE '2025-11-30 00:00:00' END AS expires_at FROM m""")
@@ -281,10 +316,19 @@ def _(spark, d):
     return m.not_shown(e, e.filter("type = 'bug'").select(F.substring("id", 1, 8).alias("id8"))).select("id")
 
 
-@add("memory_fusion", _M + f""", t AS (SELECT id, created, {', '.join(f'{_term_sql(t)} AS t{i}' for i, t in enumerate(_TERMS))} FROM (SELECT *, lower(content) AS c FROM m)),
+_FACTS = ["index", "graph", "rows"]
+
+
+@add("memory_fusion", f"""{_V}, x AS (SELECT symbol_name AS id, arg_max(text, id) AS content, min(loaded_at) AS created, CAST([] AS VARCHAR[]) AS tags, 'context' AS type FROM vectors WHERE symbol_kind = 'memory' GROUP BY 1),
+  t AS (SELECT id, created, {', '.join(f'{_term_sql(t)} AS t{i}' for i, t in enumerate(_FACTS))} FROM (SELECT *, lower(content) AS c FROM x)),
   w AS (SELECT id, row_number() OVER (ORDER BY round(t0 + t1 + t2, 6) DESC, created DESC, id) AS rank FROM t WHERE (t0 > 0)::INT + (t1 > 0)::INT + (t2 > 0)::INT >= 2 QUALIFY rank <= 30),
-  n AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM m QUALIFY rank <= 30)
+  near AS (SELECT v.id, symbol_name, text, row_number() OVER (ORDER BY {_COS} DESC, coalesce(file, ''), symbol_name, v.id) AS rank FROM v, {_FIRST} q WHERE symbol_kind = 'memory' QUALIFY rank <= 30),
+  n AS (SELECT x.id, min(rank) AS rank FROM near JOIN x ON x.id = near.symbol_name AND x.content = near.text GROUP BY 1)
   SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (FROM w UNION ALL FROM n) GROUP BY 1 ORDER BY score DESC, id LIMIT 10""")
 def _(spark, d):
-    e = entries(spark, d)
-    return m.fused_search(e, "the symbol queue, review", r.ranked(e.select("id"), ["id"], 30))
+    v = _vectors(spark, d)
+    facts = table(spark, d, "vectors").filter("symbol_kind = 'memory'").groupBy(F.col("symbol_name").alias("fact")).agg(F.max_by("text", "id").alias("content"), F.min("loaded_at").alias("created"))
+    facts = facts.select(F.col("fact").alias("id"), "content", "created", F.array().cast("array<string>").alias("tags"), F.lit("context").alias("type"))
+    near = r.nearest(v, _query(v), 30, "memory").select(F.col("id").alias("vector_id"), "rank").join(v.select(F.col("id").alias("vector_id"), F.col("symbol_name").alias("id"), "text"), "vector_id")
+    near = m.current_hits(near, facts).groupBy("id").agg(F.min("rank").alias("rank"))
+    return m.fused_search(facts, "index of the graph, rows", near)

@@ -48,9 +48,10 @@ def _(f, s, e):
     return g.find_symbol(s, NAME).select(*_ROW)
 
 
-@add("find_symbol_suffix", f"SELECT {_C} FROM s WHERE lower(name) LIKE '%.nobody' AND NOT EXISTS (FROM s WHERE name = 'nobody')")
+@add("find_symbol_suffix", f"SELECT {_C.replace('name', "split_part(file, '/', 2) || '.' || name AS name")} FROM s WHERE lower(name) = 'parse'")
 def _(f, s, e):
-    return g.find_symbol(s, "nobody").select(*_ROW)
+    scoped = s.withColumn("name", F.concat(F.split_part("file", F.lit("/"), F.lit(2)), F.lit("."), "name"))
+    return g.find_symbol(scoped, "Parse").select(*_ROW)
 
 
 @add("find_symbol_kind_nocase", f"SELECT {_C} FROM s WHERE name = '{NAME}' AND kind = 'Function'")
@@ -246,44 +247,44 @@ def _bfs(seeds: str, depth: int) -> str:
     return f", w(file, depth) AS (SELECT file, 0 FROM ({seeds}) UNION SELECT fe.src, w.depth + 1 FROM w JOIN fe ON fe.dst = w.file WHERE w.depth < {depth}) "
 
 
-@add("impact", _bfs(f"SELECT '{FILE}' AS file", 3) + "SELECT file, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1 HAVING min(depth) > 0")
+@add("impact", _bfs(f"SELECT '{FILE}' AS file", 5) + "SELECT file, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1 HAVING min(depth) > 0")
 def _(f, s, e):
-    return g.impact(e, s, [FILE], 3)
+    return g.impact(e, s, [FILE])
 
 
-@add("diff_impact", _bfs(f"SELECT unnest(['{FILE}', 'runtime/core/clock.ts']) AS file", 2) + "SELECT file FROM w GROUP BY 1 HAVING min(depth) > 0")
+@add("diff_impact", _bfs(f"SELECT unnest(['{FILE}', 'runtime/core/clock.ts']) AS file", 3) + "SELECT file FROM w GROUP BY 1 HAVING min(depth) > 0")
 def _(f, s, e):
-    return g.diff_impact(e, s, [FILE, "runtime/core/clock.ts"], 2)
+    return g.diff_impact(e, s, [FILE, "runtime/core/clock.ts"])
 
 
-@add("diff_impact_kept", _bfs(f"SELECT '{FILE}' AS file", 2) + ", w2(file, depth) AS (SELECT 'runtime/core/clock.ts', 0 UNION SELECT fe.src, w2.depth + 1 FROM w2 JOIN fe ON fe.dst = w2.file WHERE w2.depth < 2) SELECT file FROM w GROUP BY 1 HAVING min(depth) > 0 UNION SELECT file FROM w2 GROUP BY 1 HAVING min(depth) > 0")
+@add("diff_impact_kept", _bfs(f"SELECT '{FILE}' AS file", 3) + ", w2(file, depth) AS (SELECT 'runtime/core/clock.ts', 0 UNION SELECT fe.src, w2.depth + 1 FROM w2 JOIN fe ON fe.dst = w2.file WHERE w2.depth < 3) SELECT file FROM w GROUP BY 1 HAVING min(depth) > 0 UNION SELECT file FROM w2 GROUP BY 1 HAVING min(depth) > 0")
 def _(f, s, e):
-    return g.diff_impact(e, s, [FILE, "runtime/core/clock.ts"], 2, keep_changed=True)
+    return g.diff_impact(e, s, [FILE, "runtime/core/clock.ts"], keep_changed=True)
 
 
-@add("fn_impact_files", _bfs(f"SELECT DISTINCT file FROM s WHERE name = '{NAME}'", 2) + "SELECT file, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1 HAVING min(depth) > 0")
+@add("fn_impact_files", _bfs(f"SELECT DISTINCT file FROM s WHERE name = '{NAME}'", 3) + "SELECT file, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1 HAVING min(depth) > 0")
 def _(f, s, e):
-    return g.function_impact(e, s, NAME, 2)
+    return g.function_impact(e, s, NAME)
 
 
 @add("who_calls_chain", """, nk AS (SELECT DISTINCT t.name AS a_name, t.file AS a_file, c.name, c.file FROM e JOIN s t ON t.id = e.to_id JOIN s c ON c.id = e.from_id),
-  w(name, file, depth) AS (SELECT DISTINCT name, file, 0 FROM s WHERE name = 'open' UNION SELECT nk.name, nk.file, w.depth + 1 FROM w JOIN nk ON nk.a_name = w.name AND nk.a_file = w.file WHERE w.depth < 3)
+  w(name, file, depth) AS (SELECT DISTINCT name, file, 0 FROM s WHERE name = 'parse' UNION SELECT nk.name, nk.file, w.depth + 1 FROM w JOIN nk ON nk.a_name = w.name AND nk.a_file = w.file WHERE w.depth < 3)
   SELECT name, file, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2 HAVING min(depth) > 0 ORDER BY 3, 2, 1 LIMIT 200""")
 def _(f, s, e):
-    return g.who_calls_chain(e, s, "open")
+    return g.who_calls_chain(e, s, "parse")
 
 
-_NEAR = f", w(id, depth) AS (SELECT CAST({SYMBOL} AS BIGINT), 0 UNION SELECT CASE WHEN e.from_id = w.id THEN e.to_id ELSE e.from_id END, w.depth + 1 FROM w JOIN e ON w.id IN (e.from_id, e.to_id) WHERE w.depth < 1), n AS (SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1) "
+_NEAR = f", w(id, depth) AS (SELECT CAST({SYMBOL} AS BIGINT), 0 UNION SELECT CASE WHEN e.from_id = w.id THEN e.to_id ELSE e.from_id END, w.depth + 1 FROM w JOIN e ON w.id IN (e.from_id, e.to_id) WHERE w.depth < 2), n AS (SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1) "
 
 
 @add("neighborhood", _NEAR + "SELECT id, depth FROM n")
 def _(f, s, e):
-    return g.neighborhood(e, SYMBOL, 1)[0]
+    return g.neighborhood(e, SYMBOL, 2)[0]
 
 
-@add("neighborhood_edges", _NEAR + "SELECT n.id AS at_id, e.id AS edge_id, from_id, to_id, kind FROM n JOIN e ON n.id IN (e.from_id, e.to_id) WHERE depth < 1")
+@add("neighborhood_edges", _NEAR + "SELECT n.id AS at_id, e.id AS edge_id, from_id, to_id, kind FROM n JOIN e ON n.id IN (e.from_id, e.to_id) WHERE depth < 2")
 def _(f, s, e):
-    return g.neighborhood(e, SYMBOL, 1)[1]
+    return g.neighborhood(e, SYMBOL, 2)[1]
 
 
 _PROJECT = "split_part(file, '/', 2)"
@@ -303,9 +304,37 @@ def _(f, s, e):
     return g.infer_links(s.filter("project is not null"), known)
 
 
-@add("cross_query", f"SELECT {_PROJECT} AS project, count(*) AS n FROM s WHERE name = '{NAME}' GROUP BY 1")
+@add("cross_query", f"SELECT {_PROJECT} AS project, id, name, kind, file, line_start, count(*) OVER (PARTITION BY {_PROJECT}) AS n FROM s WHERE name = '{NAME}' QUALIFY row_number() OVER (PARTITION BY {_PROJECT} ORDER BY file, line_start, id) <= 20")
 def _(f, s, e):
-    return g.find_symbol(s, NAME).groupBy(F.split_part("file", F.lit("/"), F.lit(2)).alias("project")).agg(F.count(F.lit(1)).alias("n"))
+    return g.cross_query(s.withColumn("project", F.split_part("file", F.lit("/"), F.lit(2))), NAME)
+
+
+_LINKS = """, k AS (SELECT DISTINCT split_part(a.file, '/', 2) AS from_project, split_part(b.file, '/', 2) AS to_project, e.kind AS type FROM e JOIN s a ON a.id = e.from_id JOIN s b ON b.id = e.to_id WHERE from_project < to_project)"""
+
+
+def _links(s, e):
+    """Projects whose symbols an edge joins, as links."""
+    at = lambda end, c: s.select(F.col("id").alias(end), F.split_part("file", F.lit("/"), F.lit(2)).alias(c))
+    rows = e.join(at("from_id", "from_project"), "from_id").join(at("to_id", "to_project"), "to_id")
+    return rows.filter("from_project < to_project").select("from_project", "to_project", F.col("kind").alias("type")).distinct()
+
+
+@add("project_links", _LINKS + "SELECT from_project, to_project, type, CASE WHEN from_project = 'core' THEN 'out' ELSE 'in' END AS direction FROM k WHERE 'core' IN (from_project, to_project)")
+def _(f, s, e):
+    return g.project_links(_links(s, e), "core")
+
+
+@add("link_add", _LINKS + "SELECT from_project, to_project, type, CASE WHEN type = 'calls' THEN 'new' ELSE 'old' END AS state FROM k")
+def _(f, s, e):
+    links = _links(s, e)
+    new = links.filter("type = 'calls'").withColumn("state", F.lit("new"))
+    return g.add_links(links.withColumn("state", F.lit("old")), new.unionByName(new))
+
+
+@add("link_delete", _LINKS + "SELECT from_project, to_project, type FROM k WHERE (from_project, to_project) NOT IN (SELECT (from_project, to_project) FROM k WHERE type = 'calls')")
+def _(f, s, e):
+    links = _links(s, e)
+    return g.delete_links(links, links.filter("type = 'calls'").select(F.col("to_project").alias("from_project"), F.col("from_project").alias("to_project")))
 
 
 @add("export_dot_lines", f"""SELECT '  n' || id || ' [label="' || replace(name, '"', chr(92) || '"') || '"];' AS line FROM s WHERE file = '{FILE}'

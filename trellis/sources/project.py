@@ -12,7 +12,10 @@ from pyspark.sql.types import StructType
 from trellis.operators.build import is_dense, language_of
 
 # ---- fixed values: folders and files that are never read
-EXCLUDES = ["node_modules/", "target/", "dist/", "build/", ".git/", "vendor/", "__pycache__/", ".venv/", "venv/", ".next/", "coverage/", "*.min.js", "*.min.css", "*.map", "*.lock"]
+EXCLUDES = [
+    "node_modules", "dist", "build", "out", ".git", ".next", ".nuxt", ".turbo", "coverage", "__pycache__", ".venv", "venv", "env", "vendor", "target", "tmp", "log", "cdk.out", "deployment_packages",
+    "public/packs", "public/assets", ".terraform", ".serverless", "*.min.js", "*.min.css", "*.bundle.js", "*.chunk.js",
+]
 
 
 def glob_pattern(rule: str) -> str:
