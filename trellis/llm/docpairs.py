@@ -4,7 +4,8 @@ Method: a parsing-expression grammar for each family of languages (see ``peg``)
 its header and, in Python, the string that opens the body, and keeps the offsets of all of them.  Its semantic action
 emits the pair of code and documentation.  A second grammar-free step then judges whether the description says anything.
 
-The description is ``doc``; only where that has no words it is what the grammar found inside ``content``.
+The description is ``doc``; only where that has no words it is what the grammar found inside ``content``.  Either is read by
+a grammar of remarks, which parts comment marks from text line by line.
 
 Defined results: rows of another kind or without content give nothing; a null name, file or signature counts as empty;
 of rows with the same file, name and line_start (nulls alike) the smallest id counts; an unknown file type is read with
@@ -85,7 +86,7 @@ def documentation(content: str, file: str | None) -> dict:
 
 _WORD = re.compile(r"[^\W\d_][\w'’]*")
 _CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
-_OPEN = re.compile(r"(?:[rRuUbBfF]{0,2}(?:\"\"\"|''')|/\*+!?|\*+/|\*+(?=\s|$|/)|//[/!]*|#+!?|--+|<!--|=begin\b|=end\b|;+|%+)\s*")
+_MARK = rx(r"(?:[rRuUbBfF]{0,2}(?:\"\"\"|''')|/\*+!?|\*+/|\*+(?=\s|\Z|/)|//[/!]*|#+!?|--+|<!--|=begin\b|=end\b|;+|%+)[^\S\r\n]*")
 _CLOSING = ('"""', "'''", "*/", "-->")
 _TAG = re.compile(r"^(?:[@\\](?:param|arg|argument|return|returns|throws?|exception|raises?|type|typeparam|template|yields?|default|see|link|override|inheritdoc|deprecated|since|version|author|copyright|license|internal|private|public|protected|readonly|async|static|abstract|example|todo|ignore|hidden|api|name|function|method|memberof|callback|implements|extends|suppress\w*)\b|:(?:param|type|returns?|rtype|raises?|arg|argument|keyword|var|ivar|cvar|meta)\b[^:]*:)", re.I)
 _SECTION = re.compile(r"^(?:args|arguments|parameters|params|returns?|raises|throws|yields|attributes|kwargs|keyword args|see also|references)\s*:?\s*$", re.I)
@@ -97,10 +98,13 @@ _TOOL = re.compile(
     re.I,
 )
 _CODE = re.compile(
-    r"^(?:if|while|for|switch|catch|elsif|elif|unless|match)\b\s*\(?.*(?:\{|\)\s*\{?|:\s*\S.*\)|:)\s*$|^(?:if|while|for|switch|match)\s*\(.*[;{}]|^for \w+ in .*:|^(?:const|let|var|final|auto|mut|val)\s+[\w{\[].*=|"
-    r"^(?:return|raise|throw|yield|await|defer|go|import|from|use|require|include|package|export|public|private|static|def|fn|func|function|class|struct|impl|assert|print|echo|del)\b.*(?:[;{}()=]|::)\s*$|^(?:else|try|do|end|begin|finally)\b\s*[{:]?\s*$|"
-    r"^[\w.$@\[\]'\"]+\s*(?:[-+*/|&?:]{0,2}=)(?!=)\s*\S.*$|^[\w.$:\[\]&*]*\w[!?]?\(.*\)\s*[;{:?.)]*$|[;{]\s*$|^[})\];,]+$|^.*\S\s*(?:===?|!==?|=>|->|&&|\|\||:=)\s*\S.*[;)}{]\s*$"
+    r"^(?:if|while|for|switch|match)\s*\([^;{}]*[;{}]|^for \w+ in [^:]*:|^(?:const|let|var|final|auto|mut|val)\s+[\w{\[][^=]*=|^(?:else|try|do|end|begin|finally)\b\s*[{:]?$|"
+    r"^[\w.$@\[\]'\"]+\s*(?:[-+*/|&?:]{0,2}=)(?!=)\s*\S|^[})\];,]+$"
 )
+_CONTROL = re.compile(r"(?:if|while|for|switch|catch|elsif|elif|unless|match)\b")
+_STATEMENT = re.compile(r"(?:return|raise|throw|yield|await|defer|go|import|from|use|require|include|package|export|public|private|static|def|fn|func|function|class|struct|impl|assert|print|echo|del)\b")
+_CALL = re.compile(r"[\w.$:\[\]&*]*\w[!?]?\(")
+_OPERATOR = re.compile(r"===?|!==?|=>|->|&&|\|\||:=")
 _ENDED = re.compile(r"(?<=[.!?。])[\"')\]»]*\s+|[。]\s*|\n")
 _PLACEHOLDER = re.compile(
     r"^\W*(?:todo|fixme|xxx|tbd|hack|wip|tbc|n/?a|none|nothing|empty|untitled|undocumented|placeholder|dummy|stub)\b(?!\s+(?:entries|entry|items?|lists?|comments?|of)\b)|lorem ipsum|\bauto-?\s?generated\b.*\b(?:stub|method|code|comment|by)\b|"
@@ -150,22 +154,46 @@ def _parameters(signature: str) -> set[str]:
     return {w.lower() for w in _WORD.findall(inside)} | {"self"} if inside else set()
 
 
-def _bare(line: str) -> str:
-    """A line without comment marks at its ends."""
-    line = line.strip()
-    while m := _OPEN.match(line):
-        line = line[m.end() :]
-    while line.endswith(_CLOSING):
-        line = line[:-2].rstrip("* \t") if line.endswith("*/") else line[:-3].rstrip()
-    return line
+def _text(text: str, value: object) -> list[tuple[int, int]]:
+    """Offsets of the text of each line, without closing marks."""
+    out = []
+    for _, a, b in _flat(value):
+        line = text[a:b].rstrip()
+        while line.endswith(_CLOSING):
+            line = line[:-2].rstrip("* \t") if line.endswith("*/") else line[:-3].rstrip()
+        out.append((a, a + len(line)))
+    return out
+
+
+#: Remark <- Line (Break Line)*;  Line <- Mark* Text
+_REMARKS = {
+    "Remark": act(seq(ref("Line"), many(seq(rx(r"\r?\n|\r"), ref("Line")))), _text),
+    "Line": seq(rx(r"[^\S\r\n]*"), many(ref("Mark")), span("text", rx(r"[^\r\n]*"))),
+    "Mark": _MARK,
+}
 
 
 def _is_code(line: str) -> bool:
-    return line.endswith((";", "{", "}")) if len(line) > 1000 else bool(_CODE.search(line))
+    """A line of code, by how it begins and ends; each test reads the line once."""
+    s = line.strip()
+    if not s:
+        return False
+    if s[-1] in ";{" or _CODE.search(s):
+        return True
+    if _CONTROL.match(s) and s[-1] in "{):":
+        return True
+    if _STATEMENT.match(s) and (s[-1] in ";{}()=" or s.endswith("::")):
+        return True
+    if _CALL.match(s):
+        head = s.rstrip(";{:?.)")
+        if ")" in s[len(head) :] or head.rstrip().endswith(")"):
+            return True
+    return s[-1] in ")}" and (m := _OPERATOR.search(s, 1)) is not None and m.end() < len(s)
 
 
 def _lines(text: str) -> list[str]:
-    return [_bare(line) for line in text.replace("\r", "").split("\n")]
+    """The lines of a remark without comment marks."""
+    return [text[a:b] for a, b in parse(_REMARKS, "Remark", text)]
 
 
 def describe(text: str, name: str = "", signature: str = "") -> tuple[str, bool]:
