@@ -115,14 +115,20 @@ def ranked(rows: DataFrame, order: list, limit: int) -> DataFrame:
     return rows.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
-def hybrid(symbols: DataFrame, vectors: DataFrame, text: str, query: DataFrame, limit: int = 20, penalty: bool = True) -> DataFrame:
+def hybrid(symbols: DataFrame, vectors: DataFrame, text: str, query: DataFrame, limit: int = 20, penalty: bool = True, scores: DataFrame | None = None) -> DataFrame:
     """``name, file, line_start, score``: fused text and vector hits, halved for test files where ``penalty``.
 
+    ``scores (id, score)`` are the text scores where they come from postings.
+
     A vector hit belongs to the best text hit with its (file, name), else to the first symbol of that (file, name), else it
     stands at line 0.
     """
     # both lists are short and used more than once
-    words = materialize(ranked(bm25(symbols, text).select("id", "name", "file", "line_start", "score"), ["score", "id"], 3 * limit), "words")
+    if scores is None:
+        best = bm25(symbols, text).orderBy("score", "id").limit(3 * limit)
+    else:
+        best = symbols.join(F.broadcast(scores.orderBy("score", "id").limit(3 * limit)), "id")
+    words = materialize(ranked(best.select("id", "name", "file", "line_start", "score"), ["score", "id"], 3 * limit), "words")
     near = materialize(nearest(vectors, query, 3 * limit), "near").select(F.col("symbol_name").alias("name"), "file", "rank").groupBy("name", "file").agg(F.min("rank").alias("rank"))
     first_hit = words.groupBy("name", "file").agg(F.min_by("line_start", "rank").alias("_hit"))
     first_symbol = symbols.join(F.broadcast(near.select("name", "file")), ["name", "file"], "left_semi").groupBy("name", "file").agg(F.min_by("line_start", "id").alias("_symbol"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trellis.operators import graph as g
 from trellis.operators import memory as m
 from trellis.operators import search as r
+from trellis.operators.postings import Postings, bm25_postings, build_postings
 from trellis.plans.structure import WITH
 from trellis.sources import table
 
@@ -40,6 +41,17 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return r.usable_vectors(table(spark, d, "vectors"))
 
 
+_INDEX: dict[tuple[str, str], Postings] = {}
+
+
+def postings(spark: SparkSession, d: str) -> Postings:
+    """Postings of the symbols of a folder, written once for each session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEX:
+        _INDEX[key] = build_postings(_symbols(spark, d))
+    return _INDEX[key]
+
+
 # ---------------------------------------------------------------- full text
 
 _TOKENS = r"regexp_extract_all(strip_accents(lower(coalesce({}, ''))), '[\p{{L}}\p{{N}}]+')"
@@ -73,17 +85,17 @@ _SYM = WITH.replace("WITH RECURSIVE", "WITH RECURSIVE ", 1)
 
 @add("bm25_single", f"{_SYM}, {bm25_sql('cache')} SELECT id, round(score, 9) AS score FROM bm ORDER BY bm.score, id LIMIT 20")
 def _(spark, d):
-    return r.search_symbols(_symbols(spark, d), "cache").select("id", F.round("score", 9).alias("score"))
+    return bm25_postings(postings(spark, d), "cache").orderBy("score", "id").limit(20).select("id", F.round("score", 9).alias("score"))
 
 
 @add("bm25_prefix_or", f"{_SYM}, {bm25_sql('query snap; index')} SELECT id, round(score, 9) AS score FROM bm")
 def _(spark, d):
-    return r.bm25(_symbols(spark, d), "query snap; index").select("id", F.round("score", 9).alias("score"))
+    return bm25_postings(postings(spark, d), "query snap; index").select("id", F.round("score", 9).alias("score"))
 
 
 @add("bm25_phrase", f"{_SYM}, {bm25_sql('both-resu')} SELECT id, round(score, 9) AS score FROM bm")
 def _(spark, d):
-    return r.bm25(_symbols(spark, d), "both-resu").select("id", F.round("score", 9).alias("score"))
+    return bm25_postings(postings(spark, d), "both-resu").select("id", F.round("score", 9).alias("score"))
 
 
 @add("bm25_code_only", f"{_SYM}, code AS (SELECT * FROM s WHERE file NOT IN (SELECT path FROM f WHERE language = 'python')), {bm25_sql('session', 'code')} SELECT id, round(score, 9) AS score FROM bm WHERE kind = 'Method' ORDER BY bm.score, id LIMIT 20")
@@ -92,6 +104,12 @@ def _(spark, d):
     return r.search_symbols(rows, "session", kind="Method").select("id", F.round("score", 9).alias("score"))
 
 
+@add("postings", WITH + f""", t AS ({' UNION ALL '.join(f"SELECT id, {i} AS col, {_TOKENS.format(c)} AS w FROM s" for i, c in enumerate(_COLS))}), l AS (SELECT id, col, w, CAST(sum(len(w)) OVER (PARTITION BY id) AS INTEGER) AS length FROM t),
+  x AS (SELECT id, col, length, unnest(w) AS token FROM l) SELECT token, id, col, length, CAST(count(*) AS INTEGER) AS n FROM x GROUP BY ALL""")
+def _(spark, d):
+    return postings(spark, d).terms.select("token", "id", "col", "length", F.size("positions").alias("n"))
+
+
 # ---------------------------------------------------------------- vectors
 
 _V = "WITH v AS (SELECT *, CAST(embedding AS DOUBLE[]) AS e FROM vectors WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x))))"
@@ -139,7 +157,7 @@ _HYBRID = f"""{_SYM}, {_V[5:]}, {bm25_sql('resolve schema')}, words AS (SELECT n
 @add("hybrid_tool", _HYBRID + " SELECT name, file, line_start, round(score * CASE WHEN contains(file, '/tests/') OR contains(file, '/test/') OR contains(file, '_test.') OR contains(file, '.test.') THEN 0.5::DOUBLE ELSE 1 END, 9) AS score FROM fused ORDER BY score DESC, file, line_start, name LIMIT 20")
 def _(spark, d):
     v = _vectors(spark, d)
-    return r.hybrid(_symbols(spark, d), v, "resolve schema", _query(v))
+    return r.hybrid(_symbols(spark, d), v, "resolve schema", _query(v), scores=bm25_postings(postings(spark, d), "resolve schema"))
 
 
 @add("hybrid_cli_boost", _HYBRID + """, hits AS (SELECT name, file, line_start, round(score, 9) AS score FROM fused ORDER BY score DESC, file, line_start, name LIMIT 20),
@@ -151,7 +169,7 @@ def _(spark, d):
 def _(spark, d):
     v, s = _vectors(spark, d), _symbols(spark, d)
     docs = g.files_in_languages(table(spark, d, "files"), ["ruby", "go"]).select(F.col("path").alias("file"))  # stand for documents
-    return r.boost(r.hybrid(s, v, "resolve schema", _query(v), penalty=False), _edges(spark, d), s, doc_files=docs)
+    return r.boost(r.hybrid(s, v, "resolve schema", _query(v), penalty=False, scores=bm25_postings(postings(spark, d), "resolve schema")), _edges(spark, d), s, doc_files=docs)
 
 
 # ---------------------------------------------------------------- memory
