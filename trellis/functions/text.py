@@ -37,3 +37,14 @@ def slug(c: str | Column) -> Column:
     """Last part of a path in lower case, blanks and underscores as hyphens, nothing but letters, digits and hyphens."""
     base = F.regexp_replace(F.lower(F.regexp_extract(c, r"([^/]*)/*$", 1)), r"[ _]", "-")
     return F.regexp_replace(base, r"[^\p{L}\p{N}-]", "")
+
+
+def one_line(c: str | Column, length: int, more: str = "…") -> Column:
+    """White space as single blanks, and ``more`` behind the first ``length`` characters where there are more."""
+    text = F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.when(F.length(text) > length, F.concat(F.rtrim(F.substring(text, 1, length)), F.lit(more))).otherwise(text)
+
+
+def new_id() -> Column:
+    """A random id (UUID version 4)."""
+    return F.uuid()

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trellis.operators.graph import CONTAINERS
+from trellis.operators.order import numbered
 
 # ---- fixed values: languages by extension or file name, suffixes tried for relative imports, kinds of calls
 LANGUAGES = [
@@ -92,6 +93,19 @@ def reuse_ids(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.select("new_id", "old_id", F.when(F.col("old_id").isNull(), "insert").when(F.col("new_id").isNull(), "delete").otherwise("keep").alias("change"))
 
 
+def upsert_symbols(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The symbols of the files of ``new`` in place of the old ones of these files; a symbol that was there keeps its id,
+    others get ids above all there are, in the order (file, line_start, name, kind)."""
+    files = new.select("file").distinct()
+    same = reuse_ids(old.join(files, "file", "left_semi"), new)
+    rows = new.withColumnRenamed("id", "new_id").join(same.filter("new_id is not null").select("new_id", "old_id"), "new_id")
+    kept = rows.filter("old_id is not null").withColumnRenamed("old_id", "id").select(*old.columns)
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
+    fresh = numbered(rows.filter("old_id is null").drop("old_id"), ["file", "line_start", "name", "kind", "new_id"], "_n").crossJoin(F.broadcast(top))
+    fresh = fresh.withColumn("id", (F.col("_top") + F.col("_n") + 1).cast("long")).select(*old.columns)
+    return old.join(files, "file", "left_anti").select(*old.columns).unionByName(kept).unionByName(fresh)
+
+
 def embed_plan(wanted: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, action, n``: copies to embed or to delete, as a difference of multisets."""
     count = lambda df, c: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(c))

@@ -400,3 +400,13 @@ def cross_query(symbols: DataFrame, name: str, limit: int = 20) -> DataFrame:
     counts = hits.groupBy("project").agg(F.count(F.lit(1)).alias("n"))
     first = hits.withColumn("_n", F.row_number().over(W.partitionBy("project").orderBy("file", "line_start", "id"))).filter(F.col("_n") <= limit)
     return first.join(counts, "project").select("project", "id", "name", "kind", "file", "line_start", "n")
+
+
+def context_bundle(files: DataFrame, symbols: DataFrame, edges: DataFrame, entries: DataFrame, links: DataFrame, project: str) -> DataFrame:
+    """One row ``payload``: JSON of counts, languages, the ten newest entries of the project and its links."""
+    rows = lambda df, name, *order: df.groupBy().agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*df.columns).alias("_row")))).alias(name)).select(F.transform(name, lambda x: x["_row"]).alias(name))
+    newest = entries.filter(F.col("global") | (F.col("project") == project)).orderBy(F.desc("created"), "id").limit(10).select("id", "created", "content")
+    languages = language_breakdown(files)  # a row for each language, links one for each pair: small by their nature
+    parts = stats(files, symbols, edges).crossJoin(rows(languages, "languages", "language"))
+    parts = parts.crossJoin(rows(newest, "memory", (-F.unix_micros(F.col("created").cast("timestamp"))).alias("_k"), "id")).crossJoin(rows(project_links(links, project), "links", "from_project", "to_project", "type"))
+    return parts.select(F.to_json(F.struct(F.lit(project).alias("project"), F.struct("n_files", "n_symbols", "n_edges").alias("stats"), "languages", "memory", "links")).alias("payload"))

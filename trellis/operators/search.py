@@ -161,3 +161,19 @@ def boost(hits: DataFrame, edges: DataFrame, symbols: DataFrame, limit: int = 20
         extra = kept.select(*extra.columns).unionByName(extra.join(doc_files.select("file").distinct(), "file", "left_semi").join(hits.select(*place), place, "left_semi").select(*extra.columns))
     total = hits.select("name", "file", "line_start", "score").unionByName(extra).groupBy("name", "file", "line_start").agg(F.round(F.sum("score"), 9).alias("score"))
     return total.orderBy(F.desc("score"), "file", "line_start", "name").limit(limit)
+
+
+def tool_search(scores: DataFrame, symbols: DataFrame, limit: int = 20, kind: str | None = None) -> DataFrame:
+    """Text hits where there are no vectors: in the order of the text scores (``id, score``), the score told as 0."""
+    rows = scores.join(symbols if kind is None else symbols.filter(F.lower("kind") == kind.lower()), "id")
+    best = ranked(rows, ["score", "id"], limit)
+    return best.select("rank", "id", "name", "kind", "file", "line_start", F.lit(0.0).alias("score"))
+
+
+def expand_single(hits: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``side, id, name, file, line_start`` of the callers and callees of the hit, if it is the only one (``hits`` are few)."""
+    one = hits.limit(2).groupBy().agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_id")).filter("_n = 1").select("_id")
+    only = F.broadcast(one)
+    near = lambda side, own, other: edges.join(only, F.col(own) == F.col("_id")).select(F.lit(side).alias("side"), F.col(other).alias("id"))
+    ends = near("caller", "to_id", "from_id").unionByName(near("callee", "from_id", "to_id")).distinct()
+    return ends.join(symbols.select("id", "name", "file", "line_start"), "id").select("side", "id", "name", "file", "line_start")

@@ -91,6 +91,32 @@ def _(spark, d):
     return b.reuse_ids(rows.filter("id % 11 != 0"), new)
 
 
+@add("symbol_upsert", WITH + """, o AS (SELECT id, name, kind, file, line_start FROM s WHERE id % 11 <> 0), w AS (SELECT id + 1000000000 AS id, name, kind, file, line_start + 5 AS line_start FROM s WHERE id % 13 <> 0 AND id % 2 = 0),
+  g AS (SELECT DISTINCT file FROM w), a AS (SELECT *, row_number() OVER (PARTITION BY file, name, kind ORDER BY line_start, id) AS n FROM o WHERE file IN (FROM g)), b AS (SELECT *, row_number() OVER (PARTITION BY file, name, kind ORDER BY line_start, id) AS n FROM w),
+  m AS (SELECT b.*, a.id AS old_id FROM b LEFT JOIN a USING (file, name, kind, n))
+  SELECT id, name, kind, file, line_start FROM o WHERE file NOT IN (FROM g) UNION ALL SELECT old_id, name, kind, file, line_start FROM m WHERE old_id IS NOT NULL
+  UNION ALL SELECT (SELECT max(id) FROM o) + row_number() OVER (ORDER BY file, line_start, name, kind, id), name, kind, file, line_start FROM m WHERE old_id IS NULL""")
+def _(spark, d):
+    rows = _symbols(spark, d).select("id", "name", "kind", "file", "line_start")
+    new = rows.filter("id % 13 != 0 and id % 2 = 0").withColumn("id", F.col("id") + 1_000_000_000).withColumn("line_start", F.col("line_start") + 5)
+    return b.upsert_symbols(rows.filter("id % 11 != 0"), new)
+
+
+@add("embed_sync_plan", WITH + """, w AS (SELECT file, name, kind, concat_ws(chr(10), kind || ' ' || name, signature, substring(content, 1, 512)) AS text FROM s), v AS (SELECT file, symbol_name AS name, symbol_kind AS kind, CASE WHEN id % 3 = 0 THEN text ELSE concat_ws(chr(10), symbol_kind || ' ' || symbol_name, text) END AS text FROM vectors WHERE symbol_kind <> 'memory'),
+  a AS (SELECT file, name, kind, text, count(*) AS n FROM w GROUP BY ALL), z AS (SELECT file, name, kind, text, count(*) AS n FROM v GROUP BY ALL),
+  d AS (SELECT coalesce(a.file, z.file) AS file, coalesce(a.n, 0) - coalesce(z.n, 0) AS d FROM a FULL JOIN z ON a.file IS NOT DISTINCT FROM z.file AND a.name IS NOT DISTINCT FROM z.name AND a.kind IS NOT DISTINCT FROM z.kind AND a.text IS NOT DISTINCT FROM z.text)
+  SELECT file, 'embed' AS action, CAST(sum(d) AS BIGINT) AS n FROM d WHERE d > 0 GROUP BY 1 UNION ALL SELECT file, 'delete', CAST(-sum(d) AS BIGINT) FROM d WHERE d < 0 GROUP BY 1""")
+def _(spark, d):
+    from trellis.operators.embedding import sync_plan
+
+    text = lambda kind, name, *rest: F.concat_ws("\n", F.concat(kind, F.lit(" "), name), *rest).alias("text")
+    wanted = _symbols(spark, d).select("file", F.col("name").alias("symbol_name"), F.col("kind").alias("symbol_kind"), text("kind", "name", "signature", F.substring("content", 1, 512)))
+    stored = table(spark, d, "vectors").filter("symbol_kind != 'memory'").select("id", "file", "symbol_name", "symbol_kind", F.when(F.col("id") % 3 == 0, F.col("text")).otherwise(text("symbol_kind", "symbol_name", "text")).alias("text"))
+    missing, stale = sync_plan(wanted, stored)
+    count = lambda df, action: df.groupBy("file").agg(F.count(F.lit(1)).alias("n")).withColumn("action", F.lit(action))
+    return count(missing, "embed").unionByName(count(stale.join(stored.select("id", "file"), "id"), "delete")).select("file", "action", "n")
+
+
 @add("embed_plan_diff", WITH + """, w AS (SELECT file, name, kind, count(*) AS w FROM s WHERE content IS NOT NULL OR signature IS NOT NULL GROUP BY ALL), v AS (SELECT file, symbol_name AS name, symbol_kind AS kind, count(*) AS v FROM vectors WHERE symbol_kind <> 'memory' GROUP BY ALL)
   SELECT file, name, kind, CASE WHEN coalesce(w, 0) > coalesce(v, 0) THEN 'embed' ELSE 'delete' END AS action, abs(coalesce(w, 0) - coalesce(v, 0)) AS n FROM w FULL JOIN v ON w.file IS NOT DISTINCT FROM v.file AND w.name IS NOT DISTINCT FROM v.name AND w.kind IS NOT DISTINCT FROM v.kind
   WHERE coalesce(w, 0) <> coalesce(v, 0)""".replace("SELECT file, name, kind, CASE", "SELECT coalesce(w.file, v.file) AS file, coalesce(w.name, v.name) AS name, coalesce(w.kind, v.kind) AS kind, CASE"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trellis.functions.text import one_line
 from trellis.operators import graph as g
 from trellis.operators import memory as m
 from trellis.operators import search as r
@@ -104,6 +105,18 @@ def _(spark, d):
     return r.search_symbols(rows, "session", kind="Method").select("id", F.round("score", 9).alias("score"))
 
 
+@add("tool_search", f"{_SYM}, {bm25_sql('cache')} SELECT CAST(row_number() OVER (ORDER BY score, id) AS INTEGER) AS rank, id, name, kind, file, line_start, CAST(0 AS DOUBLE) AS score FROM bm WHERE kind = 'Method' ORDER BY rank LIMIT 20")
+def _(spark, d):
+    return r.tool_search(bm25_postings(postings(spark, d), "cache"), _symbols(spark, d), kind="method")
+
+
+@add("single_hit_expand", WITH + """, h AS (SELECT min(id) AS id FROM s HAVING count(*) FILTER (WHERE id = 3) = 1), x AS (SELECT 'caller' AS side, e.from_id AS id FROM e JOIN h ON e.to_id = 3 UNION SELECT 'callee', e.to_id FROM e JOIN h ON e.from_id = 3)
+  SELECT side, x.id, name, file, line_start FROM x JOIN s ON s.id = x.id""")
+def _(spark, d):
+    s = _symbols(spark, d)
+    return r.expand_single(s.filter("id = 3"), _edges(spark, d), s)
+
+
 @add("postings", WITH + f""", t AS ({' UNION ALL '.join(f"SELECT id, {i} AS col, {_TOKENS.format(c)} AS w FROM s" for i, c in enumerate(_COLS))}), l AS (SELECT id, col, w, CAST(sum(len(w)) OVER (PARTITION BY id) AS INTEGER) AS length FROM t),
   x AS (SELECT id, col, length, unnest(w) AS token FROM l) SELECT token, id, col, length, CAST(count(*) AS INTEGER) AS n FROM x GROUP BY ALL""")
 def _(spark, d):
@@ -218,6 +231,11 @@ def _(spark, d):
     return m.search(entries(spark, d), "which of the graph:index or store/rows").select("id", "score")
 
 
+@add("memory_display", _M + r"SELECT id, CASE WHEN length(line) > 40 THEN rtrim(substring(line, 1, 40)) || '…' ELSE line END AS shown FROM (SELECT id, trim(regexp_replace(content, '\s+', ' ', 'g')) AS line FROM m)")
+def _(spark, d):
+    return entries(spark, d).select("id", one_line("content", 40).alias("shown"))
+
+
 @add("memory_list", _M + "SELECT id FROM m WHERE global OR project = 'graph-core'")
 def _(spark, d):
     return m.listed(entries(spark, d), "graph-core").select("id")
