@@ -67,8 +67,12 @@ def changed_files(now: DataFrame, known: DataFrame, full: bool = False, only: li
     return hashed if full else hashed.join(known.select("path", "hash"), ["path", "hash"], "left_anti")
 
 
-def stale_files(known: DataFrame, found: DataFrame) -> DataFrame:
-    return known.select("path").distinct().join(found.select("path"), "path", "left_anti")
+def stale_files(known: DataFrame, found: DataFrame, unreadable: list[str] | None = None) -> DataFrame:
+    """Known files that were not found, but for those below a folder that could not be read."""
+    gone = known.select("path").distinct().join(found.select("path"), "path", "left_anti")
+    for folder in unreadable or []:
+        gone = gone.filter(~F.col("path").startswith(f"{folder}/"))
+    return gone
 
 
 def purge(files: DataFrame, symbols: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -12,14 +12,17 @@ from trellis.operators import graph as g
 from trellis.operators import sessions as s
 from trellis.plans.structure import WITH
 from trellis.sources import table
+from trellis.sources.parse import parse_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def add(name: str, sql: str):
+def add(name: str, sql: str | None = None):
     def keep(query):
-        QUERIES[name], SQL[name] = query, sql
+        QUERIES[name] = query
+        if sql:
+            SQL[name] = sql
         return query
 
     return keep
@@ -49,6 +52,12 @@ def _(spark, d):
     return table(spark, d, "files").select("id", b.language_of("path").alias("language"))
 
 
+@add("parse_symbols")
+def _(spark, d):
+    files = _bodies(spark, d).withColumn("language", b.language_of("path")).filter(~b.is_dense("body"))
+    return parse_files(files)[0].select("file", "name", "kind", "line_start", "line_end")
+
+
 @add("call_kinds", "SELECT id, CASE WHEN name IN ('addEventListener', 'on', 'once', 'addListener', 'subscribe', 'observe') THEN 'listens' WHEN name IN ('emit', 'dispatch', 'trigger', 'fire', 'publish', 'send', 'broadcast') THEN 'emits' WHEN name IN ('spawn', 'fork') THEN 'spawns' ELSE 'calls' END AS kind FROM symbols")
 def _(spark, d):
     return table(spark, d, "symbols").select("id", b.call_kind("name").alias("kind"))

@@ -1,6 +1,7 @@
 """Parsers from source text to symbols, call sites and imports, chosen by language.
 
-Python is read with its own grammar; other languages can be added to ``PARSERS`` as functions of a text.
+Python is read with its own grammar, languages with braces and Ruby by their declarations (see ``brace``); others can be
+added to ``PARSERS`` as functions of a text.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellis.sources import brace
+
 Parsed = tuple[list[tuple], list[tuple], list[tuple]]
 
 
@@ -57,7 +60,7 @@ def parse_python(text: str) -> Parsed:
     return symbols, calls, imports
 
 
-PARSERS: dict[str, Callable[[str], Parsed]] = {"python": parse_python}
+PARSERS: dict[str, Callable[[str], Parsed]] = {"python": parse_python, **brace.PARSERS}
 
 _SCHEMA = "part string, file string, name string, kind string, line_start long, line_end long, signature string, doc string, content string, caller string, receiver string, source string"
 

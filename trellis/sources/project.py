@@ -63,10 +63,11 @@ class _Ignore:
         return said
 
 
-def list_files(root: str, excludes: list[str] | None = None) -> list[str]:
+def list_files(root: str, excludes: list[str] | None = None, unreadable: list[str] | None = None) -> list[str]:
     """Relative paths below ``root`` in the order of names: no hidden ones, none that an ignore file or rule leaves out.
 
-    A link counts only if it leads to a plain file inside the root that would be listed itself.
+    A link counts only if it leads to a plain file inside the root that would be listed itself.  A folder that cannot be
+    read is passed over and added to ``unreadable``; a root that cannot be read is an error.
     """
     real = os.path.realpath(root)
     rules = re.compile("|".join(glob_pattern(r) for r in (EXCLUDES if excludes is None else excludes)) or r"(?!)")
@@ -79,8 +80,15 @@ def list_files(root: str, excludes: list[str] | None = None) -> list[str]:
             if os.path.isfile(file):
                 with open(file, encoding="utf-8", errors="replace") as f:
                     ignores = [*ignores, (folder, _Ignore(f.readlines()))]
-        with os.scandir(os.path.join(real, folder)) as it:
-            entries = sorted(it, key=lambda x: x.name)
+        try:
+            with os.scandir(os.path.join(real, folder)) as it:
+                entries = sorted(it, key=lambda x: x.name)
+        except OSError:
+            if not folder:
+                raise
+            if unreadable is not None:
+                unreadable.append(folder)
+            return
         for e in entries:
             path = f"{folder}/{e.name}" if folder else e.name
             is_dir = e.is_dir(follow_symlinks=False)
@@ -108,9 +116,9 @@ def list_files(root: str, excludes: list[str] | None = None) -> list[str]:
     return sorted(out)
 
 
-def read_project(spark: SparkSession, root: str, excludes: list[str] | None = None) -> DataFrame:
+def read_project(spark: SparkSession, root: str, excludes: list[str] | None = None, unreadable: list[str] | None = None) -> DataFrame:
     """``path, language, body`` of the readable files of a folder that all executors see.  Only names pass the driver."""
-    paths = spark.createDataFrame([(p,) for p in list_files(root, excludes)], "path string").withColumn("language", language_of("path")).filter("language is not null")
+    paths = spark.createDataFrame([(p,) for p in list_files(root, excludes, unreadable)], "path string").withColumn("language", language_of("path")).filter("language is not null")
     real = os.path.realpath(root)
 
     def load(batches):
