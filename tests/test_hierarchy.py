@@ -77,3 +77,12 @@ def test_several_levels_at_every_size(spark, monkeypatch):
     rows = hierarchy(spark.createDataFrame(pairs, "child long, parent long"))
     assert rows.count() == 3 * h.LEAST and rows.agg({"depth": "max"}).first()[0] == (3 * h.LEAST - 1).bit_length()
     assert "fragments1" in seen
+
+
+def test_components(spark):
+    from trellis.operators.components import components
+
+    pairs = [(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("x", "y"), ("z", "y"), ("q", "q")]
+    got = dict(components(spark.createDataFrame(pairs, "a string, b string")).collect())
+    assert {got[f"{i:03}"] for i in range(41)} == {"000"} and got["z"] == got["y"] == got["x"] == "x" and "q" not in got
+    assert components(spark.createDataFrame([], "a string, b string")).count() == 0

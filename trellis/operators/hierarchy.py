@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.operators.order import numbered
-from trellis.session import materialize
+from trellis.session import discard, materialize
 
 #: Links of one fragment: at least, and at most (about 40 bytes each); between them, fragments for ``TASKS`` tasks.
 LEAST, MOST, TASKS = 1 << 13, 1 << 20, 2000
@@ -110,6 +110,7 @@ def hierarchy(links: DataFrame, child: str = "child", parent: str = "parent", pa
     while True:
         parts = max(1, -(-n // most), min(-(-n // least), TASKS))
         done = materialize(_deal(level_links, len(levels), parts).mapInPandas(_contract(paths), schema), f"fragments{len(levels)}")
+        discard(level_links)
         levels.append(done)
         if parts == 1:
             break

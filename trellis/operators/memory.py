@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trellis.functions.text import jaccard, word_set
+from trellis.operators.components import components
 from trellis.operators.order import numbered
 from trellis.session import materialize
 
@@ -213,16 +214,10 @@ def greedy_merge(entries: DataFrame, threshold: float = 0.85) -> DataFrame:
     best = F.max(F.struct("rank", "recall_count", F.coalesce("created", F.lit("")).alias("created"), "id"))
     classes = rows.groupBy("words").agg(best.alias("_b"), F.min("id").alias("rep")).select("rep", "words", "_b.*")
     pairs = similar_classes(classes.select("rep", "words"), threshold)
-    label, before = materialize(classes.select("rep", F.col("rep").alias("low")), "labels"), None
     pairs = materialize(pairs, "alike")
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    while True:  # the smallest name of each component spreads until nothing changes
-        near = both.join(label.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("low").alias("_near"))
-        label = materialize(label.join(near, "rep", "left").select("rep", F.least("low", F.coalesce("_near", "low")).alias("low")), "labels")
-        now = label.agg(F.sum(F.hash("rep", "low").cast("long"))).first()[0]
-        if now == before:
-            break
-        before = now
+    label = components(pairs.select("a", "b"), "labels").select(F.col("node").alias("rep"), F.col("cluster").alias("low"))
+    # what is like nothing stays as it is; only components of two or more are walked through
+    alone = classes.join(label, "rep", "left_anti").select("id")
     grouped = classes.join(label, "rep")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -240,7 +235,7 @@ def greedy_merge(entries: DataFrame, threshold: float = 0.85) -> DataFrame:
                 kept.append(r)
         return pd.DataFrame({"id": [k.id for k in kept]})
 
-    return grouped.groupBy("low").applyInPandas(run, f"id {dict(entries.dtypes)['id']}")
+    return alone.unionByName(grouped.groupBy("low").applyInPandas(run, f"id {dict(entries.dtypes)['id']}"))
 
 
 # ---------------------------------------------------------------- changes

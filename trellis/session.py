@@ -39,9 +39,21 @@ def _remove(path: str, spark: SparkSession) -> None:
         pass
 
 
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and survives a lost executor."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:10]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once what was made of it is written itself; other frames are left alone."""
+    _, path = _paths.pop(id(df), (None, None))
+    if path is not None:
+        _remove(path, df.sparkSession)
