@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from trellis.llm.handwritten import SKETCH, _chains, closing, clusters, components, core, jaccard, layout, literal_share, masked, not_handwritten, sketch
+from trellis.llm.handwritten import SKETCH, _chains, closing, clusters, core, jaccard, layout, literal_share, masked, not_handwritten, sketch
 
 R = random.Random(2)
 
@@ -53,12 +53,6 @@ def test_closing_notice():
     assert closing("a\nb // not this").strip() == ""
 
 
-def test_components(spark):
-    pairs = [(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("x", "y"), ("z", "y"), ("q", "q")]
-    got = dict(components(spark.createDataFrame(pairs, "a string, b string")).collect())
-    assert {got[f"{i:03}"] for i in range(41)} == {"000"} and got["z"] == got["y"] == got["x"] == "x"
-
-
 CASES = {
     "generated by path": ("packages/a/src/generated/x.ts", code(30, 1), "generated"),
     "generated by notice": ("packages/a/src/x1.py", "# Copyright the a authors.\n\n# Code generated by t. DO NOT EDIT.\n\n" + code(30, 2), "generated"),
