@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trellis.functions.text import slug
 from trellis.operators import build as b
 from trellis.operators import graph as g
 from trellis.operators import sessions as s
@@ -161,6 +162,40 @@ def _(spark, d):
     return b.resolve_calls(_sites(spark, d), sym, imported)
 
 
+_IMPORTS = _SITES + """, i AS (SELECT DISTINCT e.id AS import_id, a.file, z.name, CASE WHEN e.id % 2 = 0 THEN z.file END AS target FROM e JOIN s a ON a.id = e.from_id JOIN s z ON z.id = e.to_id WHERE e.kind = 'imports')
+"""
+
+
+@add("import_edges", _IMPORTS + """SELECT i.import_id, f0.id AS from_id, coalesce(p.id, n.id) AS to_id, 'imports' AS kind FROM i JOIN (SELECT file, min(id) AS id FROM s GROUP BY 1) f0 ON f0.file = i.file
+  LEFT JOIN place p ON p.file = i.target AND p.name = i.name LEFT JOIN (SELECT name, min(id) AS id FROM s GROUP BY 1) n ON n.name = i.name WHERE coalesce(p.id, n.id) IS NOT NULL""")
+def _(spark, d):
+    sym, e = _symbols(spark, d), _edges(spark, d).filter("kind = 'imports'").drop("file")
+    a, z = sym.select(F.col("id").alias("from_id"), "file"), sym.select(F.col("id").alias("to_id"), "name", F.col("file").alias("target"))
+    rows = e.join(a, "from_id").join(z, "to_id").select(F.col("id").alias("import_id"), "file", "name", "target").distinct()
+    return b.import_edges(rows.select("import_id", "file", "name"), sym, rows.filter("import_id % 2 = 0").select("import_id", "target"))
+
+
+@add("import_targets", r"""WITH i AS (SELECT id, regexp_replace(path, '/?[^/]*$', '') || '/./' || CASE WHEN id % 2 = 0 THEN regexp_extract(path, '([^/]*)\.[^./]*$', 1) ELSE regexp_extract(path, '([^/]*)$', 1) END AS loc FROM files),
+  t AS (SELECT id, replace(loc, '/./', '/') || x AS path, k FROM i, (VALUES ('', 1), ('.ts', 2), ('.tsx', 3), ('.js', 4), ('.jsx', 5), ('.mjs', 6), ('/index.ts', 7), ('/index.js', 8)) v(x, k))
+  SELECT t.id AS import_id, arg_min(t.path, t.k) AS target FROM t JOIN (SELECT DISTINCT path FROM files) f USING (path) GROUP BY 1""".replace("\\\\", "\\"))
+def _(spark, d):
+    files = table(spark, d, "files").select("id", "path")
+    stem = F.when(F.col("id") % 2 == 0, F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)).otherwise(F.regexp_extract("path", r"([^/]*)$", 1))
+    imports = files.select(F.col("id").alias("import_id"), F.col("path").alias("file"), F.concat(F.lit("./"), stem).alias("source"), F.lit("x").alias("name"))
+    return b.resolve_imports(imports, files, normalize=True)
+
+
+@add("markdown_links", r"""SELECT doc_id, target FROM (SELECT doc_id, unnest(list_distinct(list_concat(regexp_extract_all(text, '\[[^\]\n]*\]\(([^)\s]+)\)', 1), regexp_extract_all(text, '\[\[([^\]|#\n]+)', 1)))) AS target FROM (SELECT doc_id, text || ' [a](docs/' || project || '.md) [[Page ' || source || ']] [b](https://x.y)' AS text FROM documents)) WHERE NOT regexp_matches(target, '^https?://')""")
+def _(spark, d):
+    linked = F.concat("text", F.lit(" [a](docs/"), "project", F.lit(".md) [[Page "), "source", F.lit("]] [b](https://x.y)"))
+    return b.markdown_links(table(spark, d, "documents").select("doc_id", linked.alias("text")), "doc_id")
+
+
+@add("slugs", r"""SELECT id, regexp_replace(regexp_replace(lower(regexp_extract(path, '([^/]*)/*$', 1)), '[ _]', '-', 'g'), '[^\p{L}\p{N}-]', '', 'g') AS slug FROM files""")
+def _(spark, d):
+    return table(spark, d, "files").select("id", slug("path").alias("slug"))
+
+
 @add("markdown_outline", r"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line, len(x) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
   o AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) % 2 AS open FROM l),
   h AS (SELECT doc_id, i, n, len(regexp_extract(line, '^(#+)', 1)) AS level, trim(regexp_replace(regexp_replace(line, '^#+\s+', ''), '\s+$', '')) AS name FROM o WHERE open = 0 AND regexp_matches(line, '^#{1,6}\s+\S'))

@@ -353,3 +353,32 @@ def _(f, s, e):
 
     own = g.symbols_in_file(s, FILE)
     return mermaid_lines(own, e.join(own.select(F.col("id").alias("from_id")), "from_id", "left_semi"))
+
+
+@add("export_json_lines", f"SELECT CAST(to_json(struct_pack(id := id, name := name, kind := kind)) AS VARCHAR) AS line FROM s WHERE file = '{FILE}'")
+def _(f, s, e):
+    from trellis.operators.export import json_lines
+
+    return json_lines(g.symbols_in_file(s, FILE).select("id", "name", "kind"))
+
+
+@add("page_names", r"""SELECT id, regexp_replace(regexp_replace(name, '[/\\:<>|?*"`]', '_', 'g'), '^_+|_+$', '', 'g') AS page FROM (SELECT id, kind || ':' || name || '/?' AS name FROM s)""")
+def _(f, s, e):
+    from trellis.operators.export import page_name
+
+    return s.select("id", F.concat("kind", F.lit(":"), "name", F.lit("/?")).alias("name")).select("id", page_name("name").alias("page"))
+
+
+@add("vault_pages", f"""{""}, own AS (SELECT * FROM s WHERE file = '{FILE}'), k AS (SELECT name, count(*) AS n FROM own GROUP BY 1),
+  p AS (SELECT own.*, regexp_replace(regexp_replace(name, '[/\\\\:<>|?*"`]', '_', 'g'), '^_+|_+$', '', 'g') || CASE WHEN n > 1 THEN ' (' || regexp_extract(file, '([^/.]+)[^/]*$', 1) || ')' ELSE '' END AS page FROM own JOIN k USING (name)),
+  ee AS (SELECT from_id, to_id FROM e WHERE from_id IN (SELECT id FROM own) AND to_id IN (SELECT id FROM own)),
+  u AS (SELECT ee.from_id AS id, list_sort(list(DISTINCT page)) AS l FROM ee JOIN p ON p.id = ee.to_id GROUP BY 1), v AS (SELECT ee.to_id AS id, list_sort(list(DISTINCT page)) AS l FROM ee JOIN p ON p.id = ee.from_id GROUP BY 1)
+  SELECT page, '---' || chr(10) || 'kind: ' || kind || chr(10) || 'file: ' || file || chr(10) || '---' || chr(10) || '# ' || name || chr(10)
+    || CASE WHEN u.l IS NULL THEN '' ELSE chr(10) || '## Uses' || chr(10) || array_to_string(list_transform(u.l, lambda x: '- [[' || x || ']]'), chr(10)) || chr(10) END
+    || CASE WHEN v.l IS NULL THEN '' ELSE chr(10) || '## Used by' || chr(10) || array_to_string(list_transform(v.l, lambda x: '- [[' || x || ']]'), chr(10)) || chr(10) END AS body
+  FROM p LEFT JOIN u ON u.id = p.id LEFT JOIN v ON v.id = p.id""")
+def _(f, s, e):
+    from trellis.operators.export import vault_pages
+
+    own = g.symbols_in_file(s, FILE)
+    return vault_pages(own, g.induced_edges(e, own.select("id")))
