@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -97,3 +98,34 @@ def test_term_scores(spark):
     assert score("go to db", "db", False) == 1.1 and score("dbase", "db", False) == 0 and score("see the db.", "db", False) == 1.1
     assert score(None, "bug", False, kind="bug") == 1.5 and score("x", "direct", False, ["Web-App:direct"]) == 2.0
     assert score("run run run run", "run", False) == 1.3
+
+
+def shuffled(spark, run):
+    """What ``run`` returns, and the MB that it shuffled."""
+
+    def written():
+        time.sleep(0.5)
+        each = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(each.apply(i).totalShuffleWrite() for i in range(each.size())) / 1e6
+
+    before = written()
+    return run(), written() - before
+
+
+def common_words(n):
+    """Texts of the same 60 words; each tenth one is the one before with a word changed."""
+    r = random.Random(7)
+    rows = [r.sample([f"word{i}" for i in range(60)], 30) for _ in range(n)]
+    for i in range(1, n, 10):
+        rows[i] = [*rows[i - 1][:-1], f"only{i}"]
+    return [(f"{i:05}", " ".join(ws)) for i, ws in enumerate(rows)]
+
+
+def test_new_entries_of_common_words(spark):
+    rows = common_words(2000)
+    rows = [(i, None if i == "00005" else " " if i == "00015" else c) for i, c in rows] + [("90001", "\t"), ("90002", " ".join(sorted(rows[0][1].split())).upper())]
+    df = spark.createDataFrame(rows, "id string, content string")
+    batch = "substring(id, 5, 1) in ('1', '5') or id >= '90000'"
+    new, old = df.filter(batch), df.filter(f"not ({batch})").union(spark.createDataFrame([("90003", "")], df.schema))
+    got, mb = shuffled(spark, lambda: {r.id for r in m.new_entries(new, old).collect()})
+    assert got == {i for i, c in rows if i[4] == "5" and i not in ("00005", "00015")} and mb < 8

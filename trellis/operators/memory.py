@@ -5,9 +5,12 @@ Columns: ``id, created, updated, project, global, type, content, tags, priority,
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -163,6 +166,175 @@ def project_index(entries: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- near-duplicates
 
 
+def words_key(words: Column) -> Column:
+    """A digest that equal word sets have in common, and no others."""
+    return F.unhex(F.sha2(F.array_join(F.sort_array(words), " "), 256))
+
+
+def _sizes(threshold: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least size of each range of sizes, and into how many parts the words of its sets are dealt.
+
+    A set is like none beyond the next range.  Where its range ends with h words, sets that are like it differ from it in
+    at most h (1 - threshold) / threshold words, so that at least one of one part more than that is the same in both.
+    """
+    least, parts = [0, 1], [1]
+    while least[-1] <= most:
+        last = math.floor(least[-1] / threshold + 1e-9)
+        parts.append(math.floor(last * (1 - threshold) / threshold + 1e-9) + 1)
+        least.append(last + 1)
+    last = math.floor(least[-1] / threshold + 1e-9)
+    parts.append(math.floor(last * (1 - threshold) / threshold + 1e-9) + 1)
+    return np.array(least), np.array(parts)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _signer(threshold: float, steps: dict[int, int], most: int | None):
+    """For batches of ``id, key, hashes``: number of words, their parities in 128 bits, and the signs of their parts."""
+    import pyarrow as pa
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            hashes = batch.column("hashes")
+            n = np.diff(hashes.offsets.to_numpy())
+            h = _mixed(hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            row = np.repeat(np.arange(len(n)), n)
+            odd = np.zeros(len(n) * 128, np.uint8)
+            np.add.at(odd, row * 128 + (h >> np.uint64(57)).astype(np.int64), 1)
+            bits = np.packbits((odd & 1).reshape(-1, 128), axis=1).view(np.int64).reshape(-1, 2)
+            least, parts = _sizes(threshold, int(n.max(initial=0)))
+            at, signs, rows = np.searchsorted(least, n, "right") - 1, [], []
+            for step, role in steps.items():
+                size = at + step
+                m = np.where(size < 0, 0, parts[np.maximum(size, 0)])
+                start = np.cumsum(m) - m
+                sums = np.zeros(m.sum(), np.uint64)
+                np.add.at(sums, start[row] + ((h & np.uint64(0xFFFFFFFF)) % np.maximum(m, 1)[row].astype(np.uint64)).astype(np.int64), h)
+                own = np.repeat(np.arange(len(n)), m)
+                part = np.arange(len(own)) - start[own]
+                sign = _mixed(sums + _mixed((size[own].astype(np.uint64) << np.uint64(32)) + part.astype(np.uint64) + np.uint64(1)))
+                taken = slice(None) if most is None else part < most
+                signs.append((((sign >> np.uint64(32)) << np.uint64(1)).astype(np.int64) | role)[taken])
+                rows.append(own[taken])
+            order = np.argsort(np.concatenate(rows), kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(np.concatenate(rows), minlength=len(n)))])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(signs)[order]))
+            columns = [batch.column("id"), batch.column("key"), pa.array(n.astype(np.int32)), pa.array(bits[:, 0]), pa.array(bits[:, 1]), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "n", "s0", "s1", "signs"])
+
+    return run
+
+
+def signed(rows: DataFrame, threshold: float, steps: dict[int, int], most: int | None = None) -> DataFrame:
+    """``id, n, s0, s1, sign`` of the rows (``id, content``), those of equal word sets as the one of the smallest id.
+
+    The words are dealt into parts by their hashes, as many as ``_sizes`` says for the range of the set's size and for those
+    that are ``steps`` away; a sign is of the words of one part, of at most ``most`` parts.  Its last bit is what ``steps`` gives, its role.
+    """
+    words = rows.select("id", word_set("content").alias("w")).select("id", words_key(F.col("w")).alias("key"), F.transform("w", lambda w: F.xxhash64(w)).alias("hashes"))
+    kind = dict(rows.dtypes)["id"]
+    made = words.mapInArrow(_signer(threshold, steps, most), f"id {kind}, key binary, n int, s0 long, s1 long, signs array<long>")
+    once = made.groupBy("key").agg(F.min(F.struct("id", "n", "s0", "s1", "signs")).alias("_r")).select("_r.*")
+    return once.select("id", "n", "s0", "s1", F.explode("signs").alias("sign"))
+
+
+#: Pairs whose texts are found by a broadcast at most.
+MOST_PAIRS = 100_000
+#: Pairs that are compared at once.
+_AT_ONCE = 1 << 20
+
+
+def _meetings(sign: np.ndarray, both: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row and column numbers of rows to compare, to be broadcast: of each run of equal signs those of role 1 with those of
+    role 0 before them and, where ``both``, with those of role 1 before them."""
+    run = sign >> 1
+    start = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    size = np.diff(np.concatenate([start, [len(sign)]]))
+    first = np.repeat(start, size)
+    ones = np.concatenate([[0], np.cumsum(sign & 1)])
+    zeros = size - (ones[start + size] - ones[start])
+    before = np.where((sign & 1) == 1, np.arange(len(sign)) - first if both else np.repeat(zeros, size), 0)
+    large = (size > 64) & (zeros < size) & (both | (zeros > 0))
+    for s, c, z in zip(start[large], size[large], zeros[large]):
+        step = max(1, _AT_ONCE // c)
+        for i in range(s + z, s + c, step):
+            j = min(i + step, s + c)
+            yield np.arange(i, j)[:, None], np.arange(s, j if both else s + z)[None, :]
+    before[np.repeat(large, size)] = 0
+    row = np.flatnonzero(before)
+    many = before[row]
+    total = np.cumsum(many)
+    cuts = np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, _AT_ONCE), "left").tolist() + [len(row)]
+    for i, j in zip(cuts, cuts[1:]):
+        if i < j:
+            k = many[i:j]
+            place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            yield np.repeat(row[i:j], k), np.repeat(first[row[i:j]], k) + place
+
+
+def _matcher(threshold: float, both: bool):
+    """For batches of ``sign, id, n, s0, s1`` in the order of ``sign``: pairs that may be alike by sizes and parities."""
+    import pyarrow as pa
+
+    def pairs(table: pa.Table) -> Iterator:
+        sign, n, s0, s1 = (table.column(c).to_numpy() for c in ("sign", "n", "s0", "s1"))
+        s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
+        differ = n * ((1 - threshold) / (1 + threshold)) + 1e-9
+        found = []
+        for x, y in _meetings(sign, both):
+            odd = np.bitwise_count(s0[x] ^ s0[y]) + np.bitwise_count(s1[x] ^ s1[y])
+            near = np.nonzero(odd <= differ[x] + differ[y])
+            i, j = (x[near[0], 0], y[0, near[1]]) if x.ndim == 2 else (x[near], y[near])
+            fits = (j < i) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
+            found.append(np.stack([j[fits], i[fits], odd[near][fits]]))
+        if found and (at := np.concatenate(found, axis=1)).shape[1]:
+            ids = table.column("id").combine_chunks()
+            a, b = ids.take(pa.array(at[0])), ids.take(pa.array(at[1]))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(at[2].astype(np.int32))], ["a", "b", "odd"])
+
+    def run(batches: Iterator) -> Iterator:
+        held: list = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sign = batch.column("sign").to_numpy() >> 1
+            held.append(batch)
+            rows += batch.num_rows
+            cut = int(np.searchsorted(sign, sign[-1]))
+            whole = len(held) == 1 and cut == 0 or cut == 0 and held[-2].column("sign")[-1].as_py() >> 1 == sign[0]
+            if rows < 100_000 or whole:
+                continue
+            yield from pairs(pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]))
+            held, rows = [batch.slice(cut)], batch.num_rows - cut
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return run
+
+
+def close_texts(signs: DataFrame, threshold: float, both: bool) -> DataFrame:
+    """``a, b, odd`` of the rows of ``signed`` that may be alike: none that is alike is missing.
+
+    They share a sign, and no more bits of their parities differ (``odd``) than words may differ.
+    """
+    kind = dict(signs.dtypes)["id"]
+    held = signs.repartition(F.shiftright("sign", 1)).sortWithinPartitions("sign").select("sign", "id", "n", "s0", "s1")
+    return held.mapInArrow(_matcher(threshold, both), f"a {kind}, b {kind}, odd int").distinct()
+
+
+def with_similarity(close: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs with their texts ``_a``, ``_b`` of ``left`` and ``right`` (``id, content``) and the similarity of these."""
+    text = lambda rows, k: rows.select(F.col("id").alias(k), F.col("content").alias(f"_{k}"))
+    both = close.join(text(left, "a"), "a").join(text(right, "b"), "b")
+    words = both.select("a", "b", "_a", "_b", word_set("_a").alias("_v"), word_set("_b").alias("_w"))
+    return words.withColumn("similarity", jaccard("_v", "_w")).drop("_v", "_w")
+
+
 def word_classes(rows: DataFrame, text: str = "content") -> DataFrame:
     """``rep, words, n_rows``: rows of equal word sets as one class, named by the smallest id."""
     return rows.filter(F.col(text).isNotNull()).select("id", F.array_sort(word_set(text)).alias("words")).groupBy("words").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_rows"))
@@ -194,11 +366,21 @@ def near_duplicates(entries: DataFrame, threshold: float = 0.85) -> DataFrame:
 def new_entries(batch: DataFrame, entries: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Entries of a batch that are not blank and like none that is there already."""
     given = batch.filter(F.length(F.trim("content")) > 0)
-    old = word_classes(entries).select("words", F.concat(F.lit("e:"), "rep").alias("rep"))
-    new = given.select(F.concat(F.lit("b:"), "id").alias("rep"), F.array_sort(word_set("content")).alias("words"))
-    both = old.unionByName(new)
-    near = similar_classes(both, threshold).filter(F.substring("a", 1, 1) != F.substring("b", 1, 1)).select(F.when(F.col("a").startswith("b:"), F.col("a")).otherwise(F.col("b")).alias("k"))
-    return given.withColumn("k", F.concat(F.lit("b:"), "id")).join(near.distinct(), "k", "left_anti").drop("k")
+    old = entries.filter(F.col("content").isNotNull()).select("id", "content")
+    keyed = given.withColumn("_k", words_key(word_set("content")))
+
+    def close(rows: DataFrame, most: int | None = None) -> DataFrame:
+        return close_texts(signed(old, threshold, {0: 0}, most).unionByName(signed(rows, threshold, {-1: 1, 0: 1, 1: 1}, most)), threshold, both=False)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "close")
+        pairs = F.broadcast(pairs) if pairs.count() <= MOST_PAIRS else pairs
+        return materialize(with_similarity(pairs, old, given).filter(F.col("similarity") > threshold).select(words_key(word_set("_b")).alias("_k")).distinct(), "near")
+
+    # a few parts and the closest one of each settle most of them; only the others are compared with all that may be like them
+    closest = close(given, 3).groupBy("b").agg(F.min(F.struct("odd", "a")).alias("_c")).select("_c.a", "b")
+    rest = keyed.join(near(closest), "_k", "left_anti")
+    return rest.join(near(close(rest).select("a", "b")), "_k", "left_anti").drop("_k")
 
 
 def greedy_merge(entries: DataFrame, threshold: float = 0.85) -> DataFrame:
