@@ -129,3 +129,30 @@ def test_new_entries_of_common_words(spark):
     new, old = df.filter(batch), df.filter(f"not ({batch})").union(spark.createDataFrame([("90003", "")], df.schema))
     got, mb = shuffled(spark, lambda: {r.id for r in m.new_entries(new, old).collect()})
     assert got == {i for i, c in rows if i[4] == "5" and i not in ("00005", "00015")} and mb < 8
+
+
+def plain_merge(rows, t=0.85):
+    """The rule of ``greedy_merge`` over all entries, for entries of one rank and age."""
+    best, rep = {}, {}
+    for i, c, n in rows:
+        w = frozenset(c.lower().split())
+        best[w], rep[w] = max(best.get(w, (n, i)), (n, i)), min(rep.get(w, i), i)
+    kept = []
+    for w in sorted(rep, key=rep.get):
+        for k, v in enumerate(kept):
+            if (len(v & w) / len(v | w) if v | w else 1.0) > t:
+                if best[w][0] >= best[v][0]:
+                    kept[k] = w
+                break
+        else:
+            kept.append(w)
+    return sorted(best[w][1] for w in kept)
+
+
+def test_merge_of_common_words(spark):
+    rows = [(i, c, int(i) % 5) for i, c in common_words(2000)]
+    chain = [f"c{i}" for i in range(40)]
+    rows += [(f"9{i:04}", " ".join(chain[i : i + 30]), i * 7 % 5) for i in range(10)] + [("95000", "", 1), ("95001", " ", 0)]
+    df = _store(spark, [(i, c, [], "bug", "2024", False, False, False, n, None) for i, c, n in rows])
+    got, mb = shuffled(spark, lambda: sorted(r.id for r in m.greedy_merge(df).collect()))
+    assert got == plain_merge(rows) and len(got) < 1900 and mb < 8

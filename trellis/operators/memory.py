@@ -383,6 +383,14 @@ def new_entries(batch: DataFrame, entries: DataFrame, threshold: float = 0.8) ->
     return rest.join(near(close(rest).select("a", "b")), "_k", "left_anti").drop("_k")
 
 
+def similar_texts(rows: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, similarity`` of the rows (``id, content``) above the threshold, those of equal word sets as the one of the
+    smallest id."""
+    close = close_texts(signed(rows, threshold, {0: 1, -1: 0}), threshold, both=True)
+    close = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return with_similarity(close, rows, rows).filter(F.col("similarity") > threshold).select("a", "b", "similarity")
+
+
 def greedy_merge(entries: DataFrame, threshold: float = 0.85) -> DataFrame:
     """``id`` of the entries that stay when near-duplicates merge, one component of similar entries at a time.
 
@@ -391,29 +399,32 @@ def greedy_merge(entries: DataFrame, threshold: float = 0.85) -> DataFrame:
     """
     import pandas as pd
 
+    rows = entries.withColumn("content", F.coalesce("content", F.lit("")))
     rank = F.when(F.col("demoted") | (F.col("priority") & ~F.col("promoted")), 2).when(F.col("promoted"), 1).otherwise(0)
-    rows = entries.select("id", F.array_sort(word_set(F.coalesce("content", F.lit("")))).alias("words"), rank.alias("rank"), "recall_count", F.col("created").cast("string").alias("created"))
+    ranked = rows.select("id", words_key(word_set("content")).alias("key"), rank.alias("rank"), "recall_count", F.col("created").cast("string").alias("created"))
     best = F.max(F.struct("rank", "recall_count", F.coalesce("created", F.lit("")).alias("created"), "id"))
-    classes = rows.groupBy("words").agg(best.alias("_b"), F.min("id").alias("rep")).select("rep", "words", "_b.*")
-    pairs = similar_classes(classes.select("rep", "words"), threshold)
-    pairs = materialize(pairs, "alike")
-    label = components(pairs.select("a", "b"), "labels").select(F.col("node").alias("rep"), F.col("cluster").alias("low"))
+    classes = ranked.groupBy("key").agg(best.alias("_b"), F.min("id").alias("rep")).select("rep", "_b.*")
+    pairs = materialize(similar_texts(rows, threshold).select("a", "b"), "alike")
+    label = components(pairs, "labels").select(F.col("node").alias("rep"), F.col("cluster").alias("low"))
     # what is like nothing stays as it is; only components of two or more are walked through
     alone = classes.join(label, "rep", "left_anti").select("id")
-    grouped = classes.join(label, "rep")
+    before = pairs.groupBy(F.col("b").alias("rep")).agg(F.collect_list("a").alias("alike"))
+    grouped = classes.join(label, "rep").join(before, "rep", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list = []
+        place: dict = {}  # of the kept ones
         for r in pdf.sort_values("rep").itertuples():
-            mine = set(r.words)
-            for i, k in enumerate(kept):
-                theirs = set(k.words)
-                union = len(mine | theirs)
-                if (len(mine & theirs) / union if union else 1.0) > threshold:
-                    if (r.rank, r.recall_count) > (k.rank, k.recall_count) or ((r.rank, r.recall_count) == (k.rank, k.recall_count) and r.created >= k.created):
-                        kept[i] = r
-                    break
+            met = [place[x] for x in (r.alike if r.alike is not None else ()) if x in place]
+            if met:
+                i = min(met)
+                k = kept[i]
+                if (r.rank, r.recall_count) > (k.rank, k.recall_count) or ((r.rank, r.recall_count) == (k.rank, k.recall_count) and r.created >= k.created):
+                    kept[i] = r
+                    del place[k.rep]
+                    place[r.rep] = i
             else:
+                place[r.rep] = len(kept)
                 kept.append(r)
         return pd.DataFrame({"id": [k.id for k in kept]})
 
