@@ -156,3 +156,10 @@ def test_merge_of_common_words(spark):
     df = _store(spark, [(i, c, [], "bug", "2024", False, False, False, n, None) for i, c, n in rows])
     got, mb = shuffled(spark, lambda: sorted(r.id for r in m.greedy_merge(df).collect()))
     assert got == plain_merge(rows) and len(got) < 1900 and mb < 8
+
+
+def test_near_duplicates_of_common_words(spark):
+    rows = common_words(2000)
+    df = spark.createDataFrame(rows, "id string, content string")
+    got, mb = shuffled(spark, lambda: {(r.a, r.b) for r in m.near_duplicates(df).collect()})
+    assert got == set(brute(rows, 0.85)) and len(got) >= 200 and mb < 8

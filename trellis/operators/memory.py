@@ -340,27 +340,9 @@ def word_classes(rows: DataFrame, text: str = "content") -> DataFrame:
     return rows.filter(F.col(text).isNotNull()).select("id", F.array_sort(word_set(text)).alias("words")).groupBy("words").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def _prefixes(classes: DataFrame, threshold: float, rarity: DataFrame) -> DataFrame:
-    """The rarest words of each class, of which similar classes must share one."""
-    spread = classes.select("rep", F.size("words").alias("n"), F.explode("words").alias("word")).join(rarity, "word")
-    order = F.row_number().over(W.partitionBy("rep").orderBy("df", "word"))
-    return spread.withColumn("_p", order).filter(F.col("_p") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("rep", "n", "word")
-
-
-def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
-    """``a, b, similarity`` of pairs of classes above the threshold: prefix filter, size filter, exact check."""
-    rarity = classes.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    p = _prefixes(classes, threshold, rarity)
-    q = p.select(F.col("rep").alias("b"), F.col("n").alias("m"), "word")
-    close = p.withColumnRenamed("rep", "a").join(q, "word").filter((F.col("a") < F.col("b")) & (F.least("n", "m") >= threshold * F.greatest("n", "m"))).select("a", "b").distinct()
-    words = lambda k: classes.select(F.col("rep").alias(k), F.col("words").alias(f"_{k}"))
-    sim = close.join(words("a"), "a").join(words("b"), "b").withColumn("similarity", jaccard("_a", "_b"))
-    return sim.filter(F.col("similarity") > threshold).select("a", "b", "similarity")
-
-
 def near_duplicates(entries: DataFrame, threshold: float = 0.85) -> DataFrame:
     """``a, b, similarity`` between classes of equal word sets."""
-    return similar_classes(word_classes(entries), threshold)
+    return similar_texts(entries.filter(F.col("content").isNotNull()), threshold)
 
 
 def new_entries(batch: DataFrame, entries: DataFrame, threshold: float = 0.8) -> DataFrame:
